@@ -135,11 +135,11 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: tuple[int, int] | None = None, sample: int = 6000, clusters: int = 4, slack: float = 0.5) -> LanguageModel:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: tuple[int, int] | None = None, sample: int = 4000, clusters: int = 4, slack: float = 0.5) -> LanguageModel:
     """Fit on a bounded sample: about sample / languages rows of each language, chosen by the hash of the id.
 
-    At most 256 languages are expected. Executors turn texts into count vectors, so the
-    driver receives at most about sample * 16 kB, however long the texts are.
+    At most 256 languages are expected. Texts become count vectors where they are read, so
+    the one task that fits the model holds about sample * 16 kB, however long the texts are.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
     if holdout:
@@ -160,9 +160,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
         return run
 
-    got = storage.map_columns(rows.where(pick), [("_tf", T.BinaryType())], start, keep=["_id", "_lang"]).where("_tf is not null").toArrow().sort_by([("_lang", "ascending"), ("_id", "ascending")])
-    tf = np.frombuffer(b"".join(got.column("_tf").to_pylist()), np.float32).reshape(-1, DIMS)
-    return fit(tf, got.column("_lang").to_pylist(), clusters, slack)
+    def learn(t: pa.Table) -> LanguageModel:
+        t = t.sort_by([("_lang", "ascending"), ("_id", "ascending")])
+        tf = np.frombuffer(b"".join(t.column("_tf").to_pylist()), np.float32).reshape(-1, DIMS)
+        return fit(tf, t.column("_lang").to_pylist(), clusters, slack)
+
+    return storage.fitted(storage.map_columns(rows.where(pick), [("_tf", T.BinaryType())], start, keep=["_id", "_lang"]).where("_tf is not null"), learn)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", rejected_col: str = "rejected") -> DataFrame:

@@ -70,3 +70,20 @@ def n_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """fit(all rows of a bounded sample), computed in one task on an executor, so that the driver holds the result only."""
+    import pickle
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        if t.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(t))], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(schema.empty_table())

@@ -174,7 +174,7 @@ def score_slice(m: ToxicityModel, found: tuple, buf: np.ndarray, offs: np.ndarra
     return 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 4000, window: int = 16) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 3000, window: int = 16) -> ToxicityModel:
     """Fit on a bounded sample: about `sample_per_class` labelled rows of each class, chosen by the hash of the id.
 
     holdout: (modulus, remainder) of crc32(id as text) whose rows teach nothing.
@@ -200,8 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         return run
 
-    got = storage.map_columns(rows, [("_words", T.BinaryType())], hashed, keep=["_id", "_y"]).toArrow().sort_by([("_id", "ascending"), ("_words", "ascending")])
-    return fit([np.frombuffer(x, U64) for x in got.column("_words").to_pylist()], np.asarray(got.column("_y").to_pylist(), np.int64), n.get(1, 0) / total if total else 0.0, window)
+    share = n.get(1, 0) / total if total else 0.0
+
+    def learn(t: pa.Table) -> ToxicityModel:
+        t = t.sort_by([("_id", "ascending"), ("_words", "ascending")])
+        return fit([np.frombuffer(x, U64) for x in t.column("_words").to_pylist()], np.asarray(t.column("_y").to_pylist(), np.int64), share, window)
+
+    return storage.fitted(storage.map_columns(rows, [("_words", T.BinaryType())], hashed, keep=["_id", "_y"]), learn)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
