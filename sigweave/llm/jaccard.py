@@ -3,10 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with
 equal sets form one class; classes are then joined:
 
-1. Two sets with Jaccard similarity t or more share one of their p smallest hashes, where
-   p = n - ceil(t * n) + 1. Only these are exchanged, by hash range. Each hash that several
-   classes hold ties them to the smallest of them: linear in the classes, no pairs.
-2. The components of these ties are clusters; classes that link are in one cluster.
+1. Let p(n) = n - ceil(t * n) + 1. Two sets of similarity t or more share p(m) of their
+   2 * p - 1 smallest hashes each, m being the smaller size. Only these are exchanged, by
+   hash, one copy of a class from each task. Hashes that one class alone holds are dropped,
+   and with them the classes that keep too few to have a partner. Of the others' hashes the
+   rarest go on, so many that partners still share one (the prefix filter). Each of them
+   ties its classes to the smallest of them: linear in the classes, no pairs.
+2. The components of the ties are clusters; classes that link are in one cluster.
 3. Clusters go to tasks, small ones many to a task, large ones cut into blocks that meet two
    by two. A task builds inverted lists over its sets and searches them once for every set:
    the short lists are merged and counted, the long ones are probed by binary search for
@@ -33,8 +36,8 @@ from . import storage, textscan
 from .components import components
 from .textscan import U64
 
-#: Hashes a bucket of step 1 and shingles a task of step 3 hold, about.
-BUCKET, TASK = 2_000_000, 1_500_000
+#: Hashes a bucket of step 1 and shingles a task of step 3 hold, about; hashes a message is made from.
+BUCKET, TASK, CHUNK = 2_000_000, 1_500_000, 1_000_000
 #: Rows of (id, cluster) up to which step 3 broadcasts them to the documents; above, both are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -146,74 +149,152 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     return links
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def _n_prefix(n: int, percent: int) -> int:
+    """p(n): a partner of a set of n lacks at most p(n) - 1 of its hashes."""
+    return n - least_overlap(n, percent) + 1
+
+
+def _class_number(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _scan(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """_id with the size, the key and the class number (a part of the key) of the set of _text."""
+
     def start() -> object:
         def run(b: pa.RecordBatch) -> list:
-            n, key, prefix = [], [], []
+            n, key = [], []
             for _, _, buf, offs in textscan.slices(b.column(1)):
                 for s in shingle_sets(buf, offs, size):
                     n.append(len(s))
                     key.append(key_of(s) if len(s) else None)
-                    prefix.append(s[: len(s) - least_overlap(len(s), percent) + 1].tobytes() if len(s) else None)
-            return [n, key, prefix]
+            return [n, key, [k and _class_number(k) for k in key]]
 
         return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return storage.map_columns(rows, [("_n", T.LongType()), ("_key", T.BinaryType()), ("_prefix", T.BinaryType())], start, keep=["_id"])
+    return storage.map_columns(rows, [("_n", T.LongType()), ("_key", T.BinaryType()), ("_kid", T.LongType())], start, keep=["_id"])
+
+
+_PACKED = "bucket long, kids binary, ns binary, counts binary, hashes binary, df binary"
+
 
+def _pack(bucket: np.ndarray, kid: np.ndarray, n: np.ndarray, h: np.ndarray, df: np.ndarray, six: bool) -> pa.Table:
+    """One row a bucket: its classes, each with its size and how many hashes follow; the hashes (six bytes, or eight); their document frequencies."""
+    by = np.lexsort((kid, bucket))
+    bucket, kid, n, h, df = bucket[by], kid[by], n[by], h[by], df[by]
+    run = np.flatnonzero(np.concatenate([[True], (kid[1:] != kid[:-1]) | (bucket[1:] != bucket[:-1])])) if len(kid) else np.zeros(0, np.int64)
+    length = np.diff(np.append(run, len(kid))).astype("<u4")
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(cut[1:], len(bucket))
+    first = np.append(np.searchsorted(run, cut), len(run))
+    raw = [h[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if six else h[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]
+    parts = [slice(x, y) for x, y in zip(first[:-1], first[1:], strict=True)]
+    return pa.table({
+        "bucket": pa.array(bucket[cut]), "kids": pa.array([kid[run[p]].tobytes() for p in parts], pa.binary()), "ns": pa.array([n[run[p]].astype("<u4").tobytes() for p in parts], pa.binary()),
+        "counts": pa.array([length[p].tobytes() for p in parts], pa.binary()), "hashes": pa.array(raw, pa.binary()), "df": pa.array([df[i:j].astype("<u4").tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
+    })
 
-def _ties(classes: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): classes that share a prefix hash, each with the smallest of them."""
-    shift = 64 - buckets.bit_length() + 1
+
+def _unpack(t: pa.Table, six: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, its size, hash and document frequency of every hash."""
+    joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    count = joined("counts", "<u4")
+    h = joined("hashes", np.uint8)
+    if six:
+        wide = np.zeros((len(h) // 6, 8), np.uint8)
+        wide[:, 2:] = h.reshape(-1, 6)
+        h = wide
+    return np.repeat(joined("kids", np.int64), count), np.repeat(joined("ns", "<u4"), count), h.reshape(-1).view("<u8"), joined("df", "<u4")
+
+
+def _ties(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): numbers of classes that may link or stand between classes that may, each with the smallest of its hash."""
 
     def deal(batches):
+        seen, parts, kids, ns = set(), [], [], []
+        total = 0
+
+        def message():
+            n = np.array([len(x) for x in parts])
+            h = np.concatenate(parts)
+            return _pack((h % U64(buckets)).astype(np.int64), np.repeat(np.array(kids, np.int64), n), np.repeat(np.array(ns), n), h, np.zeros(len(h), np.int64), True)
+
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            parts = [np.frombuffer(x, U64) for x in b.column(1).to_pylist()]
-            if not parts:
-                continue
-            h, who = np.concatenate(parts), np.repeat(ids, [len(p) for p in parts])
-            by = np.argsort(h)
-            h, who = h[by], who[by]
-            bucket = (h >> U64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(h), np.int64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(cut[1:], len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([h[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([who[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "h", "who"])
+            for _, _, buf, offs in textscan.slices(b.column(1)):
+                for s in shingle_sets(buf, offs, size):
+                    if not len(s) or (kid := _class_number(key_of(s))) in seen:
+                        continue
+                    seen.add(kid)
+                    parts.append(s[: 2 * _n_prefix(len(s), percent) - 1])
+                    kids.append(kid)
+                    ns.append(len(s))
+                    total += len(parts[-1])
+                    if total > CHUNK:
+                        yield from message().to_batches()
+                        parts, kids, ns, total = [], [], [], 0
+        if parts:
+            yield from message().to_batches()
+
+    def shared(t: pa.Table) -> pa.Table:
+        """The hashes that several classes hold, by class."""
+        kid, n, h, _ = _unpack(t, True)
+        by = np.lexsort((kid, h))
+        kid, n, h = kid[by], n[by], h[by]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (kid[1:] != kid[:-1])])
+        kid, n, h = kid[new], n[new], h[new]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        df = np.diff(np.append(first, len(h)))
+        df = np.repeat(df, df)
+        some = df > 1
+        # Six bytes of a hash leave room for its bucket, which makes it whole again.
+        h = h[some] + U64(t.column("bucket")[0].as_py() & 0xFFFF)
+        return _pack(np.mod(kid[some], buckets), kid[some], n[some], h, df[some], False)
+
+    def choose(t: pa.Table) -> pa.Table:
+        """Of each class that can have a partner, the rarest hashes, by hash."""
+        kid, n, h, df = _unpack(t, False)
+        by = np.lexsort((h, df, kid))
+        kid, n, h, df = kid[by], n[by].astype(np.int64), h[by], df[by]
+        first = np.flatnonzero(np.concatenate([[True], kid[1:] != kid[:-1]])) if len(kid) else np.zeros(0, np.int64)
+        held = np.diff(np.append(first, len(kid)))
+        least = least_overlap(n[first], percent)  # of a partner's size
+        must = least - least_overlap(least, percent) + 1
+        keep = textscan.ranges(first, np.where(held >= must, held - must + 1, 0))
+        return _pack((textscan.mix(h[keep]) % U64(buckets)).astype(np.int64), kid[keep], n[keep], h[keep], df[keep], False)
 
     def tie(t: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(t.column("h").to_pylist()), U64)
-        who = np.frombuffer(b"".join(t.column("who").to_pylist()), np.int64)
-        by = np.lexsort((who, h))
-        h, who = h[by], who[by]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        leader = np.repeat(who[new], np.diff(np.append(new, len(h))))
-        some = leader != who
-        pairs = np.unique(np.column_stack([leader[some], who[some]]), axis=0)
+        kid, _, h, _ = _unpack(t, False)
+        by = np.lexsort((kid, h))
+        h, kid = h[by], kid[by]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        leader = np.repeat(kid[new], np.diff(np.append(new, len(h))))
+        pairs = np.unique(np.column_stack([leader, kid])[leader != kid], axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    dealt = classes.select("rep", "prefix").mapInArrow(deal, "bucket long, h binary, who binary")
-    return dealt.groupBy("bucket").applyInArrow(tie, "a long, b long")
+    out = rows.mapInArrow(deal, _PACKED)
+    for step in (shared, choose):
+        out = out.groupBy("bucket").applyInArrow(step, _PACKED)
+    return out.groupBy("bucket").applyInArrow(tie, "a long, b long")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs."""
     spark = docs.sparkSession
-    scan = storage.written(_scan(docs, id_col, text_col, words, percent), "sets")
-    classes = storage.written(scan.where("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.count("*").alias("rows"), F.first("_prefix").alias("prefix")), "classes")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    scan = storage.written(_scan(rows, words, percent), "sets")
+    classes = storage.written(scan.where("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_kid").alias("kid"), F.count("*").alias("rows")), "classes")
     shuffles = storage.n_partitions(spark)
-    hashes = (classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
-    buckets = 1 << max(shuffles * 2, hashes // BUCKET).bit_length()
-    clusters = storage.written(components(_ties(classes, buckets), "a", "b"), "clusters")
+    hashes = (classes.agg(F.sum("n")).first()[0] or 0) // 2
+    buckets = max(shuffles, hashes // BUCKET)
+    clusters = storage.written(components(_ties(rows.where("_id is not null"), words, percent, buckets), "a", "b"), "clusters")
 
-    known = clusters.join(classes.select(F.col("rep").alias("node"), "_key", "n"), "node")
+    known = clusters.join(classes.select(F.col("kid").alias("node"), "rep", "_key", "n"), "node")
     sizes = known.groupBy("component").agg(F.sum("n").alias("total"))
     cut = storage.written(sizes.select("component", F.ceil(F.col("total") / TASK).alias("parts"), "total"), "sizes")
     count, total = clusters.count(), cut.agg(F.sum("total")).first()[0] or 0
     tasks = max(shuffles * 2, int(total) // TASK + 1)
-    active = known.join(cut, "component").select(F.col("node").alias("_id"), "_key", "component", "parts")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    active = texts.join(F.broadcast(active) if count <= BROADCAST_ROWS else active, "_id")
+    active = known.join(cut, "component").select(F.col("rep").alias("_id"), "_key", "component", "parts")
+    active = rows.where("_id is not null").join(F.broadcast(active) if count <= BROADCAST_ROWS else active, "_id")
     part = F.pmod(F.xxhash64("_id"), F.col("parts"))
     whole = F.col("parts") == 1
     one = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, jaccard, langid, lm, packing, storage, toxicity, warc
+from . import bm25, chat, decontam, htmltext, jaccard, langid, lm, packing, storage, toxicity, warc
 from .storage import table
 
 #: The tokenizer file's place; its folder is on every machine.
@@ -33,6 +33,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, k=10)
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), storage.id_remainder("doc_id", 5) != 1)
     return scored.select("doc_id", (storage.id_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -64,7 +68,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_warc, op5_lm_score, op6_best_fit_packing, op7_decontamination, op8_language_id, op9_chat_formatting, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_warc, op4_exact_topk_search, op5_lm_score, op6_best_fit_packing, op7_decontamination, op8_language_id, op9_chat_formatting, op10_html_extraction)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -88,6 +92,15 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
     >> ((3 - (5 * i) % 4)::INT)) & 31)::INT), 1)), '') AS payload_digest,
   CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM p JOIN k ON k.h = p.h""",
+    "op4_exact_topk_search": rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM documents),
+f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS dl FROM f GROUP BY doc_id),
+g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM documents) AS mean),
+i AS (SELECT t, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, g GROUP BY t),
+s AS (SELECT q.doc_id AS query_id, d.doc_id AS doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean)) ORDER BY q.t), 6) AS score
+  FROM f q JOIN i ON i.t = q.t JOIN f d ON d.t = q.t JOIN l ON l.doc_id = d.doc_id, g WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "op7_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -104,7 +117,7 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op9_chat_formatting": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length(regexp_replace(text, '([<\[])(\*)(/?s>|/?SYS\]|/?INST\]|/?TURN[ \]])', '\1\2\\3', 'g'))
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?SYS\]|/?INST\]|/?TURN[ \]])', '\1\2\\\3', 'g'))
   + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 16 + length(role) END AS n FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
