@@ -185,7 +185,7 @@ def _pack(bucket: np.ndarray, kid: np.ndarray, n: np.ndarray, h: np.ndarray, df:
     run = np.flatnonzero(np.concatenate([[True], (kid[1:] != kid[:-1]) | (bucket[1:] != bucket[:-1])])) if len(kid) else np.zeros(0, np.int64)
     length = np.diff(np.append(run, len(kid))).astype("<u4")
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = np.append(cut[1:], len(bucket))
+    ends = np.append(cut, len(bucket))[1:]
     first = np.append(np.searchsorted(run, cut), len(run))
     raw = [h[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if six else h[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]
     parts = [slice(x, y) for x, y in zip(first[:-1], first[1:], strict=True)]

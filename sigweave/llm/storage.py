@@ -81,8 +81,9 @@ def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     schema = to_arrow_schema(sample.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if t.num_rows:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            t = pa.Table.from_batches(rows)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(t))], pa.binary())], names=["model"])
 
     got = sample.repartition(1).mapInArrow(run, "model binary").collect()

@@ -75,7 +75,7 @@ def _tables(h: np.ndarray, prev: np.ndarray, doc: np.ndarray, toxic: np.ndarray)
         once = np.unique(place * np.int64(len(toxic)) + doc)
         x = (once // len(toxic)) * 2 + toxic[once % len(toxic)]
         c = np.bincount(x, minlength=2 * n).reshape(n, 2).astype(float)
-        return c * (c.sum(0).min() / np.maximum(c.sum(0), 1))
+        return c * (c.sum(0).min() / c.sum(0)) if c.sum(0).min() else c
 
     discount = max(DISCOUNT, DISCOUNT_SHARE * sizes.min())
 
@@ -98,6 +98,13 @@ def _tables(h: np.ndarray, prev: np.ndarray, doc: np.ndarray, toxic: np.ndarray)
     return keys, word, pairs, pair, contexts, back, 1.0 / (both.sum() / 2 + 1)
 
 
+def _at(values: np.ndarray, places: np.ndarray, otherwise: float) -> np.ndarray:
+    """The rows at the places; otherwise, where a place is -1."""
+    out = np.full((len(places), *values.shape[1:]), otherwise)
+    out[places >= 0] = values[places[places >= 0]]
+    return out
+
+
 def features(h: np.ndarray, first: np.ndarray, tables: tuple, found: tuple[Index, Index, Index], window: int) -> np.ndarray:
     """For each document: the largest length-normalised difference of a window, and that of all its words."""
     _, word, _, pair, _, back, unseen = tables
@@ -106,10 +113,7 @@ def features(h: np.ndarray, first: np.ndarray, tables: tuple, found: tuple[Index
     if len(h):
         prev = previous(h, first)
         w, p, c = found[0].find(h), found[1].find(textscan.chain(prev, h)), found[2].find(prev)
-        low = np.where((w >= 0)[:, None], word[np.maximum(w, 0)] if len(word) else unseen, unseen)
-        weight = np.where(c >= 0, back[np.maximum(c, 0)], 1.0)[:, None]
-        high = np.where((p >= 0)[:, None], pair[np.maximum(p, 0)], 0.0)
-        logs = np.log(high + weight * low)
+        logs = np.log(_at(pair, p, 0.0) + _at(back, c, 1.0)[:, None] * _at(word, w, unseen))
         doc = np.repeat(np.arange(n), np.diff(first))
         gain = np.zeros(len(h))
         once = np.unique(h + doc.astype(U64) * U64(0x9E3779B97F4A7C15), return_index=True)[1]
@@ -154,7 +158,9 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, window: int, fo
         h, first = joined(which)
         return _tables(h, previous(h, first), np.repeat(np.arange(len(which)), np.diff(first)), toxic[which])
 
-    fold, x = np.arange(len(docs)) % folds, np.zeros((len(docs), 2))
+    fold, x = np.zeros(len(docs), np.int64), np.zeros((len(docs), 2))
+    for k in (0, 1):
+        fold[toxic == k] = np.arange((toxic == k).sum()) % folds
     for k in range(folds):
         rest, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(rest) and len(mine) and sum(len(docs[i]) for i in rest):

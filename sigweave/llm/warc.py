@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -68,12 +69,18 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
         if at + size >= len(data) or size > 1 << 20:
             raise Damage("header without an end")
         size *= 4
-    headers = {}
-    for line in bytes(data[at : at + stop]).split(b"\r\n")[1:]:
+    headers: dict[str, str] = {}
+    version, *lines = bytes(data[at : at + stop]).split(b"\r\n")
+    if not re.fullmatch(rb"WARC/\d\.\d+", version):
+        raise Damage("version line")
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("header line without a colon")
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("latin-1")
+        if key in headers and key != "warc-concurrent-to":
+            raise Damage("header line twice")  # as where a cut-off header runs into the next one
+        headers[key] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
         raise Damage("no length or type")
     start = at + stop + 4
