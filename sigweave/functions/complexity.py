@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The longest words counted, the largest entropy of words of one to three letters, the threshold.
 LONGEST, BASE_ENTROPY, THRESHOLD = 5, 12.0, 0.65
@@ -36,7 +37,7 @@ def _entropies(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _score(s: pd.Series) -> pd.Series:
     out = np.full(len(s), np.nan)
     sizes = s.str.len().fillna(0).astype(int).to_numpy()

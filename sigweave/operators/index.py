@@ -31,7 +31,7 @@ def build_sketch(unique: DataFrame, refs: DataFrame, *, c: int = 100, threshold:
     the same for every run and every partitioning. Spark keeps c rows a reference in each
     task before it shuffles, so a reference of any size costs c rows a task.
     """
-    passing = unique.where(~is_low_complexity("kmer", threshold))
+    passing = unique.select("kmer", "ref_id", "contig", "pos").where(~is_low_complexity("kmer", threshold))
     order = Window.partitionBy("ref_id").orderBy(F.md5(F.concat("kmer", F.lit(seed))), "kmer")
     chosen = passing.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= c)
     names = refs.select("ref_id", "ref_name").crossJoin(refs.agg(F.count("*").cast("int").alias("num_refs")))
