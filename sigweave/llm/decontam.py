@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -99,17 +100,18 @@ def hits(a: Automaton, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, n
     return np.cumsum(edge[:-1]) > 0, first, found, starts, ends
 
 
-def _load(bench: DataFrame, id_col: str, text_col: str, window: int, most_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    parts, size = [[]], 0
+def _load(bench: DataFrame, id_col: str, text_col: str, window: int, most_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items with their patterns, in parts of about most_bytes; one part at least. The driver holds one part at a time."""
+    part, size = [], 0
     for r in bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
         p = patterns_of(r["t"], window)
         more = sum(map(len, p))
-        if parts[-1] and size + more > most_bytes:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["i"], p))
+        if part and size + more > most_bytes:
+            yield part
+            part, size = [], 0
+        part.append((r["i"], p))
         size += more
-    return parts
+    yield part
 
 
 def _start(spark: SparkSession, items: list, place: int, state: tuple[int, int] | None):
@@ -156,12 +158,11 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col:
     share: a document is contaminated when it is hit and n_hit / n_words is at least this fraction.
     """
     spark, out = docs.sparkSession, docs
-    parts = _load(bench, item_col, item_text_col, window, most_bytes)
-    for k, items in enumerate(parts):
+    for k, items in enumerate(_load(bench, item_col, item_text_col, window, most_bytes)):
+        if k:
+            out = storage.written(out, "decontam")
         state = (out.columns.index("_bits"), out.columns.index("_items")) if k else None
         out = storage.map_columns(out, _STATE, _start(spark, items, out.columns.index(text_col), state))
-        if k + 1 < len(parts):
-            out = storage.written(out, "decontam")
 
     places = [out.columns.index(c) for c in ("_words", "_bits", "_items")]
 

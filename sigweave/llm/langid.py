@@ -135,7 +135,7 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: tuple[int, int] | None = None, sample: int = 4000, clusters: int = 4, slack: float = 0.5) -> LanguageModel:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: tuple[int, int] | None = None, sample: int = 4000, clusters: int = 4, slack: float = 0.8) -> LanguageModel:
     """Fit on a bounded sample: about sample / languages rows of each language, chosen by the hash of the id.
 
     At most 256 languages are expected. Texts become count vectors where they are read, so

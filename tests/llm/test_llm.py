@@ -71,7 +71,9 @@ def test_index(keys, more):
     assert textscan.Index(keys).find(asked).tolist() == [int(np.flatnonzero(keys == q)[0]) if (keys == q).any() else -1 for q in asked]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [200_000, -1])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(None, 1), (5, 5)]
     near = collections.defaultdict(set)
