@@ -4,10 +4,11 @@ Each class (toxic, ordinary) has a bigram model over lower-cased letter words. T
 weights of backing off come from the counts of both classes together. Counts are of
 documents that an n-gram continues in; what the discount takes from both classes is one
 shared backoff count, so an expression too rare to be evidence gets the same probability
-from either class, whatever the classes' sizes. A word's repetitions within a document add nothing. A document
+from either class, whatever the classes' sizes, but for a tilt by its stem (the first bytes
+of longer words), whose own counts back off in the same way. A word's repetitions within a document add nothing. A document
 is read in windows of `window` words; each window gives the difference of the two
-length-normalised log-likelihoods. The largest window difference and that of the
-whole document go into a logistic function, fitted on cross-fitted values.
+length-normalised log-likelihoods. The largest window difference and that of the rest of
+the document go into a logistic function, fitted on cross-fitted values.
 
 Nulls and empty texts have no words: both differences are 0. Repeated rows are scored
 each on its own. An empty label table, or one class only, gives every text the share
@@ -31,6 +32,8 @@ from .textscan import U64, Index
 #: fewer documents is a rare expression (or one group of copies) and is left to the shared model.
 DISCOUNT, DISCOUNT_SHARE = 2.5, 0.012
 START = U64(0x5EED)
+#: Words of at least so many bytes have a stem, of so many bytes.
+STEM_FROM, STEM_BYTES = 6, 4
 
 
 @dataclass
@@ -41,17 +44,23 @@ class ToxicityModel:
     pair_mass: np.ndarray  # discounted p(word | previous, class)
     prev_keys: np.ndarray
     prev_back: np.ndarray  # backoff weight of a previous word, from the counts of both classes
+    stem_keys: np.ndarray
+    stem_tilt: np.ndarray  # how much likelier than on average a stem is in each class
     weights: np.ndarray
     window: int
 
-    def index(self) -> tuple[Index, Index, Index]:
-        return Index(self.word_keys), Index(self.pair_keys), Index(self.prev_keys)
+    def index(self) -> tuple[Index, ...]:
+        return Index(self.word_keys), Index(self.pair_keys), Index(self.prev_keys), Index(self.stem_keys)
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, each document's first word, and stem hashes (the first bytes of longer words; 0 for others)."""
     low = textscan.lower_latin(buf)
     starts, ends, first = textscan.word_spans(low, offs, textscan.NON_LETTER)
-    return textscan.span_hashes(low, starts, ends), first
+    stems = np.zeros(len(starts), U64)
+    long = ends - starts >= STEM_FROM
+    stems[long] = textscan.span_hashes(low, starts[long], starts[long] + STEM_BYTES) | U64(1)
+    return textscan.span_hashes(low, starts, ends), first, stems
 
 
 def previous(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -61,7 +70,7 @@ def previous(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return prev
 
 
-def _tables(h: np.ndarray, prev: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple:
+def _tables(h: np.ndarray, prev: np.ndarray, stem: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple:
     """Keys and probabilities from the words, their predecessors, their documents, and the documents' classes.
 
     A document counts once for each n-gram, and the larger class is scaled down to the smaller.
@@ -85,7 +94,15 @@ def _tables(h: np.ndarray, prev: np.ndarray, doc: np.ndarray, toxic: np.ndarray)
         """What exceeds the discount, and the shared backoff count: what the discount took from both classes."""
         return np.maximum(c - d, 0) + np.minimum(c, d).mean(1, keepdims=True)
 
-    word = shared(both, discount)
+    # A stem tilts that count towards the class that its words are commoner in.
+    stems, stem_first, stem_at = np.unique(stem, return_index=True, return_inverse=True)
+    tilt = shared(counts(stem_at, len(stems)), discount)
+    tilt /= tilt.mean(1, keepdims=True)
+    tilt[stem[stem_first] == 0] = 1
+    back = np.minimum(both, discount).mean(1, keepdims=True)
+    some_place = np.zeros(len(keys), np.int64)
+    some_place[at] = stem_at
+    word = np.maximum(both - discount, 0) + back * tilt[some_place]
     word /= word.sum(0).mean() + 1
     # A pair needs twice the documents. Of its context's mass, pairs within the discount go to the words.
     c = counts(pair_at, len(pairs))
@@ -94,8 +111,8 @@ def _tables(h: np.ndarray, prev: np.ndarray, doc: np.ndarray, toxic: np.ndarray)
     group = context_at[first]
     total = np.bincount(group, c.mean(1), minlength=len(contexts))
     kept = np.bincount(group, mass.mean(1), minlength=len(contexts))
-    pair, back = mass / np.maximum(total[group], 1e-9)[:, None], np.clip(1 - kept / np.maximum(total, 1e-9), 0.05, 1)
-    return keys, word, pairs, pair, contexts, back, 1.0 / (both.sum() / 2 + 1)
+    pair, weight = mass / np.maximum(total[group], 1e-9)[:, None], np.clip(1 - kept / np.maximum(total, 1e-9), 0.05, 1)
+    return keys, word, pairs, pair, contexts, weight, 1.0 / (both.sum() / 2 + 1), stems, tilt
 
 
 def _at(values: np.ndarray, places: np.ndarray, otherwise: float) -> np.ndarray:
@@ -105,15 +122,17 @@ def _at(values: np.ndarray, places: np.ndarray, otherwise: float) -> np.ndarray:
     return out
 
 
-def features(h: np.ndarray, first: np.ndarray, tables: tuple, found: tuple[Index, Index, Index], window: int) -> np.ndarray:
-    """For each document: the largest length-normalised difference of a window, and that of all its words."""
-    _, word, _, pair, _, back, unseen = tables
+def features(h: np.ndarray, first: np.ndarray, stem: np.ndarray, tables: tuple, found: tuple[Index, ...], window: int) -> np.ndarray:
+    """For each document: the largest length-normalised difference of a window, and that of all words outside it."""
+    _, word, _, pair, _, back, unseen, _, tilt = tables
     n = len(first) - 1
     out = np.zeros((n, 2))
     if len(h):
         prev = previous(h, first)
         w, p, c = found[0].find(h), found[1].find(textscan.chain(prev, h)), found[2].find(prev)
-        logs = np.log(_at(pair, p, 0.0) + _at(back, c, 1.0)[:, None] * _at(word, w, unseen))
+        low = _at(word, w, unseen)
+        low[w < 0] *= _at(tilt, found[3].find(stem[w < 0]), 1.0)
+        logs = np.log(_at(pair, p, 0.0) + _at(back, c, 1.0)[:, None] * low)
         doc = np.repeat(np.arange(n), np.diff(first))
         gain = np.zeros(len(h))
         once = np.unique(h + doc.astype(U64) * U64(0x9E3779B97F4A7C15), return_index=True)[1]
@@ -123,7 +142,8 @@ def features(h: np.ndarray, first: np.ndarray, tables: tuple, found: tuple[Index
         part = (sums[np.minimum(start + window, first[doc + 1])] - sums[start]) / window
         full = np.flatnonzero(np.diff(first))
         out[full, 0] = np.maximum.reduceat(part, first[full])
-        out[full, 1] = (sums[first[full + 1]] - sums[first[full]]) / (np.diff(first)[full] + window)
+        rest = sums[first[full + 1]] - sums[first[full]] - out[full, 0] * window
+        out[full, 1] = rest / (np.diff(first)[full] + window)
     return out
 
 
@@ -143,20 +163,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, window: int, folds: int = 4) -> ToxicityModel:
-    """The model from word-hash sequences; share: of label 1 among all labelled rows."""
+    """The model from documents of word hashes followed by as many stem hashes; share: of label 1 among all labelled rows."""
     toxic = np.asarray(toxic, np.int64)
     empty = np.zeros(0, U64)
     if not len(docs) or toxic.min() == toxic.max() or not sum(map(len, docs)):
         logit = float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -25, 25))
-        return ToxicityModel(empty, (np.zeros((0, 2)), 1.0), empty, np.zeros((0, 2)), empty, np.zeros(0), np.array([0.0, 0.0, logit]), window)
+        return ToxicityModel(empty, (np.zeros((0, 2)), 1.0), empty, np.zeros((0, 2)), empty, np.zeros(0), empty, np.zeros((0, 2)), np.array([0.0, 0.0, logit]), window)
 
-    def joined(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = [docs[i] for i in which]
-        return (np.concatenate(part) if part else empty), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64)
+    def joined(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = [docs[i].reshape(2, -1) for i in which]
+        h, stem = np.concatenate(part, axis=1)
+        return h, np.concatenate([[0], np.cumsum([x.shape[1] for x in part])]).astype(np.int64), stem
 
     def tables_of(which: np.ndarray) -> tuple:
-        h, first = joined(which)
-        return _tables(h, previous(h, first), np.repeat(np.arange(len(which)), np.diff(first)), toxic[which])
+        h, first, stem = joined(which)
+        return _tables(h, previous(h, first), stem, np.repeat(np.arange(len(which)), np.diff(first)), toxic[which])
 
     fold, x = np.zeros(len(docs), np.int64), np.zeros((len(docs), 2))
     for k in (0, 1):
@@ -165,22 +186,22 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, window: int, fo
         rest, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(rest) and len(mine) and sum(len(docs[i]) for i in rest):
             t = tables_of(rest)
-            x[mine] = features(*joined(mine), t, (Index(t[0]), Index(t[2]), Index(t[4])), window)
+            x[mine] = features(*joined(mine), t, tuple(Index(t[i]) for i in (0, 2, 4, 7)), window)
     by_class = np.array([(1 - share) / max((toxic == 0).mean(), 1e-9), share / max((toxic == 1).mean(), 1e-9)])
     t = tables_of(np.arange(len(docs)))
     # Pairs without discounted mass only repeat what the backoff says.
     some = t[3].max(1) > 0
-    return ToxicityModel(t[0], (t[1], t[6]), t[2][some], t[3][some], t[4], t[5], _logistic(x, toxic, by_class[toxic]), window)
+    return ToxicityModel(t[0], (t[1], t[6]), t[2][some], t[3][some], t[4], t[5], t[7], t[8], _logistic(x, toxic, by_class[toxic]), window)
 
 
 def score_slice(m: ToxicityModel, found: tuple, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    h, first = words(buf, offs)
-    t = (m.word_keys, m.word_logs[0], m.pair_keys, m.pair_mass, m.prev_keys, m.prev_back, m.word_logs[1])
-    x = features(h, first, t, found, m.window)
+    h, first, stem = words(buf, offs)
+    t = (m.word_keys, m.word_logs[0], m.pair_keys, m.pair_mass, m.prev_keys, m.prev_back, m.word_logs[1], m.stem_keys, m.stem_tilt)
+    x = features(h, first, stem, t, found, m.window)
     return 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 3000, window: int = 16) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 3000, window: int = 5) -> ToxicityModel:
     """Fit on a bounded sample: about `sample_per_class` labelled rows of each class, chosen by the hash of the id.
 
     holdout: (modulus, remainder) of crc32(id as text) whose rows teach nothing.
@@ -200,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         def run(b: pa.RecordBatch) -> list:
             out: list[bytes] = []
             for i, j, buf, offs in textscan.slices(b.column(b.schema.get_field_index("_text"))):
-                h, first = words(buf, offs)
-                out += [h[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+                h, first, stem = words(buf, offs)
+                out += [h[first[k] : first[k + 1]].tobytes() + stem[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
             return [out]
 
         return run
