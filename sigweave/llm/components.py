@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
 
+#: Edges up to which one task (not the driver) merges them; it holds some tens of MB. Above, steps over all tasks do.
+ONE_TASK_EDGES = 200_000
+
+
+def merged(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the smallest node each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = list(range(len(nodes)))
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    out = np.array(root, np.int64)
+    while len(out) and (out[out] != out).any():
+        out = out[out]
+    return nodes, nodes[out]
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): every node of an edge with the smallest node it reaches.
@@ -17,10 +39,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     x, y = F.col(a), F.col(b)
     now = storage.written(edges.where(x != y).select(F.greatest(x, y).alias("v"), F.least(x, y).alias("u")).distinct(), "edges")
+
+    def one(batches):
+        t = pa.Table.from_batches(list(batches), pa.schema([("v", pa.int64()), ("u", pa.int64())]))
+        nodes, least = merged(t.column("u").to_numpy(), t.column("v").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
+
     state = None
     while True:
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
-        if sign["n"] == 0 or sign == state:
+        if sign["n"] <= ONE_TASK_EDGES:
+            return now.repartition(1).mapInArrow(one, "node long, component long")
+        if sign == state:
             break
         state = sign
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
