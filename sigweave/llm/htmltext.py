@@ -198,13 +198,13 @@ class Labeller:
             k = j
         return out + self.w[4][0]
 
-    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.015, batch: int = 48) -> None:
         r, m = np.random.default_rng(seed), [(np.zeros_like(w), np.zeros_like(w)) for w in self.w]
         pages, step = np.flatnonzero(np.diff(first)), 0
         for epoch in range(epochs):
             order = r.permutation(pages)
-            for k in range(0, len(order), 32):
-                which = order[k : k + 32]
+            for k in range(0, len(order), batch):
+                which = order[k : k + batch]
                 p, ways = np.zeros(len(x), np.float32), []
                 for d in (0, 1):
                     raw, at = self._padded(x, first, which, bool(d))
@@ -339,7 +339,7 @@ def training_set(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 @functools.lru_cache(maxsize=2)
-def train(pages: int = 1500, epochs: int = 8, seed: int = 11) -> Labeller:
+def train(pages: int = 1300, epochs: int = 8, seed: int = 11) -> Labeller:
     """A labeller trained on generated pages; the same for the same parameters."""
     x, first, y = training_set(pages, seed)
     m = Labeller(seed)
