@@ -114,7 +114,7 @@ def _load(bench: DataFrame, id_col: str, text_col: str, window: int, most_bytes:
     yield part
 
 
-def _start(spark: SparkSession, items: list, place: int, state: tuple[int, int] | None):
+def _start(spark: SparkSession, items: list, place: int, state: tuple[int, int] | None, share: tuple[int, int]):
     """A scan of column `place`; state: the places of the bitmap and the items of passes before."""
     sent = spark.sparkContext.broadcast(items)
 
@@ -122,7 +122,7 @@ def _start(spark: SparkSession, items: list, place: int, state: tuple[int, int]
         a = Automaton(sent.value)
 
         def run(b: pa.RecordBatch) -> list:
-            n, bits, items_of, spans = [], [], [], []
+            out: list[list] = [[] for _ in _NEW]
             row = 0
             for _, _, buf, offs in textscan.slices(b.column(place)):
                 hit, first, found, starts, ends = hits(a, buf, offs)
@@ -131,25 +131,28 @@ def _start(spark: SparkSession, items: list, place: int, state: tuple[int, int]
                     if state:
                         before = np.unpackbits(np.frombuffer(b.column(state[0])[row].as_py(), np.uint8), count=len(mine)).astype(bool)
                         mine, own = mine | before, own | set(b.column(state[1])[row].as_py())
-                    n.append(len(mine))
-                    bits.append(np.packbits(mine).tobytes())
-                    items_of.append(sorted(own))
                     run_spans = []
                     if mine.any():
                         chars = textscan.char_offsets(buf[offs[k] : offs[k + 1]].tobytes())
                         change = np.diff(np.concatenate([[0], mine.view(np.int8), [0]]))
                         s, e = starts[first[k] : first[k + 1]] - offs[k], ends[first[k] : first[k + 1]] - offs[k]
                         run_spans = [{"start": int(chars[s[x]]), "end": int(chars[e[y - 1]])} for x, y in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1), strict=True)]
-                    spans.append(run_spans)
+                    n, n_hit, ids = len(mine), int(mine.sum()), sorted(own)
+                    made = (np.packbits(mine).tobytes(), n, n_hit, len(ids), ids, hashlib.sha256(",".join(ids).encode()).hexdigest(), run_spans, n_hit > 0 and share[1] * n_hit >= share[0] * n)
+                    for column, x in zip(out, made, strict=True):
+                        column.append(x)
                     row += 1
-            return [n, bits, items_of, spans]
+            return out
 
         return run
 
     return start
 
 
-_STATE = [("_words", T.LongType()), ("_bits", T.BinaryType()), ("_items", T.ArrayType(T.StringType())), ("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+_NEW = [
+    ("_bits", T.BinaryType()), ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.ArrayType(T.StringType())), ("items_sha256", T.StringType()),
+    ("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("contaminated", T.BooleanType()),
+]
 
 
 def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: tuple[int, int] = (1, 20), most_bytes: int = 16 << 20) -> DataFrame:
@@ -161,18 +164,6 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col:
     for k, items in enumerate(_load(bench, item_col, item_text_col, window, most_bytes)):
         if k:
             out = storage.written(out, "decontam")
-        state = (out.columns.index("_bits"), out.columns.index("_items")) if k else None
-        out = storage.map_columns(out, _STATE, _start(spark, items, out.columns.index(text_col), state))
-
-    places = [out.columns.index(c) for c in ("_words", "_bits", "_items")]
-
-    def count() -> object:
-        def run(b: pa.RecordBatch) -> list:
-            n, bits, items = (b.column(p).to_pylist() for p in places)
-            hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in bits]
-            return [n, hit, [len(x) for x in items], items, [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], [h > 0 and share[1] * h >= share[0] * w for h, w in zip(hit, n, strict=True)]]
-
-        return run
-
-    new = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.ArrayType(T.StringType())), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
-    return storage.map_columns(out, new, count, keep=[c for c in out.columns if c not in ("_words", "_bits", "_items")])
+        state = (out.columns.index("_bits"), out.columns.index("items")) if k else None
+        out = storage.map_columns(out, _NEW, _start(spark, items, out.columns.index(text_col), state, share))
+    return out.drop("_bits")

@@ -37,7 +37,7 @@ from .components import components
 from .textscan import U64
 
 #: Hashes a bucket of step 1 and shingles a task of step 3 hold, about; hashes a message is made from.
-BUCKET, TASK, CHUNK = 2_000_000, 1_500_000, 1_000_000
+BUCKET, TASK, CHUNK = 1_000_000, 1_000_000, 500_000
 #: Rows of (id, cluster) up to which step 3 broadcasts them to the documents; above, both are shuffled.
 BROADCAST_ROWS = 1_000_000
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _HASH_CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 

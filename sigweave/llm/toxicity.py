@@ -201,7 +201,7 @@ def score_slice(m: ToxicityModel, found: tuple, buf: np.ndarray, offs: np.ndarra
     return 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 3000, window: int = 5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 2000, window: int = 5) -> ToxicityModel:
     """Fit on a bounded sample: about `sample_per_class` labelled rows of each class, chosen by the hash of the id.
 
     holdout: (modulus, remainder) of crc32(id as text) whose rows teach nothing.
