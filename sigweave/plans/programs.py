@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("-c", "--cov", type=int, default=100)
     i.add_argument("-e", "--entropy", type=float, default=THRESHOLD)
     i.add_argument("-o", "--out", default="sketch_uniq.tsv")
-    i.add_argument("-f", "--outdir", default="outdir_uniqsketch")
+    i.add_argument("-f", "--outdir", default="outdir_index")
     i.add_argument("-r", "--stat", default="db_uniq_count.tsv")
     q = sub.add_parser("query", conflict_handler="resolve")
     q.add_argument("-l", "--r1", required=True)
