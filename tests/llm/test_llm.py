@@ -174,6 +174,24 @@ def test_language_odd_input(spark):
     assert {x.lang_pred for x in langid.identify(odd(spark), empty).collect()} == {"und"}
 
 
+def test_language_rejects(spark):
+    r = random.Random(11)
+
+    def text(parts, n):
+        return " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+    junk = [(1000 + i, t, k, "s", 0) for i, (t, k) in enumerate([("zq", "aa"), ("x", "bb"), ("j", "cc"), ("lomi frenav lo", "aa"), ("vwx", "cc")])]
+    model = langid.train(table(spark, [*lang_rows(600), *junk]))
+    known = [text(_LANGS[k], n) for k in _LANGS for n in (1, 2, 3, 5, 8) for _ in range(20)]
+    other = [text(["lo", "mi", "fre", "nav"], n) for n in (12, 25, 50) for _ in range(20)]
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n)) for n in (12, 25, 50) for _ in range(20)]
+    out = []
+    for texts in (known, other, noise):
+        got = langid.identify(table(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), model).collect()
+        out.append(sum(x.rejected for x in got) / len(got))
+    assert out[0] <= 0.02 and out[1] >= 0.9 and out[2] >= 0.9
+
+
 # --- Jaccard ----------------------------------------------------------------
 
 
