@@ -7,7 +7,10 @@ gzip member, which readers skip.
 The reader checks every member (CRC, length) and every record (version line, header lines,
 block length, block and payload digest, closing line ends). Where a check fails, it searches
 for the next member or version line that begins a valid record, goes on from there, and
-reports the bytes between as a quarantined gap.
+reports the bytes between as a quarantined gap. What a damaged member inflates to is searched
+in the same way: its valid records count, and each bad stretch of it is a gap; both have the
+member's place. Where inflating failed (but for a cut-off end), only records with a block
+digest are valid, and none that ends just where inflating stopped. A member of which only the checksum is bad and all records are valid has no gap.
 
 A null payload is empty. Of payloads with equal digests and at least `revisit_from` bytes,
 the row of the largest id is the response and the others revisit it; rows that repeat that
@@ -96,51 +99,102 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     if kind == "response" and want.startswith("sha1:") and want[5:] != digest(payload):
         raise Damage("payload digest")
     length = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and x[15:].strip().isdigit()), len(payload))
-    return {"type": kind, "id": headers.get("warc-record-id"), "uri": headers.get("warc-target-uri"), "refers": headers.get("warc-refers-to"), "digest": want[5:] if want.startswith("sha1:") else digest(payload), "length": len(payload) if kind == "response" else length, "payload": payload if kind == "response" else None}, end + 4
+    return {"type": kind, "id": headers.get("warc-record-id"), "uri": headers.get("warc-target-uri"), "refers": headers.get("warc-refers-to"), "digest": want[5:] if want.startswith("sha1:") else digest(payload), "length": len(payload) if kind == "response" else length, "payload": payload if kind == "response" else None, "checked": "warc-block-digest" in headers and headers["warc-block-digest"].startswith("sha1:")}, end + 4
 
 
-def member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at` and the place after it; Damage if it is not whole."""
+def member(data: memoryview, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at `at` inflates to, the place after it, and what is wrong with it ("": nothing).
+
+    The place is None if the member's compressed data do not end; without a right checksum it is where they end.
+    """
     d, out, pos = zlib.decompressobj(31), [], at
     try:
         while not d.eof and pos < len(data):
             out.append(d.decompress(data[pos : pos + _CHUNK]))
             pos += _CHUNK
+        if d.eof:
+            return b"".join(out), min(pos, len(data)) - len(d.unused_data), ""
+        d.decompress(bytes(8))  # tells whether only the checksum is cut off
+        return b"".join(out), None, "gzip: cut off"
     except zlib.error as e:
-        raise Damage(f"gzip: {e}") from None
-    if not d.eof:
-        raise Damage("gzip: cut off")
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
+        error = str(e)
+    # The failing chunk again, byte by byte, as zlib keeps back what it had inflated of it.
+    d, done = zlib.decompressobj(31), at
+    out = []
+    try:
+        while done + _CHUNK <= min(pos, len(data)):
+            out.append(d.decompress(data[done : done + _CHUNK]))
+            done += _CHUNK
+        while True:
+            out.append(d.decompress(data[done : done + 1] if done < len(data) else b"\0"))
+            done += 1
+    except zlib.error:
+        done += 1
+    trailer = 4 if "data check" in error else 8 if "length check" in error else None
+    if trailer is None:
+        return b"".join(out), None, "gzip: cut off" if done > len(data) else f"gzip: {error}"
+    return b"".join(out), min(done - trailer, len(data)), f"gzip: {error}"
+
+
+def records(text: bytes, digests: bool) -> list[dict | str]:
+    """The whole records of a text, and a reason for each bad stretch; digests: only records with a block digest count."""
+    found: list[dict | str] = []
+    pos, bad = 0, False
+    while pos < len(text):
+        try:
+            r, end = parse(text, pos)
+            if digests and not r["checked"]:
+                raise Damage("no digest in a damaged member")
+        except Damage as e:
+            if not bad:
+                found.append(str(e))
+            bad, pos = True, text.find(b"WARC/", pos + 1)
+            if pos < 0:
+                break
+            continue
+        found.append(r)
+        bad, pos = False, end
+    return found
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record) of every whole record, and (start, end, reason) of every quarantined gap."""
-    view, at, bad, reason = memoryview(data), 0, None, ""
+    view, at, bad = memoryview(data), 0, None
+    held: list[dict | str] = []  # what the damage from `bad` on gives
+
+    def place(after: int) -> int:
+        return min((p for p in (data.find(b"\x1f\x8b\x08", after), data.find(b"WARC/", after)) if p >= 0), default=len(data))
+
     while at < len(data):
-        try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                text, end = member(view, at)
-                found, pos = [], 0
-                while pos < len(text):
-                    r, pos = parse(text, pos)
-                    found.append(r)
-            else:
+        error, end = "", None
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            text, end, error = member(view, at)
+            found = records(text, bool(error) and error != "gzip: cut off")
+            if error and end is None and (not found or not isinstance(found[-1], str)):
+                found[-1:] = [error]  # a record that ends just where inflating stopped is not counted
+        else:
+            try:
                 r, end = parse(view, at)
                 found = [r]
-        except Damage as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            places = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
-            at = min(places, default=len(data))
-            continue
-        if bad is not None and found:  # an empty member may be chance within damage
-            yield bad, at, reason
+            except Damage as e:
+                found = [str(e)]
+        good = any(not isinstance(r, str) for r in found)
+        if good and bad is not None:
+            for r in held:
+                yield bad, at, r
             bad = None
-        for r in found:
-            yield at, end, r
-        at = end
+        if good and end is not None:
+            if error:  # up to the next member, which begins early where the checksum is cut off
+                end = min(place(end), end + 8)
+            for r in found:
+                yield at, end, r
+        elif (found or error) and bad is None:
+            bad, held = at, found if good else [error or found[0]]
+        # An empty member may be chance within damage, and ends no gap.
+        at = place(at + 1) if end is None or error and not good else end
     if bad is not None:
-        yield bad, len(data), reason
+        for r in held:
+            yield bad, len(data), r
 
 
 _READ = T.StructType([

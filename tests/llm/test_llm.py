@@ -336,6 +336,40 @@ def test_salvage(packed):
         assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("how", ["record", "checksum", "cut", "flip"])
+def test_salvage_within_members(how):
+    r = random.Random(6)
+    parts = []
+    for i in range(12):
+        p = bytes(r.randrange(32, 127) for _ in range(3000))
+        parts.append(warc.record(str(i), f"http://h/{i}", p, warc.digest(p), None, "2000-01-01T00:00:00Z"))
+    if how == "record":
+        for k in (3, 4, 8):
+            parts[k] = parts[k][:1500] + b"?" + parts[k][1502:]
+    first = bytearray(warc.gzip.compress(b"".join(parts), mtime=0))
+    if how == "checksum":
+        first[-6] ^= 0x55
+    elif how == "cut":
+        del first[len(first) // 2 :]
+    elif how == "flip":
+        first[len(first) // 2] ^= 0x55
+    last = archive(3, True)
+    found = list(warc.salvage(bytes(first) + b"".join(last)))
+    ids = [int(re.search(r"\d+", x["id"])[0]) for _, _, x in found if not isinstance(x, str)]
+    gaps = [(a, b) for a, b, x in found if isinstance(x, str)]
+    assert ids[-3:] == [0, 1, 2]
+    if how == "record":
+        assert ids[:-3] == [0, 1, 2, 5, 6, 7, 9, 10, 11] and gaps == [(0, len(first))] * 2
+    elif how == "checksum":
+        assert ids[:-3] == list(range(12)) and not gaps
+    else:
+        assert {0, 1, 2, 3, 4} <= set(ids[:-3]) and len(set(ids[:-3])) < 12 and gaps == [(0, len(first))]
+    spans = sorted({(a, b) for a, b, _ in found})
+    assert spans[0][0] == 0 and spans[-1][1] == len(first) + sum(map(len, last)) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    tail = list(warc.salvage(bytes(first)[: len(first) // 3]))  # cut off at the end of the file
+    assert tail[0][2]["id"] == "<urn:x-page:0>" and isinstance(tail[-1][2], str) and {(a, b) for a, b, _ in tail} == {(0, len(first) // 3)}
+
+
 def test_salvage_quarantines_noise(spark, tmp_path):
     parts = archive(3, True)
     (tmp_path / "part-0").write_bytes(parts[0] + b"noise \x1f\x8b\x08 more WARC/ noise" + parts[1] + parts[2][:-9])
