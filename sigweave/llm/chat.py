@@ -67,16 +67,19 @@ def render(turns: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]
     return "".join(out), spans
 
 
+_START = re.compile(r"\[(SYS|INST)\] |\[TURN ([^\]]*)\] ")
+
+
 def read(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted conversation."""
     at, turns = 3, []
     if not formatted.startswith("<s>"):
         raise ValueError("no beginning")
     while at < len(formatted):
-        m = re.compile(r"\[(SYS|INST|TURN)(?: ([^\]]*))?\] ").match(formatted, at)
+        m = _START.match(formatted, at)
         if m:
-            role = {"SYS": "system", "INST": "user"}.get(m[1]) or _unquoted(m[2] or "")
-            close = f" [/{m[1]}]"
+            role = {"SYS": "system", "INST": "user"}.get(m[1]) or _unquoted(m[2])
+            close = f" [/{m[1] or 'TURN'}]"
             at = m.end()
         else:
             role, close = "assistant", "</s>"

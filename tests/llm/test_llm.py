@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -524,6 +524,16 @@ def test_packing(spark, monkeypatch):
     assert len(sequences) == packing_bound(got)
 
 
+@pytest.mark.parametrize("text", ["\n" * 1_000_000, " " * 300_000 + "x", "a" * 1_000_000, "x \n" * 200_000])
+def test_encoder_on_hostile_texts(text):
+    import time
+
+    encode, began = packing.Encoder(tokenizer_path()), time.time()
+    ids = encode(text)
+    assert encode.slow.decode(ids.tolist(), skip_special_tokens=False) == text and time.time() - began < 20
+    assert ids.tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+
+
 def packing_bound(got):
     bins = []
     for n in sorted((x.length for x in got), reverse=True):
@@ -599,7 +609,9 @@ _CHAT = st.text(alphabet=st.sampled_from(list("<>/[]\\sINSTYURN aé\n")), max_si
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "a b]\n"]), _CHAT | st.sampled_from(["</s>[INST] ok [/INST]", "[TURN x] y [/TURN]", "<\\/s>", "[INST"])), max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "a b]\n"]), _CHAT | st.sampled_from(["</s>[INST] ok [/INST]", "[TURN x] y [/TURN]", "<\\/s>", "[INST", "[SYS note] hello", "[INST x] hi", "[/INST x] ", "[SYS", "[TURN]"]) | st.lists(st.sampled_from(["[SYS", "[INST", "[TURN", "[/", "] ", " ", "x", "<s>", "</s>", "\\"]), max_size=6).map("".join)), max_size=6))
+@example([("assistant", "[SYS note] hello")])
+@example([("assistant", "[INST x] hi"), ("user", "q")])
 def test_chat_reversible(turns):
     text, spans = chat.render(turns)
     assert chat.read(text) == turns
