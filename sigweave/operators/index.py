@@ -12,10 +12,11 @@ def unique_kmers(occurrences: DataFrame, payload: list[str]) -> DataFrame:
     """K-mers of total multiplicity 1, with the payload columns of their only occurrence.
 
     Twice within one reference is not unique. One shuffle: the payload rides along in the
-    aggregate, since of a k-mer that occurs once the smallest payload is the only one.
+    aggregate, since of a k-mer that occurs once the smallest payload is the only one. Payloads
+    of numbers alone are aggregated by hash; with strings Spark has to sort.
     """
-    one = occurrences.groupBy("kmer").agg(F.count("*").alias("_n"), F.min(F.struct(*payload)).alias("_p")).where("_n = 1")
-    return one.select("kmer", *(F.col(f"_p.{c}").alias(c) for c in payload))
+    one = occurrences.groupBy("kmer").agg(F.count("*").alias("_n"), *(F.min(c).alias(c) for c in payload)).where("_n = 1")
+    return one.select("kmer", *payload)
 
 
 def unique_counts(unique: DataFrame, refs: DataFrame, ref_col: str = "ref_id") -> DataFrame:

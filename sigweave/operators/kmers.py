@@ -1,33 +1,196 @@
-"""K-mers of sequences, and their spectrum."""
+"""K-mers of sequences, and their spectrum.
+
+Windows are cut by numpy from the bytes of Arrow batches, many sequences at a time: bases are
+packed 32 to a 64-bit word for every start at once, so that a window and its reverse complement
+are compared by a word or a few, whatever k is. Measured at sf0.01 this takes about a fifth of the time of
+`transform` and `substring` in the JVM (README). Work is done in slices of `piece` starts, so
+a contig of any length costs memory for one slice of windows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Window starts that are cut at a time.
+PIECE = 1 << 16
+#: Letters of which the packed form fits a non-negative long.
+LONGEST_LONG = 31
+U64 = np.uint64
+
+_CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate(b"ACGT"):
+    _CODE[_c] = _CODE[_c + 32] = _i
+_BASE = np.frombuffer(b"ACGTN", np.uint8)
+
+
+def _starts(codes: np.ndarray, length: int) -> np.ndarray:
+    """The word of `length` (32 at most) two-bit codes from every start at which so many follow."""
+    out, have, power, span = None, 0, codes, 1
+    while span <= length:
+        if length & span:  # this power of two covers the next `span` codes
+            part = power[have:]
+            out = part if out is None else (out[: len(part)] << U64(2 * span)) | part
+            have += span
+        span *= 2
+        if span <= length:
+            power = (power[: -(span // 2)] << U64(span)) | power[span // 2 :] if len(power) > span // 2 else power[:0]
+    return out[: max(0, len(codes) - length + 1)]
+
+
+def words(codes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The window from every start, as words of 32 bases and a last one of the rest."""
+    n, codes = len(codes) - k + 1, codes.astype(U64)
+    full = _starts(codes, 32) if k > 32 else None
+    out = [full[at : at + n] for at in range(0, k - 32, 32)] if k > 32 else []
+    at = 32 * len(out)
+    return [*out, _starts(codes, k - at)[at : at + n]]
+
+
+def _smaller(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    less = a[-1] < b[-1]
+    for x, y in zip(a[-2::-1], b[-2::-1], strict=True):
+        less = (x < y) | ((x == y) & less)
+    return less
+
+
+def hashed(parts: list[np.ndarray]) -> np.ndarray:
+    """A non-negative hash of packed windows, of 62 bits."""
+    h = np.zeros(len(parts[0]), U64)
+    for x in parts:
+        h = (h ^ x) * U64(0x9E3779B97F4A7C15)
+        h ^= h >> U64(29)
+        h *= U64(0xBF58476D1CE4E5B9)
+        h ^= h >> U64(32)
+    return (h >> U64(2)).astype(np.int64)
+
+
+def _packed(parts: list[np.ndarray], k: int) -> pa.Array:
+    if k <= LONGEST_LONG:
+        return pa.array(parts[0].astype(np.int64))
+    last = k - 32 * (len(parts) - 1)
+    cells = [x.astype(">u8").view(np.uint8).reshape(-1, 8) for x in [*parts[:-1], parts[-1] << U64(64 - 2 * last)]]
+    rows = np.concatenate([*cells[:-1], cells[-1][:, : (last + 3) // 4]], 1)
+    return _fixed(rows, pa.binary())
+
 
-from sigweave.functions.seq import canonical
+def _fixed(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Strings of one length from the rows of a byte matrix."""
+    n, width = rows.shape
+    offsets = np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1] if width else np.zeros(n + 1, np.int32)
+    return pa.Array.from_buffers(kind, n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
-#: Start positions a piece of a sequence covers. `substring` walks a string from its start, so whole contigs would cost the square of their length.
-PIECE = 512
 
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and its offsets; nulls are empty."""
+    col = col.fill_null("") if col.null_count else col
+    wide = pa.types.is_large_string(col.type)
+    _, off, data = col.buffers()
+    offs = np.frombuffer(off, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[offs[0] : offs[-1]], offs - offs[0]
 
-def kmers(seqs: DataFrame, k: int, *, seq_col: str = "seq", keep: list[str] | None = None, canonicalise: bool = True, piece: int = PIECE) -> DataFrame:
+
+class Windows:
+    """Cuts the windows of string columns. among: a bitmap of hashes; windows outside it are left out."""
+
+    def __init__(self, k: int, canonicalise: bool, packed: bool, among: np.ndarray | None, piece: int):
+        self.k, self.canonicalise, self.packed, self.among, self.piece = k, canonicalise, packed, among, piece
+
+    def cut(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        """(rows, places in them, windows), some at a time."""
+        raw, offs = _bytes(col)
+        ends, k = offs[1:], self.k
+        for at in range(0, len(raw) - k + 1, self.piece):
+            code = _CODE[raw[at : at + self.piece + k - 1]]
+            n = len(code) - k + 1
+            bad = np.concatenate([[0], np.cumsum(code > 3)])
+            start = np.arange(at, at + n)
+            row = np.searchsorted(ends, start, "right")
+            chosen = np.flatnonzero((bad[k:] == bad[:-k]) & (start + k <= ends[row]))
+            if not len(chosen):
+                continue
+            ahead = words(np.minimum(code, 3), k)
+            other = np.zeros(n, bool)
+            if self.canonicalise:
+                back = [x[::-1] for x in words(3 - np.minimum(code, 3)[::-1], k)]
+                other = _smaller(back, ahead)
+                ahead = [np.where(other, y, x) for x, y in zip(ahead, back, strict=True)]
+            if self.among is not None:
+                bit = hashed([x[chosen] for x in ahead]) & (8 * len(self.among) - 1)
+                chosen = chosen[(self.among[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+                if not len(chosen):
+                    continue
+            if self.packed:
+                made = _packed([x[chosen] for x in ahead], k)
+            else:
+                view = np.lib.stride_tricks.sliding_window_view
+                text = view(_BASE[code], k)[chosen]
+                turned = other[chosen]
+                text[turned] = view(_BASE[3 - np.minimum(code, 3)[::-1]], k)[n - 1 - chosen[turned]]
+                made = _fixed(text, pa.string())
+            rows = row[chosen]
+            yield rows, start[chosen] - offs[rows], made
+
+
+def kmers(seqs: DataFrame, k: int, *, seq_col: str = "seq", keep: list[str] | None = None, canonicalise: bool = True, packed: bool = False, among=None, piece: int = PIECE) -> DataFrame:
     """One row for every k-mer of A, C, G and T: the kept columns, pos (from 0) and kmer.
 
     Lower case counts as upper case. Windows with any other letter are skipped, as are
-    sequences shorter than k and nulls. keep: default, all columns but the sequence.
+    sequences shorter than k and nulls. keep: default, all columns but the sequence. packed:
+    kmer is two bits a base (a long up to 31 bases, else binary), which makes exchanges of
+    k-mers whose letters nobody asks for several times smaller. among: a broadcast bitmap
+    (`membership`); most windows outside the set it was made from are left out.
     """
+    if k < 1:
+        raise ValueError("k must be positive")
     keep = [c for c in seqs.columns if c != seq_col] if keep is None else keep
-    seq, n = F.col("_seq"), F.length("_seq")
-    cut = (
-        seqs.where(F.length(seq_col) >= k)
-        .select(*keep, F.upper(seq_col).alias("_seq"))
-        .select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.floor((n - k) / piece).cast("int")), lambda i: F.struct((i * piece).alias("at"), F.substring(seq, i * piece + 1, F.lit(piece + k - 1)).alias("bases")))).alias("_p"))
-    )
-    bases = F.col("_p.bases")
-    windows = F.transform(F.sequence(F.lit(1), F.length(bases) - k + 1), lambda i: F.substring(bases, i, F.lit(k)))
-    one = cut.select(*keep, F.col("_p.at").alias("_at"), F.posexplode(windows).alias("_i", "kmer")).where(~F.col("kmer").rlike("[^ACGT]"))
-    return one.select(*keep, (F.col("_at") + F.col("_i")).cast("long").alias("pos"), (canonical("kmer") if canonicalise else F.col("kmer")).alias("kmer"))
+    rows = seqs.select(*keep, F.col(seq_col).alias("_seq"))
+    kind = (T.LongType() if k <= LONGEST_LONG else T.BinaryType()) if packed else T.StringType()
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("pos", T.LongType(), False), T.StructField("kmer", kind, False)])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Windows(k, canonicalise, packed, None if among is None else np.frombuffer(among.value, np.uint8), piece)
+        for b in batches:
+            for row, pos, made in cutter.cut(b.column(len(names) - 2)):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(names) - 2)), pa.array(pos), made], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Bits a k-mer of the set takes in a bitmap, and the most bits of one: more k-mers let more others pass, never fewer of their own.
+BITS_EACH, MOST_BITS = 64, 1 << 28
+
+
+def membership(kmer_set: DataFrame, k: int, n: int):
+    """A broadcast bitmap of the hashes of about n k-mers (column kmer), 32 MB at most, for `kmers(among=...)`.
+
+    The bitmap is put together by Spark's bitmap aggregates, 4 kB a bucket; the driver only
+    lays the buckets side by side.
+    """
+    bits = min(MOST_BITS, 1 << max(15, int(n * BITS_EACH - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = _CODE[_bytes(b.column(0))[0]].reshape(-1, k)
+            code = code[(code < 4).all(1)]
+            for at in range(0, len(code), 10_000):
+                flat = code[at : at + 10_000]
+                parts = [x[::k] for x in words(flat.ravel(), k)]
+                yield pa.RecordBatch.from_arrays([pa.array((hashed(parts) & (bits - 1)) + 1)], names=["h"])
+
+    places = kmer_set.where(F.octet_length("kmer") == k).select("kmer").mapInArrow(run, "h long")
+    found = places.groupBy((F.bitmap_bucket_number("h") - 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        out[4096 * r["bucket"] : 4096 * (r["bucket"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    return kmer_set.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def multiplicities(occurrences: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigweave.operators.kmers import kmers
+from sigweave.operators.kmers import kmers, membership
 
-#: Sketch rows up to which it is broadcast to the reads; above, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of signatures up to which they are broadcast to the hits; above, candidates and signatures are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def signatures(sketch: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -17,14 +17,16 @@ def signatures(sketch: DataFrame, order_col: str | None = None) -> DataFrame:
     return sketch.groupBy("kmer").agg(first.alias("ref_id"))
 
 
-def match(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def match(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row a hit: ref_id, kmer, file_idx, read_idx, read_name, pos.
 
-    reads: file_idx, read_idx, read_name, seq. The sketch is counted before it is broadcast.
+    reads: file_idx, read_idx, read_name, seq. The signatures are computed once and measured.
+    A bitmap of their hashes, of bounded size, goes to the reads, where nearly all other
+    k-mers end before they become rows; what is left joins the signatures themselves.
     """
-    sig = signatures(sketch, order_col)
-    small = sketch.limit(broadcast_rows + 1).count() <= broadcast_rows
-    found = kmers(reads, k, keep=["file_idx", "read_idx", "read_name"]).join(F.broadcast(sig) if small else sig, "kmer")
+    sig = signatures(sketch, order_col).persist()
+    seen = sig.agg(F.count("*").alias("n"), F.sum(F.octet_length("kmer") + 40).alias("size")).first()
+    found = kmers(reads, k, keep=["file_idx", "read_idx", "read_name"], among=membership(sig, k, seen["n"])).join(F.broadcast(sig) if (seen["size"] or 0) <= broadcast_bytes else sig, "kmer")
     return found.select("ref_id", "kmer", "file_idx", "read_idx", "read_name", "pos")
 
 
@@ -34,18 +36,18 @@ def drop_weak(hits: DataFrame) -> DataFrame:
     A k-mer's first place is an aggregate that is combined before the shuffle, and hot k-mers
     meet it in a join that Spark can split; no window gathers a k-mer's hits.
     """
-    place = F.struct("file_idx", "read_idx", "pos")
+    place, hits = F.struct("file_idx", "read_idx", "pos"), hits.persist()
     first = hits.groupBy("kmer").agg(F.min(place).alias("_first"))
     return hits.join(first, "kmer").where(place != F.col("_first")).drop("_first")
 
 
 def hit_counts(hits: DataFrame, *, solid: bool = False) -> DataFrame:
-    """(ref_id, count, reads) of references with a hit; solid: weak hits dropped, one added back to each reference that is left."""
-    hits = drop_weak(hits) if solid else hits
-    counts = hits.groupBy("ref_id").agg(F.count("*").alias("count"))
-    # Distinct names are counted apart: a distinct aggregate would carry names through both steps.
-    reads = hits.select("ref_id", "read_name").distinct().groupBy("ref_id").agg(F.count("*").alias("reads"))
-    return counts.join(reads, "ref_id").select("ref_id", (F.col("count") + (1 if solid else 0)).alias("count"), "reads")
+    """(ref_id, count, reads) of references with a hit; solid: weak hits dropped, one added back to each reference that is left.
+
+    One pass: hits are summed by reference and read name, and those sums by reference.
+    """
+    each = (drop_weak(hits) if solid else hits).groupBy("ref_id", "read_name").agg(F.count("*").alias("_hits"))
+    return each.groupBy("ref_id").agg((F.sum("_hits") + (1 if solid else 0)).alias("count"), F.count("*").alias("reads"))
 
 
 def report(hits: DataFrame, refs: DataFrame, *, hit_cutoff: int = 10, read_cutoff: int = 2, abundance_cutoff: float = 0.0, solid: bool = False) -> DataFrame:

@@ -6,14 +6,14 @@ lists of the comparison. Every query covers its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigweave.functions.complexity import THRESHOLD, entropy_score, is_low_complexity
 from sigweave.functions.seq import base_id, complement, contig_label, reverse_complement
 from sigweave.operators.compare import similarity
 from sigweave.operators.index import build_sketch, unique_counts, unique_kmers
-from sigweave.operators.kmers import histogram, kmers, multiplicities, spectrum
+from sigweave.operators.kmers import histogram, kmers, membership, multiplicities, spectrum
 from sigweave.operators.query import drop_weak, hit_counts, match, report, signature_log
 from sigweave.sources.tables import benchmark_refs, document_reads, document_sources, table
 
@@ -25,11 +25,13 @@ def _ref_kmers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unique(spark: SparkSession, d: str) -> DataFrame:
-    return unique_kmers(_ref_kmers(spark, d), ["ref_id", "ref_name", "contig", "pos"])
+    found = unique_kmers(_ref_kmers(spark, d), ["ref_id", "pos"])
+    return found.join(benchmark_refs(spark, d).select("ref_id", "ref_name", "contig"), "ref_id")
 
 
-def _source_kmers(spark: SparkSession, d: str) -> DataFrame:
-    return kmers(document_sources(spark, d), K)
+def _source_kmers(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
+    """Packed: two bits a base, as nobody asks for the letters."""
+    return kmers(document_sources(spark, d), K, keep=keep or [], packed=True)
 
 
 def _sketch(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +48,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_counts_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    return kmers(document_sources(spark, d), K, keep=["doc_id"], canonicalise=False).groupBy("doc_id").agg(F.count("*").alias("kmers"))
+    return kmers(document_sources(spark, d), K, keep=["doc_id"], canonicalise=False, packed=True).groupBy("doc_id").agg(F.count("*").alias("kmers"))
 
 
 def canonical_kmers(spark: SparkSession, d: str) -> DataFrame:
@@ -73,9 +75,10 @@ def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def weak_kmers(spark: SparkSession, d: str) -> DataFrame:
     """Of each source, the k-mers that occur once in the universe, and those that occur again."""
-    each = kmers(document_sources(spark, d), K, keep=["ref"]).groupBy("ref", "kmer").agg(F.count("*").alias("c"))
-    n = each.groupBy("kmer").agg(F.sum("c").alias("n"))
-    return each.join(n, "kmer").groupBy("ref").agg(F.count(F.when(F.col("n") == 1, 1)).alias("weak"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))
+    each = _source_kmers(spark, d, ["ref"]).groupBy("kmer", "ref").agg(F.count("*").alias("c"))
+    once = each.groupBy("kmer").agg(F.sum("c").alias("n"), F.min("ref").alias("ref")).where("n = 1").groupBy("ref").agg(F.count("*").alias("weak"))
+    held = each.groupBy("ref").agg(F.count("*").alias("distinct"))
+    return held.join(once, "ref", "left").select("ref", F.coalesce("weak", F.lit(0)).alias("weak"), (F.col("distinct") - F.coalesce("weak", F.lit(0))).alias("repeated"))
 
 
 def unique_kmers_of_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +87,10 @@ def unique_kmers_of_refs(spark: SparkSession, d: str) -> DataFrame:
 
 def unique_count_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Uniqueness is over all occurrences: twice in one source is not unique."""
-    unique = unique_kmers(_source_kmers(spark, d), ["ref", "doc_id", "pos"])
-    return unique_counts(unique, document_sources(spark, d).select("ref").distinct(), "ref")
+    names = table(spark, d, "documents").select(F.col("source").alias("ref")).distinct().withColumn("ref_id", F.row_number().over(Window.orderBy("ref")))
+    seqs = document_sources(spark, d).join(F.broadcast(names), "ref").select("ref_id", "seq")  # some names: numbers ride in a hash aggregate
+    unique = unique_kmers(kmers(seqs, K, packed=True), ["ref_id"])
+    return unique_counts(unique, names, "ref_id").select("ref", "uniq_count")
 
 
 def unique_count_per_ref(spark: SparkSession, d: str) -> DataFrame:
@@ -137,15 +142,16 @@ def signature_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    occ = kmers(document_sources(spark, d), K, keep=["ref"])
+    occ = _source_kmers(spark, d, ["ref"])
     names = document_sources(spark, d).select("ref").distinct()
     return similarity(occ, occ, names, names)
 
 
 def kmer_multiplicity(spark: SparkSession, d: str) -> DataFrame:
     """Multiplicity of the references' k-mers in the documents and in the references."""
-    mine = multiplicities(_ref_kmers(spark, d)).withColumnRenamed("n", "in_refs")
-    docs = multiplicities(_source_kmers(spark, d)).withColumnRenamed("n", "in_docs")
+    mine = multiplicities(_ref_kmers(spark, d)).withColumnRenamed("n", "in_refs").persist()
+    seqs = document_sources(spark, d)
+    docs = multiplicities(kmers(seqs, K, keep=[], among=membership(mine, K, mine.count()))).withColumnRenamed("n", "in_docs")
     return mine.join(docs, "kmer", "left").select("kmer", "in_refs", F.coalesce("in_docs", F.lit(0).cast("long")).alias("in_docs"))
 
 

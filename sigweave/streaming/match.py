@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.operators.kmers import kmers
+from sigweave.operators.kmers import kmers, membership
 from sigweave.operators.query import signatures
 
 
 def stream_hits(reads: DataFrame, sketch: DataFrame, k: int) -> DataFrame:
     """Hits of streamed reads (file_idx, read_idx, read_name, seq): a join of the stream with a static table."""
-    return kmers(reads, k, keep=["file_idx", "read_idx", "read_name"]).join(signatures(sketch), "kmer").select("ref_id", "kmer", "file_idx", "read_idx", "read_name", "pos")
+    sig = signatures(sketch).persist()
+    found = kmers(reads, k, keep=["file_idx", "read_idx", "read_name"], among=membership(sig, k, sig.count()))
+    return found.join(sig, "kmer").select("ref_id", "kmer", "file_idx", "read_idx", "read_name", "pos")
 
 
 def stream_counts(reads: DataFrame, sketch: DataFrame, k: int, rsd: float = 0.02) -> DataFrame:

@@ -120,7 +120,7 @@ def test_query_golden(spark):
     assert {(x.ref_id, x["count"], x.reads) for x in query.hit_counts(hits, solid=True).collect()} == {(0, 3, 2)}
     log = [tuple(x) for x in query.signature_log(hits, sketch(spark), solid=True).collect()]
     assert log == [("ref0", 2, "AGACTGAACT", 2)]
-    shuffled = query.match(reads(spark, READS), sketch(spark), 10, broadcast_rows=1)
+    shuffled = query.match(reads(spark, READS), sketch(spark), 10, broadcast_bytes=1)
     assert shuffled.count() == hits.count()
 
 
