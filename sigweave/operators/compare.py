@@ -14,14 +14,18 @@ def similarity(filters: DataFrame, probes: DataFrame, filter_refs: DataFrame, pr
     filters, probes: occurrences (ref, kmer); filter_refs, probe_refs: all names (ref), so that
     references without k-mers and pairs without common ones have their rows. Counts are of the
     probe's occurrences: all, and those absent from the filter. An empty probe gives NaN.
-    K-mers may be packed. Occurrences are summed by reference and k-mer; k-mers that the same
+    K-mers may be packed and names be numbers, which is faster. Occurrences are summed by reference and k-mer; k-mers that the same
     references hold equally often are then counted as one pattern, so a k-mer which all
     references share costs one row and its pattern M x N, not every such k-mer. The result has a
     row for each pair of names by definition, and the names alone are crossed.
     """
-    one = filters.select(F.col("ref").alias("ref2"), F.lit(None).cast("string").alias("ref1"), "kmer")
-    two = probes.select(F.lit(None).cast("string").alias("ref2"), F.col("ref").alias("ref1"), "kmer")
-    each = one.unionByName(two).groupBy("kmer", "ref1", "ref2").agg(F.count("*").alias("n"))
+    if filters is probes:
+        each = probes.groupBy("kmer", "ref").agg(F.count("*").alias("n")).select("kmer", F.col("ref").alias("ref1"), F.col("ref").alias("ref2"), "n")
+    else:
+        none = F.lit(None)
+        one = filters.select("kmer", none.alias("ref1"), F.col("ref").alias("ref2"))
+        two = probes.select("kmer", F.col("ref").alias("ref1"), none.alias("ref2"))
+        each = two.unionByName(one).groupBy("kmer", "ref1", "ref2").agg(F.count("*").alias("n"))
     holders = each.groupBy("kmer").agg(F.sort_array(F.collect_list(F.when(F.col("ref1").isNotNull(), F.struct("ref1", "n")))).alias("p"), F.sort_array(F.collect_list("ref2")).alias("f"))
     patterns = holders.where((F.size("p") > 0) & (F.size("f") > 0)).groupBy("p", "f").agg(F.count("*").alias("m"))
     met = patterns.select("f", "m", F.explode("p").alias("x")).select(F.explode("f").alias("ref2"), F.col("x.ref1").alias("ref1"), (F.col("x.n") * F.col("m")).alias("n"))

@@ -29,6 +29,12 @@ def _unique(spark: SparkSession, d: str) -> DataFrame:
     return found.join(benchmark_refs(spark, d).select("ref_id", "ref_name", "contig"), "ref_id")
 
 
+def _numbered_sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sources (ref_id, ref), and packed k-mers with ref_id: numbers take less of an exchange than names and ride in hash aggregates."""
+    names = table(spark, d, "documents").select(F.col("source").alias("ref")).distinct().withColumn("ref_id", F.row_number().over(Window.orderBy("ref"))).persist()
+    return names, kmers(document_sources(spark, d).join(names, "ref").select("ref_id", "seq"), K, packed=True).drop("pos")
+
+
 def _source_kmers(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
     """Packed: two bits a base, as nobody asks for the letters."""
     return kmers(document_sources(spark, d), K, keep=keep or [], packed=True)
@@ -75,10 +81,12 @@ def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def weak_kmers(spark: SparkSession, d: str) -> DataFrame:
     """Of each source, the k-mers that occur once in the universe, and those that occur again."""
-    each = _source_kmers(spark, d, ["ref"]).groupBy("kmer", "ref").agg(F.count("*").alias("c"))
-    once = each.groupBy("kmer").agg(F.sum("c").alias("n"), F.min("ref").alias("ref")).where("n = 1").groupBy("ref").agg(F.count("*").alias("weak"))
-    held = each.groupBy("ref").agg(F.count("*").alias("distinct"))
-    return held.join(once, "ref", "left").select("ref", F.coalesce("weak", F.lit(0)).alias("weak"), (F.col("distinct") - F.coalesce("weak", F.lit(0))).alias("repeated"))
+    names, found = _numbered_sources(spark, d)
+    each = found.groupBy("kmer", "ref_id").agg(F.count("*").alias("c"))
+    once = each.groupBy("kmer").agg(F.sum("c").alias("n"), F.min("ref_id").alias("ref_id")).where("n = 1").groupBy("ref_id").agg(F.count("*").alias("weak"))
+    held = each.groupBy("ref_id").agg(F.count("*").alias("distinct"))
+    weak = F.coalesce("weak", F.lit(0))
+    return names.join(held, "ref_id").join(once, "ref_id", "left").select("ref", weak.alias("weak"), (F.col("distinct") - weak).alias("repeated"))
 
 
 def unique_kmers_of_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -87,10 +95,8 @@ def unique_kmers_of_refs(spark: SparkSession, d: str) -> DataFrame:
 
 def unique_count_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Uniqueness is over all occurrences: twice in one source is not unique."""
-    names = table(spark, d, "documents").select(F.col("source").alias("ref")).distinct().withColumn("ref_id", F.row_number().over(Window.orderBy("ref")))
-    seqs = document_sources(spark, d).join(F.broadcast(names), "ref").select("ref_id", "seq")  # some names: numbers ride in a hash aggregate
-    unique = unique_kmers(kmers(seqs, K, packed=True), ["ref_id"])
-    return unique_counts(unique, names, "ref_id").select("ref", "uniq_count")
+    names, found = _numbered_sources(spark, d)
+    return unique_counts(unique_kmers(found, ["ref_id"]), names, "ref_id").select("ref", "uniq_count")
 
 
 def unique_count_per_ref(spark: SparkSession, d: str) -> DataFrame:
@@ -142,9 +148,10 @@ def signature_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    occ = _source_kmers(spark, d, ["ref"])
-    names = document_sources(spark, d).select("ref").distinct()
-    return similarity(occ, occ, names, names)
+    names, found = _numbered_sources(spark, d)
+    occ, refs = found.withColumnRenamed("ref_id", "ref"), names.select(F.col("ref_id").alias("ref"))
+    one, two = (names.select(F.col("ref_id").alias(f"ref{i}"), F.col("ref").alias(f"name{i}")) for i in (1, 2))
+    return similarity(occ, occ, refs, refs).join(one, "ref1").join(two, "ref2").select(F.col("name1").alias("ref1"), F.col("name2").alias("ref2"), "uniq_ref1", "all_ref1", "similarity")
 
 
 def kmer_multiplicity(spark: SparkSession, d: str) -> DataFrame:
