@@ -427,25 +427,46 @@ def test_search_odd_input(spark):
 # --- language model ---------------------------------------------------------
 
 
-def brute_lm(rows, train, mu=5.0):
+def brute_lm(rows, train, m2=4.0, m3=1.0):
+    """An automaton of dictionaries: arcs by history and token, one failure arc a history."""
     tok = [(i, [*words(t), None]) for i, t in rows]
-    c = collections.Counter(w for i, ws in tok if train(i) for w in ws)
-    pair = collections.Counter(p for i, ws in tok if train(i) for p in zip(["<", *ws[:-1]], ws))
-    n, s = sum(c.values()), sum(v == 1 for v in c.values())
+    grams = [collections.Counter() for _ in range(3)]
+    for i, ws in tok:
+        if train(i):
+            ws = ["<", *ws]
+            for k in range(1, len(ws)):
+                for n in range(min(3, k + 1)):
+                    grams[n][tuple(ws[k - n : k + 1])] += 1
+    n, s = sum(grams[0].values()), sum(v == 1 for v in grams[0].values())
+    seen = collections.Counter({h: c for g in grams[:2] for h, c in g.items() if h[-1] is not None})
+    seen[("<",)] = grams[0][(None,)]
+
+    def p(h, w):
+        if not h:
+            return (grams[0][(w,)] or s + 1) / (n + s + 1)
+        m = (m2, m3)[len(h) - 1]
+        return (grams[len(h)][(*h, w)] + m * p(h[1:], w)) / (seen[h] + m)
+
     out = []
     for i, ws in tok:
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in ws)
-        score, state = 0.0, "<"
+        base = sum(math.log10((grams[0][(w,)] + 0.5) / (n + 0.5 * (len(grams[0]) + 1))) for w in ws)
+        score, state = 0.0, ("<",)
         for w in ws:  # one reading that carries the state
-            history = c[None] if state == "<" else c[state]
-            score += math.log10((pair[(state, w)] + mu * (c[w] or s + 1) / (n + s + 1)) / (history + mu))
-            state = w
-        out.append((i, len(ws), sum(c[w] > 0 for w in ws), n, base, score))
+            while state and not grams[len(state)][(*state, w)]:
+                m = (m2, m3)[len(state) - 1]
+                score += math.log10(m / (seen[state] + m))
+                state = state[1:]
+            score += math.log10(p(state, w))
+            state = (*state, w)[-2:]
+            while state and not seen[state]:
+                state = state[1:]
+        out.append((i, len(ws), sum(grams[0][(w,)] > 0 for w in ws), n, base, score))
     return out
 
 
 def test_lm(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(lm, "STRIP", 5)
     r = random.Random(9)
     rows = [(i, prose(r, r.randrange(0, 150), 300)) for i in range(200)] + [(300, None), (301, ""), (302, "W1 w1 W2"), (303, "the " * 700)]
     docs = table(spark, [(i, t, None, None, 0) for i, t in rows])
@@ -463,6 +484,26 @@ def test_lm_odd_input(spark):
     assert lm.score(table(spark, []), F.lit(True)).count() == 0
 
 
+def test_lm_repeated_rows_and_distributions(spark):
+    rows = [(None, "a b c a b d", "en", "s", 0)] * 40 + [(1, "a b c", "en", "s", 0), (1, "a b c", "en", "s", 0), (2, "z", "en", "s", 0)]
+    got = lm.score(table(spark, rows), F.lit(True)).collect()
+    assert len(got) == 43 and len({x.score for x in got if x.doc_id is None}) == 1 and {x.train_tokens for x in got} == {40 * 7 + 2 * 4 + 2}
+    # After "a b", the probabilities of all tokens and the unknown one add up to 1.
+    text = [t for _, t, *_ in rows]
+    tails = ["a", "b", "c", "d", "z", "unknown"]
+    more = [*((k, t) for k, t in enumerate(text)), *((1000 + k, f"a b {w} q q") for k, w in enumerate(tails)), (2000, "a b")]
+    scored = {x.doc_id: x.score for x in lm.score(table(spark, [(i, t, None, None, 0) for i, t in more]), F.col("doc_id") < 1000).collect()}
+    want = {i: sc for i, *_, sc in brute_lm(more, lambda i: i < 1000)}
+    assert all(scored[i] == pytest.approx(want[i], abs=1e-9) for i in scored)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.sets(st.integers(0, 2**48 - 1), max_size=40), st.booleans())
+def test_key_bytes(keys, many):
+    keys = np.array(sorted(keys | set(range(7, 2**48, 2**48 // 2500) if many else ())), np.uint64)
+    assert lm.unpacked(lm.packed(keys)).tolist() == keys.tolist()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_count_bytes(c):
