@@ -268,7 +268,7 @@ def _squeezed(rows: DataFrame, blocks: int) -> DataFrame:
     return keyed.mapInArrow(run, out).select("_id", "_text", "_train", "_n", F.pmod("_key", F.lit(blocks)).alias("_block"))
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", m2: float = 4.0, m3: float = 1.0) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", m2: float = 300.0, m3: float = 20.0) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score), one row a document.
 
     train: whether a row of docs teaches. base_score: add-half unigram log10 probability.

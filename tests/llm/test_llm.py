@@ -427,7 +427,7 @@ def test_search_odd_input(spark):
 # --- language model ---------------------------------------------------------
 
 
-def brute_lm(rows, train, m2=4.0, m3=1.0):
+def brute_lm(rows, train, m2=300.0, m3=20.0):
     """An automaton of dictionaries: arcs by history and token, one failure arc a history."""
     tok = [(i, [*words(t), None]) for i, t in rows]
     grams = [collections.Counter() for _ in range(3)]
