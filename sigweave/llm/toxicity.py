@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Each class (toxic, ordinary) has a bigram model over lower-cased letter words. The
-weights of backing off come from the counts of both classes together. Counts are of
-documents that an n-gram continues in; what the discount takes from both classes is one
-shared backoff count, so an expression too rare to be evidence gets the same probability
-from either class, whatever the classes' sizes, but for a tilt by its stem (the first bytes
-of longer words), whose own counts back off in the same way. A word's repetitions within a document add nothing. A document
-is read in windows of `window` words; each window gives the difference of the two
-length-normalised log-likelihoods. The largest window difference and that of the rest of
-the document go into a logistic function, fitted on cross-fitted values.
-
-Nulls and empty texts have no words: both differences are 0. Repeated rows are scored
+Each class (toxic, ordinary) has a model of words as sequences of bytes, up to order `order`,
+with a mark before and after each word; so words of one stem and words that were never seen
+are scored as well as known ones. Counts of the highest order, and of n-grams that begin a word, are the documents
+of a class; those of lower orders are continuation counts, the number of different bytes
+that precede an n-gram in the class. An n-gram's count less the discount is its class's own;
+how much of a context's probability backs off to the shorter context comes from the counts of
+both classes together, and at the bottom lies one distribution of both, so an expression too
+rare to be evidence is as likely in either class. Each class's probabilities add up to 1 after every context.
+
+A word tells the difference of its two log-likelihoods. A document is judged by the largest of
+its words and by the length-normalised difference of all others; both go into a
+logistic function, fitted on values of documents that the models had not seen.
+
+Nulls and empty texts have no words: both values are 0. Repeated rows are scored
 each on its own. An empty label table, or one class only, gives every text the share
 of label 1 (0 without labels). Labels other than 0 and 1 and null ids teach nothing.
 """
@@ -28,123 +31,154 @@ from pyspark.sql import types as T
 from . import storage, textscan
 from .textscan import U64, Index
 
-#: The discount, in documents of a class, at least; and as a share of the smaller class. An n-gram of
-#: fewer documents is a rare expression (or one group of copies) and is left to the shared model.
-DISCOUNT, DISCOUNT_SHARE = 2.5, 0.012
-START = U64(0x5EED)
-#: Words of at least so many bytes have a stem, of so many bytes.
-STEM_FROM, STEM_BYTES = 6, 4
+#: The discount, in documents (or continuations): n-grams of fewer are left to shorter contexts.
+DISCOUNT = 3.0
+ORDER = 8
+#: Bytes of text whose distinct words are scored at a time.
+SLICE = 4 << 20
+#: Marks before and after a word, and the values a byte has.
+BEGIN, FINISH, VALUES = 1, 2, 256
 
 
 @dataclass
-class ToxicityModel:
-    word_keys: np.ndarray
-    word_logs: np.ndarray  # p(word | class) for both classes
-    pair_keys: np.ndarray
-    pair_mass: np.ndarray  # discounted p(word | previous, class)
-    prev_keys: np.ndarray
-    prev_back: np.ndarray  # backoff weight of a previous word, from the counts of both classes
-    stem_keys: np.ndarray
-    stem_tilt: np.ndarray  # how much likelier than on average a stem is in each class
-    weights: np.ndarray
-    window: int
-
-    def index(self) -> tuple[Index, ...]:
-        return Index(self.word_keys), Index(self.pair_keys), Index(self.prev_keys), Index(self.stem_keys)
-
+class Level:
+    """Of one order: n-grams that a class has more of than the discount, with their probabilities; contexts of such, with the share that backs off."""
+
+    keys: np.ndarray
+    p: np.ndarray
+    contexts: np.ndarray
+    back: np.ndarray
+
+
+class Grams:
+    """The bytes of words with their marks, and the hash of the n-gram that ends at each of them."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int):
+        size = ends - starts + 2
+        self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        sym = np.full(int(self.first[-1]), FINISH, np.uint8)
+        sym[self.first[:-1]] = BEGIN
+        sym[textscan.ranges(self.first[:-1] + 1, ends - starts)] = text[textscan.ranges(starts, ends - starts)]
+        self.place = np.arange(len(sym)) - np.repeat(self.first[:-1], size)
+        sym = sym.astype(U64)
+        self.key = [textscan.mix(sym + U64(1))]
+        for n in range(2, order + 1):
+            before = np.zeros_like(sym)
+            before[n - 1 :] = sym[: max(0, len(sym) - n + 1)]
+            self.key.append(textscan.mix(self.key[-1] * U64(0xD1342543DE82EF95) + before + U64(n)))
+
+    def ending(self, n: int, at: np.ndarray) -> np.ndarray:
+        return self.key[n - 1][at]
+
+    def context(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The n - 1 bytes before each place."""
+        return self.key[n - 2][at - 1] if n > 1 else np.zeros(len(at), U64)
+
+
+class KneserNey:
+    """The models of both classes; columns are ordinary and toxic."""
+
+    def __init__(self, levels: list[Level], unseen: np.ndarray):
+        self.levels, self.unseen = levels, unseen
+        self.keys, self.contexts = [Index(x.keys) for x in levels], [Index(x.contexts) for x in levels]
+
+    def p(self, g: Grams, n: int, at: np.ndarray) -> np.ndarray:
+        """The probabilities of the bytes at some places after the n - 1 bytes before them."""
+        out, share, todo = np.zeros((len(at), 2)), np.ones((len(at), 2)), np.arange(len(at))
+        for m in range(n, 0, -1):
+            found = self.keys[m - 1].find(g.ending(m, at[todo]))
+            hit = found >= 0
+            out[todo[hit]] = share[todo[hit]] * self.levels[m - 1].p[found[hit]]
+            todo = todo[~hit]
+            found = self.contexts[m - 1].find(g.context(m, at[todo]))
+            share[todo[found >= 0]] *= self.levels[m - 1].back[found[found >= 0]]
+        out[todo] = share[todo] * self.unseen
+        return out
+
+    def gains(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The toxic less the ordinary log-likelihood of each word."""
+        out = np.zeros(len(starts))
+        order = len(self.levels)
+        for i in range(0, len(starts), 50_000):
+            g = Grams(text, starts[i : i + 50_000], ends[i : i + 50_000], order)
+            log = np.zeros(len(g.place))
+            n = np.minimum(g.place + 1, order)
+            for m in range(2, order + 1):
+                at = np.flatnonzero(n == m)
+                p = np.log(self.p(g, m, at))
+                log[at] = p[:, 1] - p[:, 0]
+            out[i : i + 50_000] = np.add.reduceat(log, g.first[:-1])
+        return out
+
+
+def kneser_ney(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: np.ndarray, order: int = ORDER, discount: float = DISCOUNT) -> KneserNey:
+    """The models from distinct words and the documents of each class that have them."""
+    g = Grams(text, starts, ends, order)
+    weight = np.repeat(count, np.diff(g.first), axis=0)
+    sums = lambda at, x, n: np.stack([np.bincount(at, x[:, k], minlength=n) for k in (0, 1)], 1)
+
+    def counted(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero((g.place + 1 >= n) & (g.place > 0))
+        keys, some, place = np.unique(g.ending(n, at), return_index=True, return_inverse=True)
+        return keys, sums(place, weight[at], len(keys)), at[some]
+
+    levels, unseen, above = [], np.zeros(2), counted(order)
+    counts = [above]
+    for n in range(order - 1, 0, -1):
+        keys, raw, some = counted(n)
+        longer, more, where = above
+        place = np.searchsorted(keys, g.ending(n, where))
+        several = sums(place, (more > 0).astype(float), len(keys))
+        above = keys, raw, some
+        counts.append((keys, np.where((g.place[some] + 1 == n)[:, None], raw, several), some))
+    model = KneserNey([], unseen)
+    for n, (keys, c, some) in enumerate(reversed(counts), 1):
+        context, place = np.unique(g.context(n, some), return_inverse=True)
+        own, total = np.maximum(c - discount, 0), sums(place, c, len(context)).sum(1)
+        kept = sums(place, own, len(context))
+        back = np.where(kept > 0, np.clip(1 - kept.sum(1) / np.maximum(total, 1e-9), 1e-6, 1)[:, None], 1.0)  # one for both classes, but for one that keeps nothing
+        if n == 1:
+            both = c.sum(1) + 0.5
+            low = np.repeat((both / (both.sum() + 0.5 * (VALUES - len(keys))))[:, None], 2, 1)
+            unseen = back[0] * 0.5 / (both.sum() + 0.5 * (VALUES - len(keys)))
+            firm = np.ones(len(keys), bool)  # all bytes seen; the rest share one probability
+        else:
+            firm = own.max(1) > 0  # what neither class keeps is what backing off gives
+            low = model.p(g, n - 1, some[firm])
+        mine = place[firm]
+        p = np.where(kept[mine] > 0, (1 - back[mine]) * own[firm] / np.maximum(kept[mine], 1e-9), 0) + back[mine] * low
+        some_kept = kept.max(1) > 0 if n > 1 else np.zeros(len(context), bool)
+        levels.append(Level(keys[firm], p, context[some_kept], back[some_kept]))
+        model = KneserNey(levels, unseen)
+    return model
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, each document's first word, and stem hashes (the first bytes of longer words; 0 for others)."""
-    low = textscan.lower_latin(buf)
-    starts, ends, first = textscan.word_spans(low, offs, textscan.NON_LETTER)
-    stems = np.zeros(len(starts), U64)
-    long = ends - starts >= STEM_FROM
-    stems[long] = textscan.span_hashes(low, starts[long], starts[long] + STEM_BYTES) | U64(1)
-    return textscan.span_hashes(low, starts, ends), first, stems
 
+@dataclass
+class ToxicityModel:
+    levels: list[Level]
+    unseen: np.ndarray
+    weights: np.ndarray
 
-def previous(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    prev = np.empty_like(h)
-    prev[1:] = h[:-1]
-    prev[first[:-1][first[:-1] < len(h)]] = START
-    return prev
-
+    def words(self) -> KneserNey | None:
+        return KneserNey(self.levels, self.unseen) if self.levels else None
 
-def _tables(h: np.ndarray, prev: np.ndarray, stem: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple:
-    """Keys and probabilities from the words, their predecessors, their documents, and the documents' classes.
 
-    A document counts once for each n-gram, and the larger class is scaled down to the smaller.
-    """
-    keys, at = np.unique(h, return_inverse=True)
-    pairs, first, pair_at = np.unique(textscan.chain(prev, h), return_index=True, return_inverse=True)
-    contexts, context_at = np.unique(prev, return_inverse=True)
-    sizes = np.bincount(toxic, minlength=2).astype(float)
-
-    def counts(place: np.ndarray, n: int) -> np.ndarray:
-        once = np.unique(place * np.int64(len(toxic)) + doc)
-        x = (once // len(toxic)) * 2 + toxic[once % len(toxic)]
-        c = np.bincount(x, minlength=2 * n).reshape(n, 2).astype(float)
-        return c * (c.sum(0).min() / c.sum(0)) if c.sum(0).min() else c
-
-    discount = max(DISCOUNT, DISCOUNT_SHARE * sizes.min())
-
-    both = counts(at, len(keys))
-
-    def shared(c: np.ndarray, d: float) -> np.ndarray:
-        """What exceeds the discount, and the shared backoff count: what the discount took from both classes."""
-        return np.maximum(c - d, 0) + np.minimum(c, d).mean(1, keepdims=True)
-
-    # A stem tilts that count towards the class that its words are commoner in.
-    stems, stem_first, stem_at = np.unique(stem, return_index=True, return_inverse=True)
-    tilt = shared(counts(stem_at, len(stems)), discount)
-    tilt /= tilt.mean(1, keepdims=True)
-    tilt[stem[stem_first] == 0] = 1
-    back = np.minimum(both, discount).mean(1, keepdims=True)
-    some_place = np.zeros(len(keys), np.int64)
-    some_place[at] = stem_at
-    word = np.maximum(both - discount, 0) + back * tilt[some_place]
-    word /= word.sum(0).mean() + 1
-    # A pair needs twice the documents. Of its context's mass, pairs within the discount go to the words.
-    c = counts(pair_at, len(pairs))
-    firm = c.max(1) > 2 * discount
-    mass = np.where(firm[:, None], shared(c, 2 * discount), 0)
-    group = context_at[first]
-    total = np.bincount(group, c.mean(1), minlength=len(contexts))
-    kept = np.bincount(group, mass.mean(1), minlength=len(contexts))
-    pair, weight = mass / np.maximum(total[group], 1e-9)[:, None], np.clip(1 - kept / np.maximum(total, 1e-9), 0.05, 1)
-    return keys, word, pairs, pair, contexts, weight, 1.0 / (both.sum() / 2 + 1), stems, tilt
-
-
-def _at(values: np.ndarray, places: np.ndarray, otherwise: float) -> np.ndarray:
-    """The rows at the places; otherwise, where a place is -1."""
-    out = np.full((len(places), *values.shape[1:]), otherwise)
-    out[places >= 0] = values[places[places >= 0]]
+def features(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each document: the largest gain of a word, and the length-normalised gain of all others."""
+    out, size = np.zeros((len(first) - 1, 2)), np.diff(first)
+    full = np.flatnonzero(size)
+    if len(full):
+        out[full, 0] = np.maximum.reduceat(gain, first[full])
+        out[full, 1] = (np.add.reduceat(gain, first[full]) - out[full, 0]) / size[full]
     return out
 
 
-def features(h: np.ndarray, first: np.ndarray, stem: np.ndarray, tables: tuple, found: tuple[Index, ...], window: int) -> np.ndarray:
-    """For each document: the largest length-normalised difference of a window, and that of all words outside it."""
-    _, word, _, pair, _, back, unseen, _, tilt = tables
-    n = len(first) - 1
-    out = np.zeros((n, 2))
-    if len(h):
-        prev = previous(h, first)
-        w, p, c = found[0].find(h), found[1].find(textscan.chain(prev, h)), found[2].find(prev)
-        low = _at(word, w, unseen)
-        low[w < 0] *= _at(tilt, found[3].find(stem[w < 0]), 1.0)
-        logs = np.log(_at(pair, p, 0.0) + _at(back, c, 1.0)[:, None] * low)
-        doc = np.repeat(np.arange(n), np.diff(first))
-        gain = np.zeros(len(h))
-        once = np.unique(h + doc.astype(U64) * U64(0x9E3779B97F4A7C15), return_index=True)[1]
-        gain[once] = (logs[:, 1] - logs[:, 0])[once]  # a document's repetitions of a word tell nothing more
-        sums = np.concatenate([[0.0], np.cumsum(gain)])
-        start = np.arange(len(h))
-        part = (sums[np.minimum(start + window, first[doc + 1])] - sums[start]) / window
-        full = np.flatnonzero(np.diff(first))
-        out[full, 0] = np.maximum.reduceat(part, first[full])
-        rest = sums[first[full + 1]] - sums[first[full]] - out[full, 0] * window
-        out[full, 1] = rest / (np.diff(first)[full] + window)
-    return out
+def distinct(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of the distinct words of a slice, the place of each word among them, and each document's first word."""
+    low = textscan.lower_latin(buf)
+    starts, ends, first = textscan.word_spans(low, offs, textscan.NON_LETTER)
+    _, some, place = np.unique(textscan.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+    return low, starts[some], ends[some], place, first
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -162,46 +196,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, window: int, folds: int = 4) -> ToxicityModel:
-    """The model from documents of word hashes followed by as many stem hashes; share: of label 1 among all labelled rows."""
+def fit(docs: list[bytes], toxic: np.ndarray, share: float, folds: int = 3) -> ToxicityModel:
+    """The model from documents (their distinct words, one space apart); share: of label 1 among all labelled rows."""
     toxic = np.asarray(toxic, np.int64)
-    empty = np.zeros(0, U64)
-    if not len(docs) or toxic.min() == toxic.max() or not sum(map(len, docs)):
+    buf = np.frombuffer(b"".join(docs), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+    low, starts, ends, place, first = distinct(buf, offs)
+    if not len(docs) or toxic.min() == toxic.max() or not len(place):
         logit = float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -25, 25))
-        return ToxicityModel(empty, (np.zeros((0, 2)), 1.0), empty, np.zeros((0, 2)), empty, np.zeros(0), empty, np.zeros((0, 2)), np.array([0.0, 0.0, logit]), window)
-
-    def joined(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        part = [docs[i].reshape(2, -1) for i in which]
-        h, stem = np.concatenate(part, axis=1)
-        return h, np.concatenate([[0], np.cumsum([x.shape[1] for x in part])]).astype(np.int64), stem
+        return ToxicityModel([], np.ones(2), np.array([0.0, 0.0, logit]))
+    doc = np.repeat(np.arange(len(docs)), np.diff(first))
 
-    def tables_of(which: np.ndarray) -> tuple:
-        h, first, stem = joined(which)
-        return _tables(h, previous(h, first), stem, np.repeat(np.arange(len(which)), np.diff(first)), toxic[which])
+    def model(of: np.ndarray) -> KneserNey:
+        chosen = of[doc]
+        count = np.stack([np.bincount(place[chosen & (toxic[doc] == k)], minlength=len(starts)) for k in (0, 1)], 1).astype(float)
+        some = count.sum(1) > 0
+        return kneser_ney(low, starts[some], ends[some], count[some])
 
     fold, x = np.zeros(len(docs), np.int64), np.zeros((len(docs), 2))
     for k in (0, 1):
         fold[toxic == k] = np.arange((toxic == k).sum()) % folds
     for k in range(folds):
-        rest, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(rest) and len(mine) and sum(len(docs[i]) for i in rest):
-            t = tables_of(rest)
-            x[mine] = features(*joined(mine), t, tuple(Index(t[i]) for i in (0, 2, 4, 7)), window)
+        mine = fold == k
+        words = np.unique(place[mine[doc]])
+        if len(words) and (~mine)[doc].any():
+            gain = np.zeros(len(starts))
+            gain[words] = model(~mine).gains(low, starts[words], ends[words])
+            x[mine] = features(gain[place], first)[mine]
     by_class = np.array([(1 - share) / max((toxic == 0).mean(), 1e-9), share / max((toxic == 1).mean(), 1e-9)])
-    t = tables_of(np.arange(len(docs)))
-    # Pairs without discounted mass only repeat what the backoff says.
-    some = t[3].max(1) > 0
-    return ToxicityModel(t[0], (t[1], t[6]), t[2][some], t[3][some], t[4], t[5], t[7], t[8], _logistic(x, toxic, by_class[toxic]), window)
+    m = model(np.ones(len(docs), bool))
+    return ToxicityModel(m.levels, m.unseen, _logistic(x, toxic, by_class[toxic]))
 
 
-def score_slice(m: ToxicityModel, found: tuple, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    h, first, stem = words(buf, offs)
-    t = (m.word_keys, m.word_logs[0], m.pair_keys, m.pair_mass, m.prev_keys, m.prev_back, m.word_logs[1], m.stem_keys, m.stem_tilt)
-    x = features(h, first, stem, t, found, m.window)
-    return 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
+def score_slice(weights: np.ndarray, words: KneserNey | None, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(offs) - 1, 2))
+    if words is not None:
+        low, starts, ends, place, first = distinct(buf, offs)
+        x = features(words.gains(low, starts, ends)[place], first)
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 2000, window: int = 5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: tuple[int, int] | None = None, sample_per_class: int = 2000) -> ToxicityModel:
     """Fit on a bounded sample: about `sample_per_class` labelled rows of each class, chosen by the hash of the id.
 
     holdout: (modulus, remainder) of crc32(id as text) whose rows teach nothing.
@@ -221,8 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         def run(b: pa.RecordBatch) -> list:
             out: list[bytes] = []
             for i, j, buf, offs in textscan.slices(b.column(b.schema.get_field_index("_text"))):
-                h, first, stem = words(buf, offs)
-                out += [h[first[k] : first[k + 1]].tobytes() + stem[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+                low, starts, ends, place, first = distinct(buf, offs)
+                raw = low.tobytes()
+                for k in range(j - i):
+                    mine = np.unique(place[first[k] : first[k + 1]])
+                    out.append(b" ".join([*(raw[x:y] for x, y in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True)), b""]))
             return [out]
 
         return run
@@ -231,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def learn(t: pa.Table) -> ToxicityModel:
         t = t.sort_by([("_id", "ascending"), ("_words", "ascending")])
-        return fit([np.frombuffer(x, U64) for x in t.column("_words").to_pylist()], np.asarray(t.column("_y").to_pylist(), np.int64), share, window)
+        return fit(t.column("_words").to_pylist(), np.asarray(t.column("_y").to_pylist(), np.int64), share)
 
     return storage.fitted(storage.map_columns(rows, [("_words", T.BinaryType())], hashed, keep=["_id", "_y"]), learn)
 
@@ -242,10 +280,10 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", scor
 
     def start() -> object:
         m = sent.value
-        found = m.index()
+        words = m.words()
 
         def run(b: pa.RecordBatch) -> list:
-            parts = [score_slice(m, found, buf, offs) for _, _, buf, offs in textscan.slices(b.column(place))]
+            parts = [score_slice(m.weights, words, buf, offs) for _, _, buf, offs in textscan.slices(b.column(place), SLICE)]
             return [pa.array(np.concatenate(parts))]
 
         return run

@@ -126,6 +126,59 @@ def test_toxicity(spark):
     assert shuffled == pytest.approx(got)
 
 
+def brute_kneser_ney(words, order, discount):
+    """p(class, byte, context) from {word: (documents of class 0, of class 1)}, by the definition."""
+    own = [[collections.Counter() for _ in range(order + 1)] for _ in (0, 1)]
+    for w, by_class in words.items():
+        s = bytes([toxicity.BEGIN, *w, toxicity.FINISH])
+        for k in (0, 1):
+            for i in range(1, len(s)):
+                for n in range(1, min(order, i + 1) + 1):
+                    own[k][n][s[i - n + 1 : i + 1]] += by_class[k]
+    count = [[None] * (order + 1) for _ in (0, 1)]
+    for k in (0, 1):
+        for n in range(1, order + 1):
+            before = collections.Counter(g[1:] for g, c in own[k][n + 1].items() if c) if n < order else None
+            count[k][n] = {g: c if n == order or g[0] == toxicity.BEGIN else before[g] for g, c in own[k][n].items()}
+
+    def p(k, byte, context):
+        if context is None:
+            return (sum(count[j][1].get(byte, 0) for j in (0, 1)) + 0.5) / (sum(sum(count[j][1].values()) for j in (0, 1)) + 0.5 * toxicity.VALUES)
+        n = len(context) + 1
+        mine = [{g: c for g, c in count[j][n].items() if g[:-1] == context} for j in (0, 1)]
+        kept = [sum(max(c - discount, 0) for c in m.values()) for m in mine]
+        low = p(k, byte, context[1:] if context else None)
+        if not kept[k]:
+            return low
+        back = min(1, max(1e-6, 1 - sum(kept) / sum(sum(m.values()) for m in mine)))
+        return (1 - back) * max(mine[k].get(context + byte, 0) - discount, 0) / kept[k] + back * low
+
+    return p
+
+
+def test_kneser_ney():
+    r = random.Random(2)
+    words = {bytes(r.choice(b"abcd") for _ in range(r.randrange(1, 6))): (r.randrange(0, 9), r.randrange(0, 5)) for _ in range(60)}
+    words = {w: c for w, c in words.items() if sum(c)}
+    raw = b"".join(words)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    m = toxicity.kneser_ney(np.frombuffer(raw, np.uint8), starts, ends, np.array(list(words.values()), float), 4, 1.5)
+    p = brute_kneser_ney(words, 4, 1.5)
+    asked = [*words, b"zz", b"dcba", b"abzabc"]
+    ends = np.cumsum([len(w) for w in asked])
+    starts = ends - [len(w) for w in asked]
+    want = []
+    for w in asked:
+        s = bytes([toxicity.BEGIN, *w, toxicity.FINISH])
+        log = [sum(math.log(p(k, s[i : i + 1], s[max(0, i - 3) : i])) for i in range(1, len(s))) for k in (0, 1)]
+        want.append(log[1] - log[0])
+    assert m.gains(np.frombuffer(b"".join(asked), np.uint8), starts, ends).tolist() == pytest.approx(want, abs=1e-9)
+    for context in (b"", b"a", b"ab", b"\x01", b"\x01a", b"\x01ab", b"zq", b"bcd"):
+        for k in (0, 1):
+            assert sum(p(k, bytes([x]), context) for x in range(toxicity.VALUES)) == pytest.approx(1)
+
+
 def test_toxicity_odd_input(spark):
     rows, labels = tox_corpus(120)
     lab = table(spark, [*labels, (None, 1, 1), (3, 1, None), (7, 0, 9)], "doc_id long, quality int, toxic int")
