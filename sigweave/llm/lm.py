@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import storage, textscan
 from .textscan import U64
 
-BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_TOKENS = 5 << 20, 1 << 20
 START, END = U64(0xA11CE), U64(0xE4D)
 TAIL = 48
 #: Tokens of a text that are read in lockstep with others; a piece after the first is led in by the two tokens before it.
@@ -281,15 +281,16 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     parts = max(storage.n_partitions(spark), blocks // 2)
     placed = _squeezed(rows, blocks).repartition(parts, "_block")
     answers = placed.groupBy("_block").applyInArrow(_asking(bits), _ASK).groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    # Every block gets the same three sums over all buckets, also those that it has no keys for.
     out = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     kind = storage.arrow_type(docs.schema[id_col].dataType)
-    answers = storage.written(answers, "answers")
-    sums = answers.groupBy("bucket").agg(*(F.max(c).alias(c) for c in ("total", "distinct", "single"))).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "single"))).first()
-    total, distinct, single = (int(x) for x in sums)
+    # Every block gets the same three sums over all buckets, also those that it has no keys for.
+    stats = ("total", "distinct", "single")
+    sums = answers.groupBy("bucket").agg(*(F.max(c).alias(c) for c in stats)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stats)).withColumn("one", F.lit(1))
+    answers = answers.drop(*stats).withColumn("one", F.lit(1)).join(F.broadcast(sums), "one")
 
     def read(texts: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("bucket").to_pydict()
+        total, distinct, single = (told[c][0] for c in stats)
         joined = lambda kind: np.concatenate([large(x, n) for x, n in zip(told[f"{kind}_counts"], told[f"n_{kind}s"], strict=True)] or [np.zeros(0, np.int64)])
         word_n, gram_n = joined("word"), joined("gram")
         tok, first = tokens(_texts(texts))
