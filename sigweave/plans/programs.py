@@ -14,7 +14,7 @@ from sigweave.operators import query as _query
 from sigweave.operators.kmers import kmers, spectrum
 from sigweave.sources import files, sinks
 
-#: Presets of the tools' options.
+#: Presets of the tools' options. The defaults in `main` are fixed values as well.
 INDEX_PRESETS = {"sensitive": 100, "very-sensitive": 1000}
 QUERY_PRESETS = {"sensitive": 10, "very-sensitive": 5}
 
@@ -22,30 +22,40 @@ QUERY_PRESETS = {"sensitive": 10, "very-sensitive": 5}
 def index(spark: SparkSession, paths: list[str], *, k: int = 81, c: int = 100, entropy: float = THRESHOLD, seed: str = "") -> dict[str, DataFrame]:
     """unique k-mers, counts a reference, the sketch and the spectrum, from FASTA paths and @lists."""
     refs = files.references(spark, files.expand(spark, paths))
-    found = kmers(files.read_fasta(spark, refs), k, keep=["ref_id", "ref_name", "record_idx", "contig"])
-    unique = _index.unique_kmers(found, ["ref_id", "ref_name", "record_idx", "contig", "pos"])
-    return {"refs": refs, "unique": unique, "counts": _index.unique_counts(unique, refs), "sketch": _index.build_sketch(unique, refs, c=c, threshold=entropy, seed=seed), "spectrum": spectrum(found)}
+    seqs = files.read_fasta(spark, refs)
+    found = kmers(seqs, k, keep=["ref_id", "record_idx"])
+    # Numbers ride in a hash aggregate; names and labels are joined to what is unique.
+    labels = seqs.select("ref_id", "ref_name", "record_idx", "contig")
+    unique = _index.unique_kmers(found, ["ref_id", "record_idx", "pos"]).join(labels, ["ref_id", "record_idx"])
+    return {"refs": refs, "unique": unique, "counts": _index.unique_counts(unique, refs), "sketch": _index.build_sketch(unique, refs, c=c, threshold=entropy, seed=seed), "spectrum": spectrum(kmers(seqs, k, keep=[], packed=True))}
 
 
 def query(spark: SparkSession, reads: list[str], sketch: DataFrame, *, hit: int = 10, acutoff: float = 0.0, rcutoff: int = 2, solid: bool = False) -> dict[str, DataFrame]:
-    """The report and the log of reads (r1, or r1 and r2) against a sketch; k is the length of its k-mers."""
+    """The report and the log of reads (r1, or r1 and r2) against a sketch, and metrics; k is the length of its k-mers.
+
+    metrics: k, references, sketch (signatures), f1, f0, repeats (solid k-mers) and weak of the reads.
+    """
     k = sketch.select(F.length("kmer").alias("k")).first()["k"]
-    hits = _query.match(files.read_reads(spark, reads), sketch, k, order_col="line_no" if "line_no" in sketch.columns else None)
-    return {"hits": hits, "report": _query.report(hits, sketch, hit_cutoff=hit, read_cutoff=rcutoff, abundance_cutoff=acutoff, solid=solid), "log": _query.signature_log(hits, sketch, solid=solid)}
+    rows = files.read_reads(spark, reads)
+    hits = _query.match(rows, sketch, k, order_col="line_no" if "line_no" in sketch.columns else None)
+    size = sketch.agg(F.lit(k).alias("k"), F.count_distinct("ref_id").alias("references"), F.count_distinct("kmer").alias("sketch"))
+    metrics = size.join(spectrum(kmers(rows, k, keep=[], packed=True)), F.lit(True))
+    return {"hits": hits, "report": _query.report(hits, sketch, hit_cutoff=hit, read_cutoff=rcutoff, abundance_cutoff=acutoff, solid=solid), "log": _query.signature_log(hits, sketch, solid=solid), "metrics": metrics}
 
 
 def compare(spark: SparkSession, filters: list[str], probes: list[str], *, k: int = 81) -> DataFrame:
     """Similarity of every probe file to every filter file."""
 
-    def side(paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    def side(paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
         refs = files.references(spark, paths)
-        # Equal base names stay apart by their paths until the rows are written.
-        return kmers(files.read_fasta(spark, refs.withColumn("ref_name", F.col("path"))), k, keep=["ref_name"]).withColumnRenamed("ref_name", "ref"), refs.select(F.col("path").alias("ref"))
+        # Equal base names stay apart by their numbers until the rows are named.
+        return kmers(files.read_fasta(spark, refs), k, keep=["ref_id"], packed=True).select(F.col("ref_id").alias("ref"), "kmer"), refs.select(F.col("ref_id").alias("ref")), refs
 
-    a, a_refs = side(filters)
-    b, b_refs = side(probes)
-    out = _compare.similarity(a, b, a_refs, b_refs)
-    return out.withColumns({"ref1": files.base_id("ref1"), "ref2": files.base_id("ref2")})
+    a, a_refs, a_names = side(filters)
+    b, b_refs, b_names = side(probes)
+    out = _compare.similarity(a, b, a_refs, b_refs).withColumnsRenamed({"ref1": "_1", "ref2": "_2"})
+    named = out.join(b_names.select(F.col("ref_id").alias("_1"), F.col("ref_name").alias("ref1")), "_1").join(a_names.select(F.col("ref_id").alias("_2"), F.col("ref_name").alias("ref2")), "_2")
+    return named.select("ref1", "ref2", "uniq_ref1", "all_ref1", "similarity")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -76,18 +86,23 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("list2")
     c.add_argument("-k", "--kmer", type=int, default=81)
     c.add_argument("-o", "--out", default="reference_similarity.tsv")
+    # Sizes of filters and threads: taken, so that old command lines run, and without effect on exact results in Spark.
+    for one, flags in ((i, ("-b --bits", "-d --hash1", "-s --hash2", "-t --threads")), (q, ("-b --bit", "-t --threads")), (c, ("-b --bits", "-d --hash", "-g --gsize", "-t --threads"))):
+        for flag in flags:
+            one.add_argument(*flag.split(), type=int, help=argparse.SUPPRESS, dest=f"unused{flag[:2]}")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.program == "index":
         got = index(spark, a.paths, k=a.kmer, c=a.cov, entropy=a.entropy)
         sinks.write_candidates(got["unique"], a.outdir)
-        sinks.write_counts(got["counts"], a.stat)
+        sinks.write_counts(got["counts"].withColumn("path", F.format_string("%s/%s.tsv", F.lit(a.outdir), "ref_name")), a.stat)
         sinks.write_sketch(got["sketch"], a.out)
         got["spectrum"].show()
     elif a.program == "query":
         got = query(spark, [x for x in (a.r1, a.r2) if x], files.read_sketch(spark, a.ref), hit=a.hit, acutoff=a.acutoff, rcutoff=a.rcutoff, solid=a.solid)
         got["hits"].cache()
         head, _, name = a.out.rpartition("/")
+        got["metrics"].show()
         sinks.write_report(got["report"], a.out)
         sinks.write_signature_log(got["log"], f"{head + '/' if head else ''}log_{name}")
     else:

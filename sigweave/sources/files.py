@@ -1,22 +1,33 @@
-"""Sequence files, lists and index tables as DataFrames."""
+"""Sequence files, lists and index tables as DataFrames.
+
+All files are opened by Spark, so any file system that Spark reads will do. Text is cut into
+records by Spark's reader (before `>` or `@`), and a task numbers the records of its splits in
+order; sequences are never shuffled or gathered by file.
+"""
 
 from __future__ import annotations
 
 import bz2
-import gzip
 import io
 import lzma
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from sigweave import schemas
-from sigweave.functions.seq import base_id, contig_label
+from sigweave.functions.seq import base_id
+
+#: Rows of (file, number) up to which they are broadcast to the records; above, Spark joins as it sees fit.
+BROADCAST_FILES = 200_000
+#: Rows and letters of an Arrow batch, about.
+BATCH_ROWS, BATCH_LETTERS = 10_000, 1 << 23
+
+_FASTA = re.compile(r"\.(fa|fasta|fas|fna|ffn|frn|faa|mpfa)(\.\w+)?$", re.I)
+_WHOLE = re.compile(r"\.(xz|zip|bz)$", re.I)
 
 
 def path_list(spark: SparkSession, path: str) -> list[str]:
@@ -31,122 +42,205 @@ def expand(spark: SparkSession, args: list[str]) -> list[str]:
 
 
 def references(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(ref_id, ref_name, path): one reference a file, numbered in order."""
+    """(ref_id, ref_name, path): one reference a path, numbered in order. A folder is one reference of all its files."""
     rows = spark.createDataFrame(list(enumerate(paths)), "ref_id int, path string")
     return rows.select("ref_id", base_id("path").alias("ref_name"), "path")
 
 
-def _plain(path) -> F.Column:
+def _plain(path: Column | str) -> Column:
+    """A file's path as users write it: not percent-encoded, local ones without a scheme."""
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
+def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tuple[DataFrame, list[str], int]:
+    """files with _file, the path that Spark gives each file; all paths; and the size of the largest file.
+
+    files: rows with a path of a file, or of a folder with files. Sizes come from listing; contents are not read.
+    """
+    paths = sorted({r[column] for r in files.select(column).collect()})
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    full = _plain("path")
+    bare = F.regexp_replace(full, "^[A-Za-z0-9+.-]+://[^/]*", "")
+    names = F.array_distinct(F.array(full, bare, *(F.regexp_replace(x, "/[^/]*$", "") for x in (full, bare))))
+    known = listed.select(full.alias("_file"), "length", F.explode(names).alias("_key"))
+    asked = files.withColumn("_key", F.regexp_replace(_plain(F.replace(F.col(column), F.lit("%"), F.lit("%25"))), "(?<=.)/+$", ""))
+    found = asked.join(known, "_key").drop("_key").dropDuplicates([*files.columns, "_file"]).persist()
+    seen = found.agg(F.count("*").alias("n"), F.max("length").alias("most")).first()
+    found = found.drop("length")
+    return F.broadcast(found) if seen["n"] <= BROADCAST_FILES else found, paths, seen["most"] or 0
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """Bytes from which on a file may have several splits."""
+    n, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(n) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] >> 3  # splits shrink where there are more cores than splits
+
+
+def _pieces(spark: SparkSession, paths: list[str], mark: str) -> DataFrame:
+    """(value, _file, _start): text before each line that begins with mark, in the order of a split's bytes."""
+    raw = spark.read.option("lineSep", f"\n{mark}").text(paths)
+    return raw.select(F.col("value").cast("binary"), _plain(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, str]]:
+    """File, split, place within the split and text of each piece."""
+    now, at = None, 0
+    for b in batches:
+        for value, file, start in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            key = file.as_py(), start.as_py()
+            at, now = (at + 1 if key == now else 0), key
+            yield *key, at, value.as_py().decode("utf-8", "replace")
+
+
+def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= BATCH_ROWS or size > BATCH_LETTERS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
 def read_fasta(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """(ref_id, ref_name, record_idx, contig, seq) of FASTA files.
 
     The first line of a file is a header whatever it begins with. A record ends at a line that
     begins with `>`; its lines are joined without trimming. A label is the header without its
     first character, spaces as underscores; an empty label is that of the record before.
-    Files are split by records, so one large file is read by many tasks. refs: ref_id, ref_name, path.
+    Files are split by records, so one large file is read by many tasks; such a file is read once
+    before, for what its splits hold. refs: ref_id, ref_name, path (a file or a folder).
+    """
+    placed, paths, largest = _placed(spark, refs.select("ref_id", "ref_name", "path"))
+    pieces = _pieces(spark, paths, ">")
+    names, kinds = ["_file", "_start", "record_idx", "contig", "seq"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        label = None
+        for file, start, at, text in _in_order(batches):
+            header, _, body = text.partition("\n")
+            if not at:
+                label = None
+                header = header if start else header[1:]
+            label = header.replace(" ", "_") or label
+            yield file, start, start + at, label, body.replace("\n", "").upper()
+
+    records = pieces.mapInArrow(lambda b: _batched(parsed(b), names, kinds), "_file string, _start long, record_idx long, contig string, seq string")
+    if largest > _split_bytes(spark):  # records before a split give its first number, and the label if it begins without one
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            key, n, label = None, 0, None
+            for file, start, _, contig, _ in parsed(batches):
+                if (file, start) != key and key:
+                    yield *key, n, label or ""
+                    n = 0
+                key, n, label = (file, start), n + 1, contig
+            if key:
+                yield *key, n, label or ""
+
+        fields, kinds_of = ["_file", "_start", "_n", "_label"], [pa.string(), pa.int64(), pa.int64(), pa.string()]
+        splits = pieces.mapInArrow(lambda b: _batched(summed(b), fields, kinds_of), "_file string, _start long, _n long, _label string")
+        earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+        splits = splits.select("_file", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.last(F.nullif("_label", F.lit("")), ignorenulls=True).over(earlier).alias("_label")).persist()
+        splits = F.broadcast(splits) if splits.count() <= BROADCAST_FILES else splits
+        records = records.join(splits, ["_file", "_start"]).select("_file", (F.col("record_idx") - F.col("_start") + F.col("_before")).alias("record_idx"), F.coalesce("contig", "_label").alias("contig"), "seq")
+    return records.join(placed, "_file").select("ref_id", "ref_name", "record_idx", F.coalesce("contig", F.lit("")).alias("contig"), "seq")
+
+
+def records(lines: Iterator[str]) -> Iterator[tuple[str, str, int]]:
+    """Name, sequence and missing quality of FASTA or FASTQ records, mixed or not; a name ends at the first white space.
+
+    Quality is missing if the lines end within it.
     """
-    paths = [r["path"] for r in refs.select("path").collect()]
-    whole = spark.read.option("lineSep", "\n>").text(sorted(set(paths)))
-    raw = whole.select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-    in_order = Window.partitionBy("_file").orderBy("_start", "_at")
-    numbered = raw.withColumn("record_idx", F.row_number().over(in_order) - 1)
-    header = F.substring_index("value", "\n", 1)
-    label = F.when(F.col("record_idx") == 0, header.substr(F.lit(2), F.length(header))).otherwise(header)
-    label = F.when(label != "", contig_label(label))
-    body = F.when(F.instr("value", "\n") > 0, F.col("value").substr(F.instr("value", "\n") + 1, F.length("value"))).otherwise("")
-    records = numbered.select("_file", "_start", "_at", F.col("record_idx").cast("long"), label.alias("_label"), F.upper(F.replace(body, F.lit("\n"), F.lit(""))).alias("seq"))
-    named = records.withColumn("contig", F.coalesce(F.last("_label", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
-    return named.join(F.broadcast(refs.withColumn("_key", _plain(F.col("path")))), _plain(F.col("_file")) == F.col("_key")).select("ref_id", "ref_name", "record_idx", "contig", "seq")
-
-
-def opened(path: str) -> io.TextIOBase:
-    """A text stream over a plain, gz, bz2, xz or zip file, by its extension."""
-    low = path.lower()
-    if low.endswith(".gz"):
-        return gzip.open(path, "rt", encoding="latin-1", newline="\n")
-    if low.endswith((".bz2", ".bz")):
-        return bz2.open(path, "rt", encoding="latin-1", newline="\n")
-    if low.endswith(".xz"):
-        return lzma.open(path, "rt", encoding="latin-1", newline="\n")
-    if low.endswith(".zip"):
-        z = zipfile.ZipFile(path)
-        return io.TextIOWrapper(z.open(z.namelist()[0]), encoding="latin-1", newline="\n")
-    return open(path, encoding="latin-1", newline="\n")
-
-
-def records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
-    """(name, sequence) of FASTA or FASTQ records, mixed or not; a name ends at the first white space."""
     line = next(lines, None)
     while line is not None:
         line = line.rstrip("\r\n")
         if line[:1] not in (">", "@"):
             line = next(lines, None)
             continue
-        name, parts = (line[1:].split(None, 1) or [""])[0], []
+        name, parts, missing = (line[1:].split(None, 1) or [""])[0], [], 0
         line = next(lines, None)
         while line is not None and line[:1] not in (">", "@", "+"):
             parts.append(line.rstrip("\r\n"))
             line = next(lines, None)
         seq = "".join(parts)
         if line is not None and line[:1] == "+":  # quality has as many characters as the sequence, and may begin with @
-            got = 0
-            while got < len(seq) and (line := next(lines, None)) is not None:
-                got += len(line.rstrip("\r\n"))
+            missing = len(seq)
+            while missing > 0 and (line := next(lines, None)) is not None:
+                missing -= len(line.rstrip("\r\n"))
             line = next(lines, None)
-        yield name, seq
-
+        yield name, seq, max(0, missing)
 
-class _File(InputPartition):
-    def __init__(self, file_idx: int, path: str):
-        self.file_idx, self.path = file_idx, path
 
+_READS = "_file string, read_idx long, read_name string, seq string"
+_READ_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string()]
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(self.paths)]
+def _split_reads(pieces: DataFrame, mark: str) -> DataFrame:
+    """Reads from pieces of text that begin after mark."""
 
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        rows, at, size = [], 0, 0
-        with opened(part.path) as f:
-            for name, seq in records(iter(f)):
-                rows.append((name, seq))
-                size += len(seq)
-                if len(rows) >= 10_000 or size > 1 << 23:
-                    yield self._batch(part.file_idx, at, rows)
-                    at, rows, size = at + len(rows), [], 0
-        if rows:
-            yield self._batch(part.file_idx, at, rows)
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        missing = idx = 0
+        for file, start, at, text in _in_order(batches):
+            if not at:
+                missing, idx = 0, start
+            lines = text.split("\n")
+            if missing > 0:  # quality that begins with the mark
+                missing -= 1 + sum(len(x.rstrip("\r")) for x in lines)
+                continue
+            if mark == "@" and start and not at and not any(x.startswith("+") for x in lines[1:]):
+                continue  # the quality of the last record of the split before
+            if start or at:
+                lines[0] = mark + lines[0]
+            for name, seq, missing in records(iter(lines)):
+                yield file, idx, name, seq
+                idx += 1
 
-    @staticmethod
-    def _batch(file_idx: int, at: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array([file_idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["file_idx", "read_idx", "read_name", "seq"])
+    return pieces.mapInArrow(lambda b: _batched(parsed(b), ["_file", "read_idx", "read_name", "seq"], _READ_KINDS), _READS)
 
 
-class ReadsSource(DataSource):
-    """`spark.read.format("reads").option("paths", "a.fq.gz,b.fa").load()`; paths that every executor can open."""
+def _whole_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Reads of packed files that only Python opens, each by one task; at most 2 GB packed."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "reads"
+    def text(path: str, content: bytes) -> Iterator[str]:
+        low, raw = path.lower(), io.BytesIO(content)
+        if low.endswith(".zip"):
+            z = zipfile.ZipFile(raw)
+            opened = [z.open(n) for n in sorted(z.namelist())]
+        else:
+            opened = [(lzma if low.endswith(".xz") else bz2).open(raw)]
+        for f in opened:
+            yield from io.TextIOWrapper(f, encoding="utf-8", errors="replace", newline="\n")
 
-    def schema(self) -> str:
-        return "file_idx int, read_idx long, read_name string, seq string"
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for file, content in zip(b.column(0), b.column(1), strict=True):
+                for idx, (name, seq, _) in enumerate(records(text(file.as_py(), content.as_py()))):
+                    yield file.as_py(), idx, name, seq
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader([p for p in self.options["paths"].split(",") if p])
+    files = spark.read.format("binaryFile").load(paths).select(_plain("path").alias("_file"), "content")
+    return files.mapInArrow(lambda b: _batched(parsed(b), ["_file", "read_idx", "read_name", "seq"], _READ_KINDS), _READS)
 
 
 def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Reads of FASTA or FASTQ files, one task a file; for r1 and r2 give both."""
-    spark.dataSource.register(ReadsSource)
-    return spark.read.format("reads").option("paths", ",".join(paths)).load()
+    """(file_idx, read_idx, read_name, seq) of FASTA or FASTQ files; for r1 and r2 give both.
+
+    Plain and bz2 files are split among tasks; gz files are not. A name that ends in .fa, .fasta or the like,
+    packed or not, means FASTA, all others FASTQ. Quality may begin with `@`; where it is also
+    wrapped into lines within a file of several splits, a split must not begin inside it.
+    xz and zip files (all their entries) are read as a whole. read_idx grows within a file.
+    """
+    files = spark.createDataFrame(list(enumerate(paths)), "file_idx int, path string")
+    placed, _, _ = _placed(spark, files)
+    kinds: dict[str, set[str]] = {}
+    for p in paths:
+        kinds.setdefault("whole" if _WHOLE.search(p) else ">" if _FASTA.search(p) else "@", set()).add(p)
+    parts = [_whole_reads(spark, sorted(some)) if kind == "whole" else _split_reads(_pieces(spark, sorted(some), kind), kind) for kind, some in sorted(kinds.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(placed, "_file").select("file_idx", "read_idx", "read_name", "seq")
 
 
 def read_sketch(spark: SparkSession, path: str) -> DataFrame:

@@ -12,9 +12,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables h
 
 
 def test_names():
-    from sigweave.plans import queries as own
+    from sigweave.plans import file_queries, queries as own
 
-    assert set(own.QUERIES) == set(own.ORACLES) and set(own.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(own.QUERIES) == set(own.ORACLES) and set(file_queries.QUERIES) == set(file_queries.ORACLES) and set(own.QUERIES) | set(file_queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
