@@ -26,9 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near-duplicates. Documents without an id stay."""
-    away = jaccard.join(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of near-duplicates, that of the smallest id; decided by row, see jaccard.keep_one."""
+    return jaccard.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
