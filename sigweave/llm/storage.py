@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigweave.sources.shared import new_path, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Unset, as in tests, it is set to one under /tmp, in local mode only."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+
+def taken(sent: Broadcast) -> object:
+    """A broadcast's value, read from the worker's disk each time: the worker does not keep it."""
+    value = sent.value
+    vars(sent).pop("_value", None)
+    return value
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as a table in the shared folder. It cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
