@@ -19,7 +19,7 @@ equal sets form one class; classes are then joined:
 
 Nulls, empty texts and texts without words have an empty set (0 shingles) and link with
 nothing. Rows that repeat are in one class. A row with a null id links with nothing and has
-a null component. Ids must be integers; a repeated id stands for one document.
+a null component. Ids must be integers; of an id with several texts each text is a class of its own.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from .textscan import U64
 
 #: Hashes a bucket of step 1 and shingles a task of step 3 hold, about; hashes a message is made from.
 BUCKET, TASK, CHUNK = 1_000_000, 1_000_000, 500_000
-#: Rows of (id, cluster) up to which step 3 broadcasts them to the documents; above, both are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which step 3 broadcasts the classes of clusters to the documents, and what a class takes; above, both are shuffled.
+BROADCAST_BYTES, ACTIVE_BYTES = 96 << 20, 96
 
 
 def least_overlap(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -154,25 +154,26 @@ def _n_prefix(n: int, percent: int) -> int:
     return n - least_overlap(n, percent) + 1
 
 
-def _class_number(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+def _class_number(key: bytes, part: int) -> int:
+    return int.from_bytes(key[8 * part : 8 * part + 8], "little", signed=True)
 
 
-def _scan(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """_id with the size, the key and the class number (a part of the key) of the set of _text."""
+def _scan(rows: DataFrame, size: int, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns to keep with the size and the key of the set of each text."""
+    place = rows.columns.index(text_col)
 
     def start() -> object:
         def run(b: pa.RecordBatch) -> list:
             n, key = [], []
-            for _, _, buf, offs in textscan.slices(b.column(1)):
+            for _, _, buf, offs in textscan.slices(b.column(place)):
                 for s in shingle_sets(buf, offs, size):
                     n.append(len(s))
                     key.append(key_of(s) if len(s) else None)
-            return [n, key, [k and _class_number(k) for k in key]]
+            return [n, key]
 
         return run
 
-    return storage.map_columns(rows, [("_n", T.LongType()), ("_key", T.BinaryType()), ("_kid", T.LongType())], start, keep=["_id"])
+    return storage.map_columns(rows, [("_n", T.LongType()), ("_key", T.BinaryType())], start, keep=keep)
 
 
 _PACKED = "bucket long, kids binary, ns binary, counts binary, hashes binary, df binary"
@@ -207,7 +208,7 @@ def _unpack(t: pa.Table, six: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.repeat(joined("kids", np.int64), count), np.repeat(joined("ns", "<u4"), count), h.reshape(-1).view("<u8"), joined("df", "<u4")
 
 
-def _ties(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+def _ties(rows: DataFrame, size: int, percent: int, buckets: int, part: int) -> DataFrame:
     """(a, b): numbers of classes that may link or stand between classes that may, each with the smallest of its hash."""
 
     def deal(batches):
@@ -222,11 +223,11 @@ def _ties(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
         for b in batches:
             for _, _, buf, offs in textscan.slices(b.column(1)):
                 for s in shingle_sets(buf, offs, size):
-                    if not len(s) or (kid := _class_number(key_of(s))) in seen:
+                    if not len(s) or (key := key_of(s)) in seen:
                         continue
-                    seen.add(kid)
+                    seen.add(key)
                     parts.append(s[: 2 * _n_prefix(len(s), percent) - 1])
-                    kids.append(kid)
+                    kids.append(_class_number(key, part))
                     ns.append(len(s))
                     total += len(parts[-1])
                     if total > CHUNK:
@@ -277,46 +278,91 @@ def _ties(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
     return out.groupBy("bucket").applyInArrow(tie, "a long, b long")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """(id_col, n_shingles, component_id) for every row of docs."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    scan = storage.written(_scan(rows, words, percent), "sets")
-    classes = storage.written(scan.where("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_kid").alias("kid"), F.count("*").alias("rows")), "classes")
+def _numbered(scan: DataFrame) -> tuple[DataFrame, int]:
+    """Classes (_key, rep, n, rows, kid), and the part of their keys that numbers them: one in which no two agree."""
+    found = scan.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.count("*").alias("rows"))
+    for part in (0, 1):
+
+        def start(part: int = part) -> object:
+            return lambda b: [[_class_number(k, part) for k in b.column(0).to_pylist()]]
+
+        classes = storage.written(storage.map_columns(found, [("kid", T.LongType())], start), "classes")
+        if not classes.groupBy("kid").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+            return classes, part
+    raise ValueError("two different sets have keys that agree in both parts")
+
+
+def _linked(rows: DataFrame, scan: DataFrame, words: int, percent: int) -> DataFrame:
+    """(_key, rep, rows, component) of every class that has several rows or a link; component: the smallest rep, first: whether the class is the one with it."""
+    spark = rows.sparkSession
+    classes, part = _numbered(scan)
     shuffles = storage.n_partitions(spark)
     hashes = (classes.agg(F.sum("n")).first()[0] or 0) // 2
     buckets = max(shuffles, hashes // BUCKET)
-    clusters = storage.written(components(_ties(rows.where("_id is not null"), words, percent, buckets), "a", "b"), "clusters")
+    clusters = storage.written(components(_ties(rows.where("_id is not null"), words, percent, buckets, part), "a", "b"), "clusters")
 
     known = clusters.join(classes.select(F.col("kid").alias("node"), "rep", "_key", "n"), "node")
     sizes = known.groupBy("component").agg(F.sum("n").alias("total"))
     cut = storage.written(sizes.select("component", F.ceil(F.col("total") / TASK).alias("parts"), "total"), "sizes")
-    count, total = clusters.count(), cut.agg(F.sum("total")).first()[0] or 0
+    seen = clusters.count()
+    total = cut.agg(F.sum("total")).first()[0] or 0
     tasks = max(shuffles * 2, int(total) // TASK + 1)
-    active = known.join(cut, "component").select(F.col("rep").alias("_id"), "_key", "component", "parts")
-    active = rows.where("_id is not null").join(F.broadcast(active) if count <= BROADCAST_ROWS else active, "_id")
-    part = F.pmod(F.xxhash64("_id"), F.col("parts"))
+    active = known.join(cut, "component").select(F.col("rep").alias("_id"), "_key", F.col("node").alias("_kid"), "component", "parts")
+    active = rows.where("_id is not null").join(F.broadcast(active) if seen * ACTIVE_BYTES <= BROADCAST_BYTES else active, "_id")
+    side = F.pmod(F.xxhash64("_kid"), F.col("parts"))
     whole = F.col("parts") == 1
     one = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    many = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(F.least(part, x).alias("i"), F.greatest(part, x).alias("j")))
-    active = active.withColumn("_part", part).withColumn("_bin", F.when(whole, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component"))).withColumn("_meet", F.explode(F.when(whole, one).otherwise(many)))
-    active = active.select("_id", "_key", "_text", "_part", "_bin", F.col("_meet.i").alias("_i"), F.col("_meet.j").alias("_j"))
+    many = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(F.least(side, x).alias("i"), F.greatest(side, x).alias("j")))
+    active = active.withColumn("_part", side).withColumn("_bin", F.when(whole, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component"))).withColumn("_meet", F.explode(F.when(whole, one).otherwise(many)))
+    active = active.select("_kid", "_key", "_text", "_part", "_bin", F.col("_meet.i").alias("_i"), F.col("_meet.j").alias("_j"))
 
     def search(t: pa.Table) -> pa.Table:
-        ids, keys, parts = t.column("_id").to_numpy(), t.column("_key").to_pylist(), t.column("_part").to_numpy()
+        kids, keys, parts = t.column("_kid").to_numpy(), t.column("_key").to_pylist(), t.column("_part").to_numpy()
         sets: list[np.ndarray] = []
         for _, _, buf, offs in textscan.slices(t.column("_text")):
             sets += shingle_sets(buf, offs, words)
         first = {}
-        for k, s in enumerate(sets):
+        for k, s in enumerate(sets):  # an id may have several texts; a class is the text that has its key
             if len(s) and key_of(s) == keys[k]:
-                first.setdefault(int(ids[k]), k)
+                first.setdefault(keys[k], k)
         which = np.array(sorted(first.values()), np.int64)
         crossed = len(t) and t.column("_i")[0].as_py() != t.column("_j")[0].as_py()
         links = divide_skip([sets[k] for k in which], percent, parts[which] if crossed else None)
-        a = np.array([ids[which[x]] for x, _ in links], np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(np.array([ids[which[y]] for _, y in links], np.int64))})
+        a = np.array([kids[which[x]] for x, _ in links], np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(np.array([kids[which[y]] for _, y in links], np.int64))})
+
+    found = storage.written(components(active.groupBy("_bin", "_i", "_j").applyInArrow(search, "a long, b long"), "a", "b"), "components")
+    of = classes.select(F.col("kid").alias("node"), "rep", "_key")
+    least = found.join(of, "node").groupBy("component").agg(F.min(F.struct("rep", "_key")).alias("_least"))
+    labelled = classes.withColumnRenamed("kid", "node").join(found, "node", "left").where("rows > 1 or component is not null").join(least, "component", "left")
+    return labelled.select("_key", "rep", "rows", F.coalesce("_least.rep", "rep").alias("component"), (F.coalesce("_least._key", "_key") == F.col("_key")).alias("first"))
 
-    found = components(active.groupBy("_bin", "_i", "_j").applyInArrow(search, "a long, b long"), "a", "b")
-    named = classes.select("_key", F.col("rep").alias("node"), "rows").join(found, "node", "left").where("rows > 1 or component is not null").select("_key", F.coalesce("component", "node").alias("_component"))
-    return scan.select("_id", "_n", "_key").join(named, "_key", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """(id_col, n_shingles, component_id) for every row of docs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    scan = storage.written(_scan(rows, words, "_text", ["_id"]), "sets")
+    named = _linked(rows, scan, words, percent).select("_key", F.col("component").alias("_component"))
+    return scan.join(named, "_key", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component, one row of the document with the smallest id.
+
+    Decided by row, not by id alone: of rows that repeat one stays, of an id with several texts each text has its own group. Rows
+    without an id go if their set is that of a row with an id; of others with equal sets one stays.
+    Rows without words stay.
+    """
+    keyed = storage.written(_scan(docs, words, text_col, docs.columns), "keyed")
+    rows = keyed.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    scan = keyed.select(F.col(id_col).cast("long").alias("_id"), "_n", "_key")
+    named = storage.written(_linked(rows, scan, words, percent).select("_key", F.col("rep").alias("_rep"), F.col("first").alias("_first")), "groups")
+    named = F.broadcast(named) if named.count() * ACTIVE_BYTES <= BROADCAST_BYTES else named
+    left = keyed.join(named, "_key", "left").where(F.col("_first").isNull() | (F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("_rep"))))
+    # Rows that repeat are few kinds: only those pass an aggregate.
+    twice = storage.written(scan.where("_key is not null").groupBy("_id", "_key").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_id").alias("_i"), F.col("_key").alias("_k")), "twice")
+    if not twice.limit(1).count():
+        return left.select(docs.columns)
+    same = (F.col("_k") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_i"))
+    once = left.join(twice, same, "left_anti").select(docs.columns)
+    return once.unionByName(left.join(twice, same, "left_semi").dropDuplicates([id_col, "_key"]).select(docs.columns))
