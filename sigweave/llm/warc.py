@@ -15,8 +15,8 @@ digest are valid, and none that ends just where inflating stopped. A member of w
 A null payload is empty. Of payloads with equal digests and at least `revisit_from` bytes,
 the row of the largest id is the response and the others revisit it; rows that repeat that
 id are responses too, and null ids revisit unless all ids are null. A null or odd URI is
-left out or percent-encoded. An empty table gives archives without records. An archive must
-be smaller than 2 GB.
+left out or percent-encoded. An empty table gives archives without records. The writer begins
+a new archive after ROLL_BYTES; archives from elsewhere must be smaller than 2 GB, as one task reads one as a whole.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from . import storage
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GAP = gzip.compress(b"", 9, mtime=0)
 _CHUNK = 1 << 16
+#: Bytes of an archive, but for its last record.
+ROLL_BYTES = 128 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -226,7 +228,7 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_struct_array(pa.array(rows, schema))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, _READ)
 
 
@@ -246,32 +248,45 @@ def with_decisions(pages: DataFrame, *, id_col: str, html_col: str, revisit_from
     return known.join(several, "_digest", "left").withColumn("_revisits", F.when(~F.col("_id").eqNullSafe(F.col("_keep")), F.col("_keep"))).drop("_keep")
 
 
-def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Archives under path, one gzip member a record."""
+def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0, date: str = "2000-01-01T00:00:00Z") -> None:
+    """Archives under path, one gzip member a record; a task's archives are rolled by their bytes."""
     rows = with_decisions(pages.select(id_col, url_col, html_col), id_col=id_col, html_col=html_col, revisit_from=revisit_from).select("_id", F.col(url_col).alias("_url"), "_html", "_digest", "_bytes", "_revisits")
 
+    most = ROLL_BYTES
+
     def start():
+        archive = size_now = 0
+
         def run(b: pa.RecordBatch) -> list:
-            out = []
+            nonlocal archive, size_now
+            out, places = [], []
             for i, url, html, known, size, of in zip(*(b.column(k) for k in range(6)), strict=True):
                 of = of.as_py()
                 name = "" if i.as_py() is None else str(i.as_py())
                 raw = record(name, url.as_py(), (html.as_py() or "").encode() if of is None else b"", known.as_py(), None if of is None else str(of), date, size.as_py())
                 out.append(gzip.compress(raw, 5, mtime=0))
-            return [out]
+                if size_now > most:
+                    archive, size_now = archive + 1, 0
+                size_now += len(out[-1]) + len(_GAP)
+                places.append(archive)
+            return [out, places]
 
         return run
 
-    made = storage.map_columns(rows, [("_member", T.BinaryType())], start, keep=[])
-    made.select(F.col("_member").cast("string").alias("value")).write.option("lineSep", _GAP.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    made = storage.map_columns(rows, [("_member", T.BinaryType()), ("_archive", T.LongType())], start, keep=[])
+    made.select(F.col("_member").cast("string").alias("value"), "_archive").write.partitionBy("_archive").option("lineSep", _GAP.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0) -> DataFrame:
-    """Write pages to archives in the shared folder and read them back: id_col, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write pages to archives in the shared folder and read them back: id_col, payload_bytes, payload_digest, record_type, refers_to.
+
+    A gap in what was written just before is an error.
+    """
     spark = pages.sparkSession
     path = f"{storage.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, revisit_from=revisit_from)
     kind = pages.schema[id_col].dataType
     named = lambda c: F.nullif(F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1), F.lit("")).cast(kind)
-    got = read(spark, path, payloads=False).where("gap_reason is null")
+    whole = F.when(F.col("gap_reason").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(": "), "gap_reason")).cast("boolean"))
+    got = read(spark, path, payloads=False).where(whole)
     return got.select(named("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", named("refers_to").alias("refers_to"))
