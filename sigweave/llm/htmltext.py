@@ -13,15 +13,18 @@ is cut off or badly nested is read as far as it goes. Pages that repeat are read
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
+import pickle
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import storage, textscan
@@ -33,18 +36,93 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open within the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<]*\Z|([^<]+|<)""", re.I | re.S)
+_OPEN = re.compile(r"</?([a-z][a-z0-9:-]*)", re.I)
+_STOP = re.compile(r"""[>"']""")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters within links) of every block that has text, in page order."""
-    stack: list[tuple[str, str]] = []
-    out: list[tuple[tuple[str, ...], str, int]] = []
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page in order; kind: "text", "open" or "close". Comments, declarations, scripts and styles are left out.
+
+    A page is read in time linear in its length: no place is searched for an end twice. Once a
+    quoted attribute is found not to end, quotes mean nothing in the rest of the page. A tag that no `>` ends takes the rest.
+    """
+    at, size, quotes = 0, len(page), True
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield "text", page[at:lt], ""
+            at = lt
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = _OPEN.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            else:
+                yield "text", "<", ""
+                at += 1
+            continue
+        end, pos = -1, m.end()
+        while quotes:
+            stop = _STOP.search(page, pos)
+            if not stop:
+                break
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            pos = page.find(stop[0], stop.end()) + 1
+            if not pos:
+                break
+        if end < 0:
+            quotes, end = False, page.find(">", m.end())
+            if end < 0:
+                return
+        name = m[1].lower()
+        close = page[at + 1] == "/"
+        yield "close" if close else "open", name, page[m.end() : end]
+        at = end + 1
+        if not close and name in _RAW_END:
+            raw = _RAW_END[name].search(page, at)
+            at = raw.end() if raw else size
+
+
+@functools.lru_cache(maxsize=65536)
+def _bits(names: str) -> tuple[int, int]:
+    """The bits that an element's names set in the vectors of all that it holds, and of its own text."""
+    path = leaf = 0
+    for name in names.split():
+        path |= 1 << zlib.crc32(name.encode()) % (PATHS - 32)
+        leaf |= 1 << zlib.crc32(b"leaf" + name.encode()) % 32
+    return path, leaf
+
+
+def blocks(page: str) -> list[tuple[tuple[int, int], str, int]]:
+    """(path, text, characters within links) of every block that has text, in page order.
+
+    A path is the bits of the open elements and of the innermost one, so depth costs no memory.
+    """
+    stack: list[tuple[str, int, int]] = []
+    count: collections.Counter[str] = collections.Counter()
+    out: list[tuple[tuple[int, int], str, int]] = []
     text: list[str] = []
     links = inside = 0
-    path: tuple[str, ...] | None = None
+    path: tuple[int, int] | None = None
+
+    def here() -> tuple[int, int]:
+        return stack[-1][1:] if stack else (0, 0)
+
+    def pop() -> None:
+        count[stack.pop()[0]] -= 1
 
     def flush() -> None:
         nonlocal text, links
@@ -55,63 +133,56 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 out.append((path, joined, links))
             text, links = [], 0
 
-    for m in _TOKEN.finditer(page):
-        words = m[5]
-        if words is not None:
-            if path is None:
-                path = tuple(x for _, x in stack)
-            text.append(words)
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            path = path or here()
+            text.append(tag)
             if inside:
-                links += len(words)
-            continue
-        if m[3] is None:
+                links += len(tag)
             continue
-        tag = m[3].lower()
         if tag not in BLOCK:
             if tag == "br":
                 text.append(" ")
-                if path is None:
-                    path = tuple(x for _, x in stack)
+                path = path or here()
             elif tag == "a":
-                inside = 0 if m[2] else 1
+                inside = kind == "open"
             continue
         flush()
         path = None
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if kind == "close":
+            if count[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             inside = 0
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         close = CLOSES.get(tag)
         while close and stack and stack[-1][0] in close:
-            stack.pop()
+            pop()
         if tag in VOID:
             continue
         names = [tag]
-        if m[4]:
-            for a in _ATTRIBUTE.finditer(m[4]):
+        if attributes:
+            for a in _ATTRIBUTE.finditer(attributes):
                 names += [f".{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-        stack.append((tag, " ".join(names)))
+            if _HIDDEN.search(attributes):
+                names.append("hidden!")
+        mine, leaf = _bits(" ".join(names))
+        stack.append((tag, here()[0] | mine, leaf))
+        count[tag] += 1
     flush()
     return out
 
 
 @functools.lru_cache(maxsize=4096)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATHS, np.float32)
-    for depth, element in enumerate(path):
-        for name in element.split():
-            v[zlib.crc32(name.encode()) % (PATHS - 32)] = 1
-            if depth == len(path) - 1:
-                v[PATHS - 32 + zlib.crc32(b"leaf" + name.encode()) % 32] = 1
-    return v
+def _path_vector(path: tuple[int, int]) -> np.ndarray:
+    whole = path[0] | path[1] << (PATHS - 32)
+    return np.unpackbits(np.frombuffer(whole.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
-def features(page: list[list[tuple[tuple[str, ...], str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+def features(page: list[list[tuple[tuple[int, int], str, int]]]) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of all blocks of some pages, one after the other, and each page's first block."""
     flat = [b for p in page for b in p]
     first = np.concatenate([[0], np.cumsum([len(p) for p in page])]).astype(np.int64)
@@ -254,7 +325,18 @@ def _element(spec: str, inner: str) -> str:
 
 
 def synthetic_page(r: np.random.Generator) -> str:
-    """A page whose blocks begin with a mark of their label."""
+    """A page whose blocks begin with a mark of their label.
+
+    In some pages class names and ids say nothing, or are absent, so that the labeller learns to do without them.
+    """
+    if r.random() < 0.75:
+        return _laid_out(r)
+    keep = r.uniform(0, 0.7)
+    name = lambda: "".join("bcdfghjklmnpqrstvwxyz"[int(k)] for k in r.integers(0, 21, int(r.integers(1, 8))))
+    return re.sub(r' (class|id)=("[^"]*"|\'[^\']*\')', lambda m: m[0] if r.random() < keep else f' {m[1]}="{name()}"' if r.random() < 0.7 else "", _laid_out(r))
+
+
+def _laid_out(r: np.random.Generator) -> str:
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     syllables = ["ta", "en", "er", "on", "is", "the", "ment", "un", "ing", "la", "que", "re", "ció", "sch", "éa", "ly", "of", "de"]
 
@@ -275,11 +357,17 @@ def synthetic_page(r: np.random.Generator) -> str:
         body = some([other(lo, hi) for _ in range(int(r.integers(1, 4)))]) if r.random() < 0.6 else other(lo, hi)
         return _element(pick(kind), (f"<h3>{other(1, 3)}</h3>" if r.random() < 0.25 else "") + (links() if r.random() < 0.3 else "") + body)
 
+    def hidden() -> str:
+        return pick(["<div hidden>%s</div>", '<p style="display:none">%s</p>', '<div aria-hidden="true">%s</div>', '<section hidden=""><p>%s</p></section>']) % other(1, 40)
+
     def form() -> str:
         return "<form>" + "".join(f"<label>{other(1, 3)}</label><input><br>" if r.random() < 0.5 else f"<p>{other(1, 8)}</p>" for _ in range(int(r.integers(1, 4)))) + f"<button>{other(1, 2)}</button></form>"
 
     def comments() -> str:
         one = lambda: pick(["<div class='comment'><p>%s</p></div>", "<p>%s</p>", "<li>%s</li>", "<div>%s</div>"]) % other(1, 80)
+        said = lambda: f"<h3>{other(1, 4)}</h3>" + "<ul>" + "".join(f"<li>{other(1, 60)}</li>" for _ in range(int(r.integers(1, 6)))) + "</ul>"
+        if r.random() < 0.15:
+            return said()
         return _element(pick(_COMMENTS), (f"<h3>{other(1, 2)}</h3>" if r.random() < 0.6 else "") + "".join(one() for _ in range(int(r.integers(1, 6)))) + (form() if r.random() < 0.3 else ""))
 
     def inside() -> str:
@@ -300,7 +388,7 @@ def synthetic_page(r: np.random.Generator) -> str:
             return f"<figure><img><figcaption>{main(1, 12)}</figcaption></figure>"
         if k < 0.92:
             return f"<pre>{main(1, 30)}</pre>"
-        return boiler(pick([_ADVERT, _SIDE, _NOTICE])) if k < 0.98 else form()
+        return boiler(pick([_ADVERT, _SIDE, _NOTICE])) if k < 0.97 else form() if k < 0.985 else hidden()
 
     body = []
     if r.random() < 0.4:
@@ -338,12 +426,28 @@ def training_set(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return x, first, np.array(labels, np.float32)
 
 
-@functools.lru_cache(maxsize=2)
-def train(pages: int = 1300, epochs: int = 8, seed: int = 11) -> Labeller:
-    """A labeller trained on generated pages; the same for the same parameters."""
+def fitted(pages: int, epochs: int, seed: int) -> list[np.ndarray]:
+    """The weights of a labeller trained on generated pages; the same for the same parameters."""
     x, first, y = training_set(pages, seed)
     m = Labeller(seed)
     m.fit(x, first, y, epochs, seed)
+    return m.w
+
+
+_trained: dict[tuple[int, int, int], list[np.ndarray]] = {}
+
+
+def train(spark: SparkSession, pages: int = 1600, epochs: int = 8, seed: int = 11) -> Labeller:
+    """A labeller trained by one task on an executor; kept for the life of the driver."""
+    key, m = (pages, epochs, seed), Labeller(seed)
+    if key not in _trained:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sum(b.num_rows for b in batches):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(*key))], pa.binary())], names=["w"])
+
+        _trained[key] = pickle.loads(spark.range(1).repartition(1).mapInArrow(run, "w binary").first()["w"])
+    m.w = _trained[key]
     return m
 
 
@@ -357,7 +461,7 @@ def main_text(m: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars", model: Labeller | None = None) -> DataFrame:
     """pages with the main text and its number of code points."""
-    sent, place = pages.sparkSession.sparkContext.broadcast((model or train()).w), pages.columns.index(html_col)
+    sent, place = pages.sparkSession.sparkContext.broadcast((model or train(pages.sparkSession)).w), pages.columns.index(html_col)
 
     def start() -> object:
         m = Labeller(0)
