@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from . import storage, textscan
 
 PATHS, WORDS, NUMBERS, HIDDEN = 192, 48, 6, 20
+#: The share of training pages whose names say nothing.
+UNNAMED = 0.48
 
 #: Elements that end the block of text before and after them.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas".split())
@@ -324,16 +326,18 @@ def _element(spec: str, inner: str) -> str:
     return out + inner + close
 
 
-def synthetic_page(r: np.random.Generator) -> str:
+def synthetic_page(r: np.random.Generator, unnamed: float = 0.0) -> str:
     """A page whose blocks begin with a mark of their label.
 
-    In some pages class names and ids say nothing, or are absent, so that the labeller learns to do without them.
+    unnamed: the share of pages whose class names and ids say nothing or are absent, half of them
+    without elements that say what they hold, so that the labeller learns to do without them.
     """
-    if r.random() < 0.75:
+    if r.random() >= unnamed:
         return _laid_out(r)
-    keep = r.uniform(0, 0.7)
-    name = lambda: "".join("bcdfghjklmnpqrstvwxyz"[int(k)] for k in r.integers(0, 21, int(r.integers(1, 8))))
-    return re.sub(r' (class|id)=("[^"]*"|\'[^\']*\')', lambda m: m[0] if r.random() < keep else f' {m[1]}="{name()}"' if r.random() < 0.7 else "", _laid_out(r))
+    keep = r.uniform(0, 0.7) if r.random() < 0.5 else 0.0
+    name = lambda: "".join("bcdfghjklmnpqrstvwxyz0123456789"[int(k)] for k in r.integers(0, 31, int(r.integers(1, 8))))
+    page = re.sub(r' (class|id)=("[^"]*"|\'[^\']*\')', lambda m: m[0] if r.random() < keep else f' {m[1]}="{name()} {name()}"' if r.random() < 0.7 else "", _laid_out(r))
+    return re.sub(r"<(/?)(article|main|section|header|footer|nav|aside|dialog)\b", r"<\1div", page) if r.random() < 0.5 else page
 
 
 def _laid_out(r: np.random.Generator) -> str:
@@ -416,10 +420,10 @@ def _laid_out(r: np.random.Generator) -> str:
     return page[: int(len(page) * r.uniform(0.5, 1))] if r.random() < 0.1 else page
 
 
-def training_set(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_set(pages: int, seed: int, unnamed: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r, made, labels = np.random.default_rng(seed), [], []
     for _ in range(pages):
-        bs = [b for b in blocks(synthetic_page(r)) if b[1][0] in _MAIN_MARK + _OTHER_MARK and len(b[1]) > 1]
+        bs = [b for b in blocks(synthetic_page(r, unnamed)) if b[1][0] in _MAIN_MARK + _OTHER_MARK and len(b[1]) > 1]
         labels += [b[1][0] == _MAIN_MARK for b in bs]
         made.append([(p, re.sub("[\ue000\ue001]", "", t).strip() or "x", n) for p, t, n in bs])
     x, first = features(made)
@@ -428,7 +432,7 @@ def training_set(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def fitted(pages: int, epochs: int, seed: int) -> list[np.ndarray]:
     """The weights of a labeller trained on generated pages; the same for the same parameters."""
-    x, first, y = training_set(pages, seed)
+    x, first, y = training_set(pages, seed, UNNAMED)
     m = Labeller(seed)
     m.fit(x, first, y, epochs, seed)
     return m.w
@@ -437,7 +441,7 @@ def fitted(pages: int, epochs: int, seed: int) -> list[np.ndarray]:
 _trained: dict[tuple[int, int, int], list[np.ndarray]] = {}
 
 
-def train(spark: SparkSession, pages: int = 1600, epochs: int = 8, seed: int = 11) -> Labeller:
+def train(spark: SparkSession, pages: int = 2400, epochs: int = 9, seed: int = 11) -> Labeller:
     """A labeller trained by one task on an executor; kept for the life of the driver."""
     key, m = (pages, epochs, seed), Labeller(seed)
     if key not in _trained:
