@@ -10,8 +10,8 @@ equal sets form one class; classes are then joined:
    rarest go on, so many that partners still share one (the prefix filter). Each of them
    ties its classes to the smallest of them: linear in the classes, no pairs.
 2. The components of the ties are clusters; classes that link are in one cluster.
-3. Clusters go to tasks, small ones many to a task, large ones cut into blocks that meet two
-   by two. A task builds inverted lists over its sets and searches them once for every set:
+3. Clusters go to tasks, small ones many to a task, large ones cut into blocks, whose components
+   meet by representatives first and block by block only where several are left. A task builds inverted lists over its sets and searches them once for every set:
    the short lists are merged and counted, the long ones are probed by binary search for
    the candidates that can still reach the required overlap. Candidates that are already in
    the set's component are skipped, as their links change no component.
@@ -37,7 +37,9 @@ from .components import components
 from .textscan import U64
 
 #: Hashes a bucket of step 1 and shingles a task of step 3 hold, about; hashes a message is made from.
-BUCKET, TASK, CHUNK = 1_000_000, 1_000_000, 500_000
+BUCKET, TASK, CHUNK = 1_000_000, 250_000, 500_000
+#: Rounds in which representatives of a large cluster's components meet before its blocks do.
+ROUNDS = 3
 #: Bytes up to which step 3 broadcasts the classes of clusters to the documents, and what a class takes; above, both are shuffled.
 BROADCAST_BYTES, ACTIVE_BYTES = 96 << 20, 96
 
@@ -292,6 +294,39 @@ def _numbered(scan: DataFrame) -> tuple[DataFrame, int]:
     raise ValueError("two different sets have keys that agree in both parts")
 
 
+def _links_of_large(large: DataFrame, searched) -> DataFrame:
+    """Links that join the classes of large clusters into their components.
+
+    A cluster's classes are dealt into blocks, and each block is searched on its own. Then one class
+    of every component found so far stands for it, and the representatives are searched in the
+    same way: near copies of one text become one component without meeting two by two. Only
+    clusters that still have several components have their blocks meet, for links between
+    different components.
+    """
+    names = large.select("_kid", "_cluster", "n").distinct()
+    links = storage.written(searched(large.withColumn("_part", F.pmod(F.xxhash64("_kid"), F.col("parts"))), "_cluster", "_part"), "links")
+
+    def labels() -> DataFrame:
+        joined = components(links, "a", "b").select(F.col("node").alias("_kid"), F.col("component").alias("_label"))
+        return storage.written(names.join(joined, "_kid", "left").withColumn("_label", F.coalesce("_label", "_kid")), "labels")
+
+    label = labels()
+    for turn in range(ROUNDS):
+        one = label.groupBy("_cluster", "_label").agg(F.min(F.struct("n", "_kid")).alias("_one")).select("_cluster", F.col("_one._kid").alias("_kid"), F.col("_one.n").alias("n"))
+        open_ = one.groupBy("_cluster").agg(F.count("*").alias("_c"), F.ceil(F.sum("n") / TASK).alias("_parts")).where("_c > 1")
+        meeting = one.join(open_, "_cluster").select("_kid", F.pmod(F.xxhash64("_kid", F.lit(turn + 1)), F.col("_parts")).alias("_part"))
+        links = storage.written(links.unionByName(searched(large.join(meeting, "_kid"), "_cluster", "_part")), "links")
+        before, label = label, labels()
+        if label.select("_label").distinct().count() == before.select("_label").distinct().count():
+            break
+    open_ = label.groupBy("_cluster").agg(F.count_distinct("_label").alias("_c")).where("_c > 1").select("_cluster")
+    left = large.join(label.select("_kid", "_label"), "_kid").join(open_, "_cluster")
+    part = F.pmod(F.xxhash64("_kid"), F.col("parts"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(F.least(part, x).alias("i"), F.greatest(part, x).alias("j")))
+    left = left.withColumn("_meet", F.explode(met)).where("_meet.i < _meet.j").withColumns({"_i": F.col("_meet.i"), "_j": F.col("_meet.j")}).drop("_meet")
+    return links.unionByName(searched(left, "_cluster", "_i", "_j"))
+
+
 def _linked(rows: DataFrame, scan: DataFrame, words: int, percent: int) -> DataFrame:
     """(_key, rep, rows, component) of every class that has several rows or a link; component: the smallest rep, first: whether the class is the one with it."""
     spark = rows.sparkSession
@@ -307,17 +342,11 @@ def _linked(rows: DataFrame, scan: DataFrame, words: int, percent: int) -> DataF
     seen = clusters.count()
     total = cut.agg(F.sum("total")).first()[0] or 0
     tasks = max(shuffles * 2, int(total) // TASK + 1)
-    active = known.join(cut, "component").select(F.col("rep").alias("_id"), "_key", F.col("node").alias("_kid"), "component", "parts")
-    active = rows.where("_id is not null").join(F.broadcast(active) if seen * ACTIVE_BYTES <= BROADCAST_BYTES else active, "_id")
-    side = F.pmod(F.xxhash64("_kid"), F.col("parts"))
-    whole = F.col("parts") == 1
-    one = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    many = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(F.least(side, x).alias("i"), F.greatest(side, x).alias("j")))
-    active = active.withColumn("_part", side).withColumn("_bin", F.when(whole, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component"))).withColumn("_meet", F.explode(F.when(whole, one).otherwise(many)))
-    active = active.select("_kid", "_key", "_text", "_part", "_bin", F.col("_meet.i").alias("_i"), F.col("_meet.j").alias("_j"))
+    active = known.join(cut, "component").select(F.col("rep").alias("_id"), "_key", F.col("node").alias("_kid"), "n", F.col("component").alias("_cluster"), "parts")
+    active = rows.where("_id is not null").join(F.broadcast(active) if seen * ACTIVE_BYTES <= BROADCAST_BYTES else active, "_id").drop("_id")
 
     def search(t: pa.Table) -> pa.Table:
-        kids, keys, parts = t.column("_kid").to_numpy(), t.column("_key").to_pylist(), t.column("_part").to_numpy()
+        kids, keys = t.column("_kid").to_numpy(), t.column("_key").to_pylist()
         sets: list[np.ndarray] = []
         for _, _, buf, offs in textscan.slices(t.column("_text")):
             sets += shingle_sets(buf, offs, words)
@@ -326,12 +355,19 @@ def _linked(rows: DataFrame, scan: DataFrame, words: int, percent: int) -> DataF
             if len(s) and key_of(s) == keys[k]:
                 first.setdefault(keys[k], k)
         which = np.array(sorted(first.values()), np.int64)
-        crossed = len(t) and t.column("_i")[0].as_py() != t.column("_j")[0].as_py()
-        links = divide_skip([sets[k] for k in which], percent, parts[which] if crossed else None)
+        side = np.unique(t.column("_label").to_numpy(), return_inverse=True)[1][which] if "_label" in t.column_names else None
+        links = divide_skip([sets[k] for k in which], percent, side)
         a = np.array([kids[which[x]] for x, _ in links], np.int64)
         return pa.table({"a": pa.array(a), "b": pa.array(np.array([kids[which[y]] for _, y in links], np.int64))})
 
-    found = storage.written(components(active.groupBy("_bin", "_i", "_j").applyInArrow(search, "a long, b long"), "a", "b"), "components")
+    def searched(some: DataFrame, *by: str) -> DataFrame:
+        return some.groupBy(*by).applyInArrow(search, "a long, b long")
+
+    links = searched(active.where("parts = 1").withColumn("_bin", F.pmod(F.xxhash64("_cluster"), F.lit(tasks))), "_bin")
+    if cut.where("parts > 1").limit(1).count():
+        large = storage.written(active.where("parts > 1"), "large")
+        links = storage.written(links.unionByName(_links_of_large(large, searched)), "links")
+    found = storage.written(components(links, "a", "b"), "components")
     of = classes.select(F.col("kid").alias("node"), "rep", "_key")
     least = found.join(of, "node").groupBy("component").agg(F.min(F.struct("rep", "_key")).alias("_least"))
     labelled = classes.withColumnRenamed("kid", "node").join(found, "node", "left").where("rows > 1 or component is not null").join(least, "component", "left")
