@@ -140,7 +140,7 @@ def abundance_report(spark: SparkSession, d: str) -> DataFrame:
 
 def abundance_report_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     refs = benchmark_refs(spark, d).select("ref_id", "ref_name")
-    return report(_hits(spark, d), refs, hit_cutoff=20, read_cutoff=1, abundance_cutoff=0.02, solid=True)
+    return report(_hits(spark, d), refs, hit_cutoff=100, read_cutoff=0, abundance_cutoff=0.25, solid=True)
 
 
 def signature_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +225,7 @@ ORACLES = {
     "solid_hits": f"WITH {_HITS} SELECT ref_id, kmer, read_idx, pos FROM s",
     "reads_per_ref": f"WITH {_SCORED}, {_TOPC.format(threshold=THRESHOLD, c=100)}, {_DOCS} SELECT t.ref_id, count(DISTINCT doc_id) AS reads FROM d JOIN t ON t.kmer = d.kmer GROUP BY t.ref_id",
     "abundance_report": f"WITH {_HITS}, {_counts('h', 0)} SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count FROM c WHERE count >= 10 AND reads > 0",
-    "abundance_report_cutoffs": f"WITH {_HITS}, {_counts('s', 1)}, a AS (SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count FROM c WHERE count >= 20 AND reads > 1) SELECT * FROM a WHERE abundance > 0.02",
+    "abundance_report_cutoffs": f"WITH {_HITS}, {_counts('s', 1)}, a AS (SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count FROM c WHERE count >= 100 AND reads > 0) SELECT * FROM a WHERE abundance > 0.25",
     "signature_counts": f"WITH {_HITS}, {_counts('h', 0)} SELECT c.ref_name AS ref, reads AS total_reads, kmer AS signature, x.count FROM (SELECT ref_id, kmer, count(*) AS count FROM h GROUP BY ALL) x JOIN c ON c.ref_id = x.ref_id",
     "similarity_matrix": f"""WITH {_DOCS}, n AS (SELECT ref, kmer, count(*) AS n FROM d GROUP BY ALL), x AS (SELECT DISTINCT source AS ref FROM documents),
 t AS (SELECT ref, sum(n)::BIGINT AS n FROM n GROUP BY ref), m AS (SELECT a.ref AS ref1, b.ref AS ref2, sum(a.n)::BIGINT AS n FROM n a JOIN n b ON a.kmer = b.kmer GROUP BY ALL)

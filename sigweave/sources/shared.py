@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Unset, as in tests, it is set to one under /tmp, in local mode only."""
@@ -20,4 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables and files that this application has made in the shared folder; their number.
+
+    For when no result that reads them is asked for any more.
+    """
+    jvm, n = spark._jvm, 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        n += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return n

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sigweave.functions import complexity, seq
 from sigweave.operators import compare, index, kmers, query
 from sigweave.plans import programs
-from sigweave.sources import files, sinks
+from sigweave.sources import files, shared, sinks
 from sigweave.streaming.match import stream_counts, stream_hits
 
 REFS = {0: [("0", "CAGGCTACAAA"), ("1", "GAGACTGAACT")], 1: [("3", "CTTAGCTGAGG"), ("4", "CAGGCTACAAC")]}
@@ -226,6 +226,58 @@ def test_programs(spark, tmp_path):
     assert "ref_0\tref_1\t3\t4\t0.25" in "".join(p.read_text() for p in (tmp_path / "sim").glob("part*"))
 
 
+def test_shared_files_are_cleaned(spark):
+    import os
+
+    path = shared.new_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and shared.clean(spark) >= 1 and not os.path.exists(path)
+
+
+def test_reads_in_splits(spark, tmp_path):
+    r = random.Random(9)
+    want = [(f"r{i}", "".join(r.choice("ACGT") for _ in range(r.randrange(1, 200)))) for i in range(150)]
+    fq = "".join(f"@{n} x\n{s}\n+\n{''.join(r.choice('@+I>') for _ in s)}\n" for n, s in want)
+    (tmp_path / "a.fq").write_text(fq)
+    (tmp_path / "b.fa").write_text("".join(f">{n}\n{s[:50]}\n{s[50:]}\n" for n, s in want))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("1.fq", fq)
+        z.writestr("2.fq", ">last\nAC\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = files.read_reads(spark, [str(tmp_path / x) for x in ("a.fq", "b.fa", "c.zip")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for f in (0, 1):
+        mine = sorted((x.read_idx, x.read_name, x.seq) for x in rows if x.file_idx == f)
+        assert [x[1:] for x in mine] == want and len({x[0] for x in mine}) == len(want)
+    assert [(x.read_name, x.seq) for x in sorted((x for x in rows if x.file_idx == 2), key=lambda x: x.read_idx)] == [*want, ("last", "AC")]
+
+
+def test_labels_across_splits(spark, tmp_path):
+    p = fasta(tmp_path / "big.fa", ">first\nACGT\n" + "".join(f">\n{'ACGT' * 20}\n" for _ in range(60)) + ">second\nGG\n>\nCC\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        got = sorted((x.record_idx, x.contig) for x in files.read_fasta(spark, files.references(spark, [p])).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [*((i, "first") for i in range(61)), (61, "second"), (62, "second")]
+
+
+def test_physical_options_are_taken(spark, tmp_path, capsys):
+    paths = [fasta(tmp_path / f"ref_{r}.fa", "".join(f">{c}\n{s}\n" for c, s in cs)) for r, cs in REFS.items()]
+    out = {n: str(tmp_path / n) for n in ("sketch", "dir", "stat")}
+    programs.main(["index", *paths, "-k", "10", "-c", "2", "-t", "4", "-b", "64", "-d", "3", "-s", "3", "-o", out["sketch"], "-f", out["dir"], "-r", out["stat"]])
+    assert sorted(x.split("\t")[0] for p in (tmp_path / "stat").glob("part*") for x in p.read_text().splitlines()) == [f"{out['dir']}/ref_{r}.tsv" for r in REFS]
+    (tmp_path / "r.fq").write_text("".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for _, _, n, s in READS))
+    programs.main(["query", "-l", str(tmp_path / "r.fq"), "-g", out["sketch"], "-t", "2", "-b", "16", "--hit", "1", "-s", "0", "-o", str(tmp_path / "report")])
+    assert "references" in capsys.readouterr().out
+    for n in (1, 2):
+        (tmp_path / f"list{n}").write_text("\n".join(paths) + "\n")
+    programs.main(["compare", str(tmp_path / "list1"), str(tmp_path / "list2"), "-k", "10", "-b", "8", "-d", "2", "-g", "100", "-t", "2", "-o", str(tmp_path / "sim")])
+    assert len([x for p in (tmp_path / "sim").glob("part*") for x in p.read_text().splitlines() if "ref_" in x]) == 4
+
+
 def test_malformed_sketch(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("AGACTGAACT\tzero\tref\t1\tc\t1\n")
     with pytest.raises(Exception):
