@@ -207,10 +207,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
     if holdout:
         rows = rows.where(storage.id_remainder("_id", holdout[0]) != holdout[1])
-    n = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    pick = F.lit(False)
-    for lang, k in n.items():
-        pick = pick | ((F.col("_lang") == lang) & (F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / len(n) / k))))
+    # Each language's share of the sample, as a bound on the hash of a row; a table of a row a language.
+    n = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+    share = n.join(n.agg(F.count("*").alias("_of")), F.lit(True)).select("_lang", (F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_of") / F.col("_n")) * (1 << 30)).cast("long").alias("_most"))
+    rows = rows.join(share, "_lang").where(F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(1 << 30)) < F.col("_most")).select("_id", "_text", "_lang")
 
     def start() -> object:
         def run(b: pa.RecordBatch) -> list:
@@ -230,7 +230,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         tf = np.frombuffer(b"".join(t.column("_tf").to_pylist()), np.float32).reshape(-1, DIMS)
         return fit(tf, t.column("_lang").to_pylist(), t.column("_start").to_pylist(), clusters, low)
 
-    return storage.fitted(storage.map_columns(rows.where(pick), [("_tf", T.BinaryType()), ("_start", T.BinaryType())], start, keep=["_id", "_lang"]).where("_tf is not null"), learn)
+    return storage.fitted(storage.map_columns(rows, [("_tf", T.BinaryType()), ("_start", T.BinaryType())], start, keep=["_id", "_lang"]).where("_tf is not null"), learn)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", rejected_col: str = "rejected") -> DataFrame:

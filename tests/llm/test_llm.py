@@ -874,3 +874,21 @@ def test_pipeline(spark, tmp_path):
     assert kept[3] == {i for i, t, *_ in rows if i in kept[2] and not brute_scan(t, [(1, item)])[-1]} and 501 in kept[2] - kept[3]
     assert kept[4] == kept[3] and docs.columns[0] == "doc_id" and all_ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_odd_input(spark, tmp_path, some):
+    """Null ids, texts and labels, rows that repeat, an extra column of a clashing name; and empty tables."""
+    import corpus_pipeline
+
+    rows, labels = tox_corpus(80)
+    docs = odd(spark).drop("N_WORDS").unionByName(table(spark, rows).withColumn("score", F.lit("mine")).withColumn("sequence_id", F.lit("q")))
+    docs = docs if some else docs.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lab = table(spark, [*labels, (None, None, None), (3, None, None), (5, 1, 7)], "doc_id long, quality int, toxic int")
+    (lab if some else lab.limit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    bench = table(spark, [(1, "a b c d e f"), (None, None)], "item_id long, text string")
+    (bench if some else bench.limit(0)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {x.doc_id for x in got}
+    assert (len(ids & {i for i in range(80) if i % 4}) > 40 and 7 not in ids) if some else not got
