@@ -881,7 +881,7 @@ def test_pipeline_odd_input(spark, tmp_path, some):
     """Null ids, texts and labels, rows that repeat, an extra column of a clashing name; and empty tables."""
     import corpus_pipeline
 
-    rows, labels = tox_corpus(80)
+    rows, labels = ([(i + 1000, *more) for i, *more in x] for x in tox_corpus(80))
     docs = odd(spark).drop("N_WORDS").unionByName(table(spark, rows).withColumn("score", F.lit("mine")).withColumn("sequence_id", F.lit("q")))
     docs = docs if some else docs.limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -891,4 +891,4 @@ def test_pipeline_odd_input(spark, tmp_path, some):
     (bench if some else bench.limit(0)).write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {x.doc_id for x in got}
-    assert (len(ids & {i for i in range(80) if i % 4}) > 40 and 7 not in ids) if some else not got
+    assert (len(ids & {i + 1000 for i in range(80) if i % 4}) > 40 and 7 not in ids) if some else not got
