@@ -49,7 +49,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if sign["n"] <= ONE_TASK_EDGES:
-            return now.repartition(1).mapInArrow(one, "node long, component long")
+            return now.repartition(1).mapInArrow(storage.lean_batches(one), "node long, component long")
         if sign == state:
             break
         state = sign

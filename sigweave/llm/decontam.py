@@ -95,7 +95,7 @@ def windows(bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(owner, pa.string())], names=["window", "item"])
 
     rows = bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    return rows.mapInArrow(run, "window binary, item string").distinct()
+    return rows.mapInArrow(storage.lean_batches(run), "window binary, item string").distinct()
 
 
 def automata(bench: DataFrame, id_col: str, text_col: str, window: int, most_words: int) -> Iterator[bytes]:
@@ -107,7 +107,7 @@ def automata(bench: DataFrame, id_col: str, text_col: str, window: int, most_wor
         t = t.sort_by("window")
         return pa.table({"automaton": pa.array([pickle.dumps(Automaton(dict(zip(t.column("window").to_pylist(), t.column("items").to_pylist(), strict=True))))], pa.binary())})
 
-    kept = storage.written(found.withColumn("_part", F.pmod(F.xxhash64("window"), F.lit(parts))).groupBy("_part").applyInArrow(build, "automaton binary"), "automata")
+    kept = storage.written(found.withColumn("_part", F.pmod(F.xxhash64("window"), F.lit(parts))).groupBy("_part").applyInArrow(storage.lean(build), "automaton binary"), "automata")
     none = True
     for r in kept.toLocalIterator():
         none = False

@@ -37,7 +37,7 @@ from .components import components
 from .textscan import U64
 
 #: Hashes a bucket of step 1 and shingles a task of step 3 hold, about; hashes a message is made from.
-BUCKET, TASK, CHUNK = 1_000_000, 250_000, 500_000
+BUCKET, TASK, CHUNK = 600_000, 250_000, 400_000
 #: Rounds in which representatives of a large cluster's components meet before its blocks do.
 ROUNDS = 3
 #: Bytes up to which step 3 broadcasts the classes of clusters to the documents, and what a class takes; above, both are shuffled.
@@ -274,10 +274,10 @@ def _ties(rows: DataFrame, size: int, percent: int, buckets: int, part: int) ->
         pairs = np.unique(np.column_stack([leader, kid])[leader != kid], axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    out = rows.mapInArrow(deal, _PACKED)
+    out = rows.mapInArrow(storage.lean_batches(deal), _PACKED)
     for step in (shared, choose):
-        out = out.groupBy("bucket").applyInArrow(step, _PACKED)
-    return out.groupBy("bucket").applyInArrow(tie, "a long, b long")
+        out = out.groupBy("bucket").applyInArrow(storage.lean(step), _PACKED)
+    return out.groupBy("bucket").applyInArrow(storage.lean(tie), "a long, b long")
 
 
 def _numbered(scan: DataFrame) -> tuple[DataFrame, int]:
@@ -361,7 +361,7 @@ def _linked(rows: DataFrame, scan: DataFrame, words: int, percent: int) -> DataF
         return pa.table({"a": pa.array(a), "b": pa.array(np.array([kids[which[y]] for _, y in links], np.int64))})
 
     def searched(some: DataFrame, *by: str) -> DataFrame:
-        return some.groupBy(*by).applyInArrow(search, "a long, b long")
+        return some.groupBy(*by).applyInArrow(storage.lean(search), "a long, b long")
 
     links = searched(active.where("parts = 1").withColumn("_bin", F.pmod(F.xxhash64("_cluster"), F.lit(tasks))), "_bin")
     if cut.where("parts > 1").limit(1).count():

@@ -274,7 +274,7 @@ def _squeezed(rows: DataFrame, blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary()), part.column(2), pa.array([n for _, n in seen.values()], pa.int64()), part.column(3)], names=names)
 
     keyed = rows.withColumn("_key", F.xxhash64(F.col("_id"), F.xxhash64("_text")))
-    return keyed.mapInArrow(run, out).select("_id", "_text", "_train", "_n", F.pmod("_key", F.lit(blocks)).alias("_block"))
+    return keyed.mapInArrow(storage.lean_batches(run), out).select("_id", "_text", "_train", "_n", F.pmod("_key", F.lit(blocks)).alias("_block"))
 
 
 def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", m2: float = 300.0, m3: float = 20.0) -> DataFrame:
@@ -289,7 +289,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     blocks, bits = size // BLOCK_BYTES + 1, max(3, int(size // 6 // BUCKET_TOKENS).bit_length())
     parts = max(storage.n_partitions(spark), blocks // 2)
     placed = _squeezed(rows, blocks).repartition(parts, "_block")
-    answers = placed.groupBy("_block").applyInArrow(_asking(bits), _ASK).groupBy("bucket").applyInArrow(_answer, _ANSWER)
+    answers = placed.groupBy("_block").applyInArrow(storage.lean(_asking(bits)), _ASK).groupBy("bucket").applyInArrow(storage.lean(_answer), _ANSWER)
     out = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     kind = storage.arrow_type(docs.schema[id_col].dataType)
     # Every block gets the same three sums over all buckets, also those that it has no keys for.
@@ -314,4 +314,4 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         each = pa.array(np.repeat(np.arange(len(first) - 1), np.asarray(texts.column("_n"))))
         return pa.table(cols, names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]).take(each)
 
-    return placed.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(read, out)
+    return placed.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(storage.lean(read), out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,41 @@ def taken(sent: Broadcast) -> object:
     return value
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def trim() -> None:
+    """Give freed memory back: Python workers outlive their tasks, and several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """fn, a function of groups (Arrow tables), with freed memory given back after large ones."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = fn(*tables)
+        if sum(t.nbytes for t in tables) > 1 << 20:
+            trim()
+        return out
+
+    return (lambda a: run(a)) if fn.__code__.co_argcount == 1 else lambda a, b: run(a, b)  # Spark counts the arguments
+
+
+def lean_batches(fn: Callable) -> Callable:
+    """fn, a function of Arrow batches, with freed memory given back at the end of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as a table in the shared folder. It cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -54,7 +90,7 @@ def map_columns(df: DataFrame, add: list[tuple[str, T.DataType]], fn: Callable[[
                 new = [x if isinstance(x, pa.Array) and x.type == k else pa.array(x, k) for x, k in zip(made_by(b), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), *new], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean_batches(run), schema)
 
 
 def id_remainder(col: str, mod: int):
@@ -84,5 +120,5 @@ def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
             t = pa.Table.from_batches(rows)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(t))], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    got = sample.repartition(1).mapInArrow(lean_batches(run), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else fit(schema.empty_table())

@@ -35,7 +35,7 @@ from .textscan import U64, Index
 DISCOUNT = 3.0
 ORDER = 8
 #: Bytes of text whose distinct words are scored at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Marks before and after a word, and the values a byte has.
 BEGIN, FINISH, VALUES = 1, 2, 256
 
@@ -50,29 +50,47 @@ class Level:
     back: np.ndarray
 
 
+def _extended(key: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of n-grams from those of their last n - 1 bytes and the bytes before."""
+    return textscan.mix(key * U64(0xD1342543DE82EF95) + before.astype(U64) + U64(n))
+
+
 class Grams:
-    """The bytes of words with their marks, and the hash of the n-gram that ends at each of them."""
+    """The bytes of words with their marks."""
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int):
+    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         size = ends - starts + 2
         self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        sym = np.full(int(self.first[-1]), FINISH, np.uint8)
-        sym[self.first[:-1]] = BEGIN
-        sym[textscan.ranges(self.first[:-1] + 1, ends - starts)] = text[textscan.ranges(starts, ends - starts)]
-        self.place = np.arange(len(sym)) - np.repeat(self.first[:-1], size)
-        sym = sym.astype(U64)
-        self.key = [textscan.mix(sym + U64(1))]
-        for n in range(2, order + 1):
-            before = np.zeros_like(sym)
-            before[n - 1 :] = sym[: max(0, len(sym) - n + 1)]
-            self.key.append(textscan.mix(self.key[-1] * U64(0xD1342543DE82EF95) + before + U64(n)))
+        self.sym = np.full(int(self.first[-1]), FINISH, np.uint8)
+        self.sym[self.first[:-1]] = BEGIN
+        self.sym[textscan.ranges(self.first[:-1] + 1, ends - starts)] = text[textscan.ranges(starts, ends - starts)]
+        self.place = (np.arange(len(self.sym)) - np.repeat(self.first[:-1], size)).astype(np.int32)
+
+    def keys(self, n: int, shorter: np.ndarray | None) -> np.ndarray:
+        """The hash of the n-gram that ends at each byte, from that of the (n - 1)-gram."""
+        if n == 1:
+            return textscan.mix(self.sym.astype(U64) + U64(1))
+        before = np.zeros_like(self.sym)
+        before[n - 1 :] = self.sym[: max(0, len(self.sym) - n + 1)]
+        return _extended(shorter, before, n)
+
+
+class Places:
+    """Hashes of the n-grams that end at some bytes, and of those that end before them."""
+
+    def __init__(self, g: Grams, at: np.ndarray, order: int):
+        self.ends, self.befores = [], []
+        for out, where in ((self.ends, at), (self.befores, at - 1)):
+            for n in range(1, order + 1):
+                before = g.sym[np.maximum(where - n + 1, 0)]
+                out.append(_extended(out[-1], before, n) if n > 1 else textscan.mix(before.astype(U64) + U64(1)))
 
     def ending(self, n: int, at: np.ndarray) -> np.ndarray:
-        return self.key[n - 1][at]
+        return self.ends[n - 1][at]
 
     def context(self, n: int, at: np.ndarray) -> np.ndarray:
         """The n - 1 bytes before each place."""
-        return self.key[n - 2][at - 1] if n > 1 else np.zeros(len(at), U64)
+        return self.befores[n - 2][at] if n > 1 else np.zeros(len(at), U64)
 
 
 class KneserNey:
@@ -82,8 +100,8 @@ class KneserNey:
         self.levels, self.unseen = levels, unseen
         self.keys, self.contexts = [Index(x.keys) for x in levels], [Index(x.contexts) for x in levels]
 
-    def p(self, g: Grams, n: int, at: np.ndarray) -> np.ndarray:
-        """The probabilities of the bytes at some places after the n - 1 bytes before them."""
+    def p(self, g: Places, n: int, at: np.ndarray) -> np.ndarray:
+        """The probabilities of the bytes at some of the places after the n - 1 bytes before them."""
         out, share, todo = np.zeros((len(at), 2)), np.ones((len(at), 2)), np.arange(len(at))
         for m in range(n, 0, -1):
             found = self.keys[m - 1].find(g.ending(m, at[todo]))
@@ -100,12 +118,13 @@ class KneserNey:
         out = np.zeros(len(starts))
         order = len(self.levels)
         for i in range(0, len(starts), 50_000):
-            g = Grams(text, starts[i : i + 50_000], ends[i : i + 50_000], order)
+            g = Grams(text, starts[i : i + 50_000], ends[i : i + 50_000])
             log = np.zeros(len(g.place))
+            places = Places(g, np.arange(len(g.place)), order)
             n = np.minimum(g.place + 1, order)
             for m in range(2, order + 1):
                 at = np.flatnonzero(n == m)
-                p = np.log(self.p(g, m, at))
+                p = np.log(self.p(places, m, at))
                 log[at] = p[:, 1] - p[:, 0]
             out[i : i + 50_000] = np.add.reduceat(log, g.first[:-1])
         return out
@@ -113,27 +132,30 @@ class KneserNey:
 
 def kneser_ney(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: np.ndarray, order: int = ORDER, discount: float = DISCOUNT) -> KneserNey:
     """The models from distinct words and the documents of each class that have them."""
-    g = Grams(text, starts, ends, order)
-    weight = np.repeat(count, np.diff(g.first), axis=0)
+    g = Grams(text, starts, ends)
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(g.first))
     sums = lambda at, x, n: np.stack([np.bincount(at, x[:, k], minlength=n) for k in (0, 1)], 1)
 
-    def counted(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams, the documents of each class that have them, and a place of each."""
         at = np.flatnonzero((g.place + 1 >= n) & (g.place > 0))
-        keys, some, place = np.unique(g.ending(n, at), return_index=True, return_inverse=True)
-        return keys, sums(place, weight[at], len(keys)), at[some]
-
-    levels, unseen, above = [], np.zeros(2), counted(order)
-    counts = [above]
-    for n in range(order - 1, 0, -1):
-        keys, raw, some = counted(n)
-        longer, more, where = above
-        place = np.searchsorted(keys, g.ending(n, where))
-        several = sums(place, (more > 0).astype(float), len(keys))
-        above = keys, raw, some
-        counts.append((keys, np.where((g.place[some] + 1 == n)[:, None], raw, several), some))
-    model = KneserNey([], unseen)
-    for n, (keys, c, some) in enumerate(reversed(counts), 1):
-        context, place = np.unique(g.context(n, some), return_inverse=True)
+        keys, some, place = np.unique(key[at], return_index=True, return_inverse=True)
+        return keys, np.stack([np.bincount(place, count[word[at], k], minlength=len(keys)) for k in (0, 1)], 1), at[some]
+
+    levels, unseen = [], np.zeros(2)
+    model = KneserNey(levels, unseen)
+    key = g.keys(1, None)
+    now = counted(key, 1)
+    for n in range(1, order + 1):
+        keys, c, some = now
+        if n < order:
+            longer = g.keys(n + 1, key)
+            now = counted(longer, n + 1)
+            several = sums(np.searchsorted(keys, key[now[2]]), (now[1] > 0).astype(float), len(keys))
+            c = np.where((g.place[some] + 1 == n)[:, None], c, several)
+            key = longer
+        places = Places(g, some, n)
+        context, place = np.unique(places.context(n, np.arange(len(some))), return_inverse=True)
         own, total = np.maximum(c - discount, 0), sums(place, c, len(context)).sum(1)
         kept = sums(place, own, len(context))
         back = np.where(kept > 0, np.clip(1 - kept.sum(1) / np.maximum(total, 1e-9), 1e-6, 1)[:, None], 1.0)  # one for both classes, but for one that keeps nothing
@@ -144,7 +166,7 @@ def kneser_ney(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: np
             firm = np.ones(len(keys), bool)  # all bytes seen; the rest share one probability
         else:
             firm = own.max(1) > 0  # what neither class keeps is what backing off gives
-            low = model.p(g, n - 1, some[firm])
+            low = model.p(places, n - 1, np.flatnonzero(firm))
         mine = place[firm]
         p = np.where(kept[mine] > 0, (1 - back[mine]) * own[firm] / np.maximum(kept[mine], 1e-9), 0) + back[mine] * low
         some_kept = kept.max(1) > 0 if n > 1 else np.zeros(len(context), bool)
