@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from . import storage, textscan
 
 DIMS = 4096
+#: Languages up to which their table is broadcast to the rows that a sample is taken from.
+MOST_BROADCAST = 100_000
 #: The numbers of distinct n-grams at which a centroid's limit is measured; between them it is interpolated.
 SIZES = 2.0 ** np.arange(2, 13)
 #: Beginnings of training rows that stand for short texts, in bytes, each up to the end of its word.
@@ -210,6 +212,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     # Each language's share of the sample, as a bound on the hash of a row; a table of a row a language.
     n = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
     share = n.join(n.agg(F.count("*").alias("_of")), F.lit(True)).select("_lang", (F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_of") / F.col("_n")) * (1 << 30)).cast("long").alias("_most"))
+    share = storage.written(share, "shares")
+    share = F.broadcast(share) if share.count() <= MOST_BROADCAST else share
     rows = rows.join(share, "_lang").where(F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(1 << 30)) < F.col("_most")).select("_id", "_text", "_lang")
 
     def start() -> object:
