@@ -1,21 +1,21 @@
-"""The thin queries op1 to op10: operators with production parameters over whole tables, and the same in SQL."""
+"""The thin queries op1 to op13: operators with production parameters over whole tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, chat, decontam, htmltext, jaccard, langid, lm, packing, storage, toxicity, warc
+from . import align, bm25, chat, decontam, htmltext, jaccard, langid, lm, packing, sharding, storage, toxicity, warc, whitening
 from .storage import table
 
-#: The tokenizer file's place; its folder is on every machine.
-TOKENIZER = "byte_bpe_50k.json"
+#: The tokenizer files' names; their folder is on every machine.
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_warc, op4_exact_topk_search, op5_lm_score, op6_best_fit_packing, op7_decontamination, op8_language_id, op9_chat_formatting, op10_html_extraction)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.by_component(vectors, whitening.fit(vectors))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, tokenizer_path(), tokenizer_path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_warc, op4_exact_topk_search, op5_lm_score, op6_best_fit_packing, op7_decontamination, op8_language_id, op9_chat_formatting, op10_html_extraction, op11_sharding, op12_embedding_whitening, op13_tokenizer_alignment)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
