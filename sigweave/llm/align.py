@@ -33,8 +33,8 @@ from .packing import Encoder
 
 #: Pairs of ids that are sent to all tasks, at most: 17 bytes each.
 MOST_PAIRS = 2_000_000
-#: Pairs that a task gathers before it sums them.
-GATHERED = 1 << 20
+#: Pairs that a task gathers before it sums them, and rows that it aligns at a time.
+GATHERED, ROWS = 1 << 20, 500
 _IDS = T.ArrayType(T.IntegerType())
 
 
@@ -86,14 +86,18 @@ class Intervals:
 
 
 class Alignment:
-    """Tokens a and b of one text: pairs of overlapping places, and the tokens up to the end of each group."""
+    """Tokens a and b of texts, one after the other: pairs of overlapping places, and the tokens up to the end of each group.
+
+    Both lists end with each text, so no pair or group crosses from one text to the next.
+    """
 
     def __init__(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray):
         own, index = Intervals(sizes_a[a]), Intervals(sizes_b[b])
         first, after = index.stab(own.starts, own.ends)
         many = after - first
+        self.links_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])  # those of earlier tokens of a
         self.link_a = np.repeat(np.arange(len(a)), many)
-        self.link_b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        self.link_b = np.arange(len(self.link_a)) + np.repeat(first - self.links_before[:-1], many)
         closed = np.flatnonzero(~index.spanned(own.ends))
         self.group_a = closed + 1
         self.group_b = np.searchsorted(index.ends, own.ends[closed], "right")
@@ -124,7 +128,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text")
         return run
 
     place = docs.columns.index(text_col)
-    made = storage.map_columns(docs, [("a_ids", _IDS), ("b_ids", _IDS)], start, keep=[c for c in docs.columns if c != text_col])
+    made = storage.map_columns(docs, [("a_ids", _IDS), ("b_ids", _IDS)], start, keep=[c for c in docs.columns if c != text_col], rows=ROWS)
     return storage.written(made.withColumn("_sw_row", F.monotonically_increasing_id()), "tokens")
 
 
@@ -132,14 +136,10 @@ def _sizes(path: str, kind: Callable) -> np.ndarray:
     return np.array([len(b) for b in kind(path).bytes], np.int64)
 
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def _alignments(batch: pa.RecordBatch, places: tuple[int, int], sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, Alignment]]:
-    for a, b in zip(_rows(batch.column(places[0])), _rows(batch.column(places[1])), strict=True):
-        yield a, b, Alignment(a, b, *sizes)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each list begins (one more at the end)."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
 
 
 def pair_counts(made: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -156,12 +156,13 @@ def pair_counts(made: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFr
             every, where = np.unique(np.concatenate([total[0], keys]), return_inverse=True)
             return every, np.bincount(where, np.concatenate([total[1], n]), len(every)).astype(np.int64)
 
-        for batch in batches:
-            for a, b, found in _alignments(batch, (0, 1), both):
-                some.append(a[found.link_a].astype(np.int64) * width + b[found.link_b])
-                held += len(some[-1])
-                if held >= GATHERED:
-                    total, some, held = added(), [], 0
+        for batch in storage.pieces(batches, ROWS):
+            a, b = (_flat(batch.column(k))[0] for k in (0, 1))
+            found = Alignment(a, b, *both)
+            some.append(a[found.link_a].astype(np.int64) * width + b[found.link_b])
+            held += len(some[-1])
+            if held >= GATHERED:
+                total, some, held = added(), [], 0
             if len(total[0]) >= 4 * GATHERED:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["pair", "n"])
                 total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -208,17 +209,28 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text",
         written = Written(len(both[0]), width)
 
         def run(batch: pa.RecordBatch) -> list:
-            rows, ends = [], []
-            for a, b, found in _alignments(batch, (place["a_ids"], place["b_ids"]), both):
-                mine = a[found.link_a].astype(np.int64) * width + b[found.link_b]
-                at = np.minimum(np.searchsorted(pairs, mine), max(0, len(pairs) - 1))
-                known = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
-                rare, n = np.unique(mine[~known], return_counts=True)
-                digest = hashlib.sha256(written(a, b, found).encode()).hexdigest() if len(a) else ""
-                rows.append((len(a), len(b), len(found.group_a), len(mine), int(best[at[known]].sum()), int(times[at[known]].sum()), digest, rare, n))
-                ends.append((found.group_a, found.group_b))
-            more = [[x[k].astype(np.int32) for x in ends] for k in (0, 1)] if keep_groups else []
-            return [*zip(*rows, strict=True), *more]
+            (a, a_at), (b, b_at) = (_flat(batch.column(place[c])) for c in ("a_ids", "b_ids"))
+            found = Alignment(a, b, *both)
+            links, n = found.links_before[a_at], len(a_at) - 1
+            mine = a[found.link_a].astype(np.int64) * width + b[found.link_b]
+            at = np.minimum(np.searchsorted(pairs, mine), max(0, len(pairs) - 1))
+            known = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
+            here = at[known]
+            sums = []
+            for values in (best, times):
+                each = np.zeros(len(mine) + 1, np.int64)
+                each[1:][known] = values[here]
+                np.cumsum(each, out=each)
+                sums.append(np.diff(each[links]))
+            doc = np.searchsorted(links, np.flatnonzero(~known), "right") - 1
+            keys, n_rare = np.unique(doc * (len(both[0]) * width) + mine[~known], return_counts=True)
+            rare_at = pa.array(np.searchsorted(keys, np.arange(n + 1) * (len(both[0]) * width)), pa.int32())
+            rare = [pa.ListArray.from_arrays(rare_at, pa.array(x)) for x in (keys % (len(both[0]) * width), n_rare)]
+            groups = np.searchsorted(found.group_a, a_at, "right")
+            text = written(a, b, found)
+            digests = [hashlib.sha256("".join(text[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(a_at[:-1] + b_at[:-1], a_at[1:] + b_at[1:], strict=True)]
+            ends = [pa.ListArray.from_arrays(pa.array(groups, pa.int32()), pa.array((x - np.repeat(at, np.diff(groups))).astype(np.int32))) for x, at in ((found.group_a, a_at[:-1]), (found.group_b, b_at[:-1]))] if keep_groups else []
+            return [np.diff(a_at), np.diff(b_at), np.diff(groups), np.diff(links), *sums, digests, *rare, *ends]
 
         return run
 
@@ -226,7 +238,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text",
     added = [*((c, T.LongType()) for c in numbers), ("groups_sha256", T.StringType()), *((c, T.ArrayType(T.LongType())) for c in ("_sw_rare", "_sw_times"))]
     added += [("a_ends", _IDS), ("b_ends", _IDS)] if keep_groups else []
     kept = [c for c in made.columns if keep_groups or c not in ("a_ids", "b_ids")]
-    out = storage.map_columns(made, added, start, keep=kept)
+    out = storage.map_columns(made, added, start, keep=kept, rows=ROWS)
     if least > 1:  # some pairs are counted but not sent
         out = storage.written(out, "aligned")
         each = out.select("_sw_row", F.explode(F.arrays_zip(F.col("_sw_rare").alias("p"), F.col("_sw_times").alias("t"))).alias("x")).select("_sw_row", F.col("x.p").alias("pair"), F.col("x.t").alias("t"))
@@ -242,12 +254,13 @@ class Written:
         table = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], object)
         self.a, self.a_last, self.b, self.b_last = table(ids_a, ","), table(ids_a, "|"), table(ids_b, ","), table(ids_b, ";")
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> str:
+    def __call__(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> list[str]:
+        """The tokens of all texts in this order, each with the mark that follows it."""
         out = np.empty(len(a) + len(b), object)
         last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         last_a[found.group_a - 1] = last_b[found.group_b - 1] = True
         # A token stands after the other list's tokens of the groups before, and one of B also after A's of its own.
-        group_a, group_b = np.searchsorted(found.group_a, np.arange(len(a)), "right"), np.searchsorted(found.group_b, np.arange(len(b)), "right")
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         out[np.arange(len(a)) + np.concatenate([[0], found.group_b])[group_a]] = np.where(last_a, self.a_last[a], self.a[a])
         out[np.arange(len(b)) + found.group_a[group_b]] = np.where(last_b, self.b_last[b], self.b[b])
-        return "".join(out.tolist())[:-1]
+        return out.tolist()

@@ -70,8 +70,15 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def map_columns(df: DataFrame, add: list[tuple[str, T.DataType]], fn: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:
-    """df with columns made by fn from Arrow batches; keep: the input columns that stay (default: all).
+def pieces(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into such of `rows` rows at most."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows or max(1, b.num_rows)):
+            yield b.slice(k, rows)
+
+
+def map_columns(df: DataFrame, add: list[tuple[str, T.DataType]], fn: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """df with columns made by fn from Arrow batches; keep: the input columns that stay (default: all); rows: of a batch, at most.
 
     fn is called once a partition and gives the function from a batch to the new columns. An input
     column that has the name of a new one is replaced, as by withColumn.
@@ -84,7 +91,7 @@ def map_columns(df: DataFrame, add: list[tuple[str, T.DataType]], fn: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made_by = None
-        for b in batches:
+        for b in pieces(batches, rows):
             made_by = made_by or fn()
             if b.num_rows:
                 new = [x if isinstance(x, pa.Array) and x.type == k else pa.array(x, k) for x, k in zip(made_by(b), kinds, strict=True)]
