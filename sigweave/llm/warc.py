@@ -25,12 +25,11 @@ import base64
 import gzip
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +40,10 @@ _GAP = gzip.compress(b"", 9, mtime=0)
 _CHUNK = 1 << 16
 #: Bytes of an archive, but for its last record.
 ROLL_BYTES = 128 << 20
+#: A record's header has at most so many lines and bytes; more are damage.
+HEADER_LINES, HEADER_BYTES = 256, 1 << 16
+#: A gzip member's name and its comment have at most so many bytes; more are damage.
+NAME_BYTES = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -64,35 +67,48 @@ class Damage(ValueError):
     pass
 
 
-def parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
+class Marks:
+    """Where marks come next in a text. Places are asked for in order, so each stretch is searched once for each mark."""
+
+    def __init__(self, data: bytes):
+        self.data, self.next = data, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place from `at` on; the text's length if there is none."""
+        if self.next.get(mark, -1) < at:
+            found = self.data.find(mark, at)
+            self.next[mark] = len(self.data) if found < 0 else found
+        return self.next[mark]
+
+
+_VERSION = re.compile(rb"WARC/[01]\.\d{1,3}\r\n")
+
+
+def parse(data: bytes, at: int, marks: Marks | None = None) -> tuple[dict, int]:
     """The record that begins at `at` and the place after it; Damage if a check fails."""
-    data = memoryview(data)
-    if bytes(data[at : at + 7]) not in (b"WARC/1.", b"WARC/0."):
+    first = _VERSION.match(data, at)
+    if not first:
         raise Damage("no version line")
-    size = 1 << 12
-    while (stop := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0:
-        if at + size >= len(data) or size > 1 << 20:
-            raise Damage("header without an end")
-        size *= 4
+    stop = (marks or Marks(data)).after(b"\r\n\r\n", at)
+    if stop == len(data) or stop - at > HEADER_BYTES or data.count(b"\r\n", at, stop) > HEADER_LINES:
+        raise Damage("header without an end")
+    lines = data[first.end() : stop].split(b"\r\n")
+    if not all(b":" in line for line in lines):
+        raise Damage("header line without a colon")
     headers: dict[str, str] = {}
-    version, *lines = bytes(data[at : at + stop]).split(b"\r\n")
-    if not re.fullmatch(rb"WARC/\d\.\d+", version):
-        raise Damage("version line")
     for line in lines:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damage("header line without a colon")
+        name, _, value = line.partition(b":")
         key = name.strip().lower().decode("latin-1")
         if key in headers and key != "warc-concurrent-to":
             raise Damage("header line twice")  # as where a cut-off header runs into the next one
         headers[key] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
         raise Damage("no length or type")
-    start = at + stop + 4
+    start = stop + 4
     end = start + int(headers["content-length"])
-    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+    if data[end : end + 4] != b"\r\n\r\n":
         raise Damage("block of another length")
-    block = bytes(data[start:end])
+    block = data[start:end]
     want = headers.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:] != digest(block):
         raise Damage("block digest")
@@ -104,55 +120,69 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     return {"type": kind, "id": headers.get("warc-record-id"), "uri": headers.get("warc-target-uri"), "refers": headers.get("warc-refers-to"), "digest": want[5:] if want.startswith("sha1:") else digest(payload), "length": len(payload) if kind == "response" else length, "payload": payload if kind == "response" else None, "checked": "warc-block-digest" in headers and headers["warc-block-digest"].startswith("sha1:")}, end + 4
 
 
-def member(data: memoryview, at: int) -> tuple[bytes, int | None, str]:
+def compressed_from(data: bytes, at: int) -> int | None:
+    """Where the compressed data begin of the gzip member at `at`; None if there is no header, or data that cannot be."""
+    if at + 18 > len(data) or data[at + 3] & 0xE0:
+        return None
+    flags, end = data[at + 3], at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for flag in (8, 16):  # a name and a comment, closed by a zero
+        if flags & flag and (end := data.find(b"\0", end, end + NAME_BYTES) + 1) == 0:
+            return None
+    end += 2 * bool(flags & 2)
+    return end if end < len(data) and data[end] & 6 != 6 else None
+
+
+def member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
     """What the gzip member at `at` inflates to, the place after it, and what is wrong with it ("": nothing).
 
     The place is None if the member's compressed data do not end; without a right checksum it is where they end.
     """
-    d, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof and pos < len(data):
-            out.append(d.decompress(data[pos : pos + _CHUNK]))
-            pos += _CHUNK
-        if d.eof:
-            return b"".join(out), min(pos, len(data)) - len(d.unused_data), ""
-        d.decompress(bytes(8))  # tells whether only the checksum is cut off
-        return b"".join(out), None, "gzip: cut off"
-    except zlib.error as e:
-        error = str(e)
-    # The failing chunk again, byte by byte, as zlib keeps back what it had inflated of it.
-    d, done = zlib.decompressobj(31), at
-    out = []
-    try:
-        while done + _CHUNK <= min(pos, len(data)):
-            out.append(d.decompress(data[done : done + _CHUNK]))
-            done += _CHUNK
-        while True:
-            out.append(d.decompress(data[done : done + 1] if done < len(data) else b"\0"))
-            done += 1
-    except zlib.error:
-        done += 1
-    trailer = 4 if "data check" in error else 8 if "length check" in error else None
-    if trailer is None:
-        return b"".join(out), None, "gzip: cut off" if done > len(data) else f"gzip: {error}"
-    return b"".join(out), min(done - trailer, len(data)), f"gzip: {error}"
+    pos = compressed_from(data, at)
+    if pos is None:
+        return b"", None, "gzip: no member"
+    d, out, size = zlib.decompressobj(-15), [], 32
+    while not d.eof and pos < len(data):
+        before = d.copy()
+        try:
+            out.append(d.decompress(data[pos : pos + size]))
+        except zlib.error as e:
+            # zlib keeps back what it had inflated of the failing piece: the longest beginning that inflates is looked
+            # for by halves. The first 32 bytes cannot hold a record.
+            while size > 1 and out:
+                size //= 2
+                d = before.copy()
+                try:
+                    out.append(d.decompress(data[pos : pos + size]))
+                    before, pos = d, pos + size
+                except zlib.error:
+                    pass
+            return b"".join(out), None, f"gzip: {e}"
+        pos, size = pos + size, min(2 * size, _CHUNK)
+    text, end = b"".join(out), min(pos, len(data)) - len(d.unused_data)
+    if not d.eof:
+        return text, None, "gzip: cut off"
+    if data[end : end + 4] != zlib.crc32(text).to_bytes(4, "little"):
+        return text, end, "gzip: checksum"
+    if data[end + 4 : end + 8] != (len(text) & 0xFFFFFFFF).to_bytes(4, "little"):
+        return text, end, "gzip: length"
+    return text, end + 8, ""
 
 
 def records(text: bytes, digests: bool) -> list[dict | str]:
     """The whole records of a text, and a reason for each bad stretch; digests: only records with a block digest count."""
     found: list[dict | str] = []
-    pos, bad = 0, False
+    pos, bad, marks = 0, False, Marks(text)
     while pos < len(text):
         try:
-            r, end = parse(text, pos)
+            r, end = parse(text, pos, marks)
             if digests and not r["checked"]:
                 raise Damage("no digest in a damaged member")
         except Damage as e:
             if not bad:
                 found.append(str(e))
-            bad, pos = True, text.find(b"WARC/", pos + 1)
-            if pos < 0:
-                break
+            bad, pos = True, marks.after(b"WARC/", pos + 1)
             continue
         found.append(r)
         bad, pos = False, end
@@ -161,22 +191,24 @@ def records(text: bytes, digests: bool) -> list[dict | str]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record) of every whole record, and (start, end, reason) of every quarantined gap."""
-    view, at, bad = memoryview(data), 0, None
+    at, bad = 0, None
     held: list[dict | str] = []  # what the damage from `bad` on gives
 
+    marks = Marks(data)
+
     def place(after: int) -> int:
-        return min((p for p in (data.find(b"\x1f\x8b\x08", after), data.find(b"WARC/", after)) if p >= 0), default=len(data))
+        return min(marks.after(b"\x1f\x8b\x08", after), marks.after(b"WARC/", after))
 
     while at < len(data):
         error, end = "", None
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            text, end, error = member(view, at)
+            text, end, error = member(data, at)
             found = records(text, bool(error) and error != "gzip: cut off")
             if error and end is None and (not found or not isinstance(found[-1], str)):
                 found[-1:] = [error]  # a record that ends just where inflating stopped is not counted
         else:
             try:
-                r, end = parse(view, at)
+                r, end = parse(data, at, marks)
                 found = [r]
             except Damage as e:
                 found = [str(e)]
@@ -248,8 +280,8 @@ def with_decisions(pages: DataFrame, *, id_col: str, html_col: str, revisit_from
     return known.join(several, "_digest", "left").withColumn("_revisits", F.when(~F.col("_id").eqNullSafe(F.col("_keep")), F.col("_keep"))).drop("_keep")
 
 
-def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Archives under path, one gzip member a record; a task's archives are rolled by their bytes."""
+def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0, date: str = "2000-01-01T00:00:00Z") -> int:
+    """Archives under path, one gzip member a record; a task's archives are rolled by their bytes. Returns the bytes of all archives."""
     rows = with_decisions(pages.select(id_col, url_col, html_col), id_col=id_col, html_col=html_col, revisit_from=revisit_from).select("_id", F.col(url_col).alias("_url"), "_html", "_digest", "_bytes", "_revisits")
 
     most = ROLL_BYTES
@@ -274,17 +306,23 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
         return run
 
     made = storage.map_columns(rows, [("_member", T.BinaryType()), ("_archive", T.LongType())], start, keep=[])
+    seen = Observation()
+    made = made.observe(seen, F.coalesce(F.sum(F.octet_length("_member") + len(_GAP)), F.lit(0)).alias("bytes"))
     made.select(F.col("_member").cast("string").alias("value"), "_archive").write.partitionBy("_archive").option("lineSep", _GAP.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    return seen.get["bytes"]
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder and read them back: id_col, payload_bytes, payload_digest, record_type, refers_to.
 
-    A gap in what was written just before is an error.
+    A gap in what was written just before is an error, and so is a file that is missing or short.
     """
     spark = pages.sparkSession
-    path = f"{storage.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, revisit_from=revisit_from)
+    path = storage.new_path(spark, "warc")
+    sent = write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, revisit_from=revisit_from)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if there != sent:
+        raise ValueError(f"archives of {there} bytes are left of {sent}")
     kind = pages.schema[id_col].dataType
     named = lambda c: F.nullif(F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1), F.lit("")).cast(kind)
     whole = F.when(F.col("gap_reason").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(": "), "gap_reason")).cast("boolean"))
