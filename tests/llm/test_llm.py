@@ -2,11 +2,13 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -892,3 +894,53 @@ def test_pipeline_odd_input(spark, tmp_path, some):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {x.doc_id for x in got}
     assert (len(ids & {i + 1000 for i in range(80) if i % 4}) > 40 and 7 not in ids) if some else not got
+
+
+# --- hostile texts ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("run", [10, 1000, 5000, 30_000, 49_999, 50_001])
+@pytest.mark.parametrize("blank", [" ", "\n", " \t\u00a0"])
+def test_blank_runs(run, blank):
+    encode = packing.Encoder(tokenizer_path())
+    text = ("x" + (blank * run)[:run]) * (1_000_000 // (run + 1) + 1)
+    began = time.time()
+    ids = encode(text)
+    assert time.time() - began < 5
+    assert len(text) > 200_000 or ids.tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+    assert len(ids) and ids.tolist()[:50] == encode.slow.encode(text, add_special_tokens=False).ids[:50]
+
+
+MARKS = {
+    "version": b"WARC/1.0 ", "version lines": b"WARC/1.0\r\n", "headers": b"WARC/1.0\r\na: b\r\n", "ends": b"WARC/1.0\r\na: b\r\n\r\n", "long lines": b"WARC/1.0\r\nA:" + b"x" * 300,
+    "names": b"WARC/1.0\r\n" + b"".join(b"a%d:WARC/1.0\r\n" % i for i in range(400)), "magic": b"\x1f\x8b\x08", "member": b"\x1f\x8b\x08\0\0\0\0\0\0\3", "name": b"\x1f\x8b\x08\x08\0\0\0\0\0\3n",
+}
+
+
+@pytest.mark.parametrize("packed", ["plain", "cut", "stored"])
+@pytest.mark.parametrize("mark", MARKS)
+def test_salvage_of_marks_is_linear(mark, packed):
+    noise = (MARKS[mark] * (1_000_000 // len(MARKS[mark]) + 1))[:1_000_000]
+    good = warc.record("1", None, b"payload", warc.digest(b"payload"), None, "2000-01-01T00:00:00Z")
+    data = noise if packed == "plain" else gzip.compress(noise, 0 if packed == "stored" else 6)[:-20]
+    began = time.time()
+    found = [r for _, _, r in warc.salvage(data + good)]
+    assert time.time() - began < 5
+    assert [r["id"] for r in found if not isinstance(r, str)] == ["<urn:x-page:1>"] and any(isinstance(r, str) for r in found)
+
+
+def test_round_trip_misses_a_lost_file(spark, monkeypatch):
+    import os
+
+    write = warc.write
+
+    def lossy(pages, path, **k):
+        n = write(pages, path, **k)
+        os.remove(next(os.path.join(d, f) for d, _, fs in os.walk(path.removeprefix("file:")) for f in fs if f.startswith("part-")))
+        return n
+
+    pages = table(spark, [(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").repartition(4)
+    assert warc.round_trip(pages).count() == 20
+    monkeypatch.setattr(warc, "write", lossy)
+    with pytest.raises(ValueError, match="are left of"):
+        warc.round_trip(pages)
