@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigweave.operators.kmers import kmers, membership
+from sigweave.sources.shared import stored
 
 #: Bytes of signatures up to which they are broadcast to the hits; above, candidates and signatures are shuffled.
 BROADCAST_BYTES = 64 << 20
@@ -17,6 +18,12 @@ def signatures(sketch: DataFrame, order_col: str | None = None) -> DataFrame:
     return sketch.groupBy("kmer").agg(first.alias("ref_id"))
 
 
+def reference_names(refs: DataFrame) -> DataFrame:
+    """(ref_id, ref_name), a row an id: of several names the last counts, by line_no where there is one, else the largest."""
+    last = F.max_by("ref_name", "line_no") if "line_no" in refs.columns else F.max("ref_name")
+    return refs.groupBy("ref_id").agg(last.alias("ref_name"))
+
+
 def match(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row a hit: ref_id, kmer, file_idx, read_idx, read_name, pos.
 
@@ -24,7 +31,7 @@ def match(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None
     A bitmap of their hashes, of bounded size, goes to the reads, where nearly all other
     k-mers end before they become rows; what is left joins the signatures themselves.
     """
-    sig = signatures(sketch, order_col).persist()
+    sig = stored(signatures(sketch, order_col), "signatures")
     seen = sig.agg(F.count("*").alias("n"), F.sum(F.octet_length("kmer") + 40).alias("size")).first()
     found = kmers(reads, k, keep=["file_idx", "read_idx", "read_name"], among=membership(sig, k, seen["n"])).join(F.broadcast(sig) if (seen["size"] or 0) <= broadcast_bytes else sig, "kmer")
     return found.select("ref_id", "kmer", "file_idx", "read_idx", "read_name", "pos")
@@ -34,9 +41,10 @@ def drop_weak(hits: DataFrame) -> DataFrame:
     """Hits without the first occurrence of each k-mer, by file, read and position.
 
     A k-mer's first place is an aggregate that is combined before the shuffle, and hot k-mers
-    meet it in a join that Spark can split; no window gathers a k-mer's hits.
+    meet it in a join that Spark can split; no window gathers a k-mer's hits. Hits are stored, so reads are not cut twice.
+    Hits without a k-mer are left out, as a null equals nothing.
     """
-    place, hits = F.struct("file_idx", "read_idx", "pos"), hits.persist()
+    place, hits = F.struct("file_idx", "read_idx", "pos"), stored(hits, "hits")
     first = hits.groupBy("kmer").agg(F.min(place).alias("_first"))
     return hits.join(first, "kmer").where(place != F.col("_first")).drop("_first")
 
@@ -55,13 +63,14 @@ def report(hits: DataFrame, refs: DataFrame, *, hit_cutoff: int = 10, read_cutof
 
     References need count >= hit_cutoff and more than read_cutoff distinct reads; the
     abundance is their share of the hits of all such references; those of at most
-    abundance_cutoff are then left out, without a new total. Ties are in the order of ids.
+    abundance_cutoff are then left out, without a new total. Ties are in the order of ids. refs: ref_id, ref_name
+    and, if there is one, line_no; an id with several names has the last, and one without a name has no row.
     """
     if read_cutoff < 0:
         raise ValueError("read_cutoff must not be negative")
     kept = hit_counts(hits, solid=solid).where((F.col("count") >= hit_cutoff) & (F.col("reads") > read_cutoff))
     shares = kept.withColumn("abundance", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))))
-    named = shares.where(F.col("abundance") > abundance_cutoff).join(refs.select("ref_id", "ref_name").distinct(), "ref_id")
+    named = shares.where(F.col("abundance") > abundance_cutoff).join(reference_names(refs), "ref_id")
     return named.orderBy(F.desc("count"), "ref_id").select(F.col("ref_name").alias("ref"), "abundance", "count")
 
 
@@ -70,4 +79,4 @@ def signature_log(hits: DataFrame, refs: DataFrame, *, solid: bool = False) -> D
     hits = drop_weak(hits) if solid else hits
     each = hits.groupBy("ref_id", "kmer").agg(F.count("*").alias("count"))
     reads = hits.select("ref_id", "read_name").distinct().groupBy("ref_id").agg(F.count("*").alias("total_reads"))
-    return each.join(reads, "ref_id").join(refs.select("ref_id", "ref_name").distinct(), "ref_id").select(F.col("ref_name").alias("ref"), "total_reads", F.col("kmer").alias("signature"), "count")
+    return each.join(reads, "ref_id").join(reference_names(refs), "ref_id").select(F.col("ref_name").alias("ref"), "total_reads", F.col("kmer").alias("signature"), "count")

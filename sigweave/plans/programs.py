@@ -11,39 +11,58 @@ from sigweave.functions.complexity import THRESHOLD
 from sigweave.operators import compare as _compare
 from sigweave.operators import index as _index
 from sigweave.operators import query as _query
+from sigweave.functions.seq import base_id
 from sigweave.operators.kmers import kmers, spectrum
-from sigweave.sources import files, sinks
+from sigweave.sources import files, sinks, universe
+from sigweave.sources.shared import new_path
 
 #: Presets of the tools' options. The defaults in `main` are fixed values as well.
 INDEX_PRESETS = {"sensitive": 100, "very-sensitive": 1000}
 QUERY_PRESETS = {"sensitive": 10, "very-sensitive": 5}
+K = 81
 
 
-def index(spark: SparkSession, paths: list[str], *, k: int = 81, c: int = 100, entropy: float = THRESHOLD, seed: str = "") -> dict[str, DataFrame]:
-    """unique k-mers, counts a reference, the sketch and the spectrum, from FASTA paths and @lists."""
-    refs = files.references(spark, files.expand(spark, paths))
-    seqs = files.read_fasta(spark, refs)
-    found = kmers(seqs, k, keep=["ref_id", "record_idx"])
-    # Numbers ride in a hash aggregate; names and labels are joined to what is unique.
-    labels = seqs.select("ref_id", "ref_name", "record_idx", "contig")
-    unique = _index.unique_kmers(found, ["ref_id", "record_idx", "pos"]).join(labels, ["ref_id", "record_idx"])
-    return {"refs": refs, "unique": unique, "counts": _index.unique_counts(unique, refs), "sketch": _index.build_sketch(unique, refs, c=c, threshold=entropy, seed=seed), "spectrum": spectrum(kmers(seqs, k, keep=[], packed=True))}
+def index(spark: SparkSession, paths: list[str], *, k: int = K, c: int = 100, entropy: float = THRESHOLD, seed: str = "", store: str | None = None) -> dict[str, DataFrame]:
+    """unique k-mers, counts a reference, the sketch and the spectrum, from FASTA paths and @lists.
+
+    K-mers are counted once, into a universe under store (default: the shared folder); all results read
+    it. A store that is there already is extended by the references it lacks, and must have the same k.
+    """
+    listed, path = files.expand(spark, paths), store or new_path(spark, "universe")
+    if store and universe.exists(spark, path):
+        kept = universe.opened(spark, path)
+        if kept.k != k:
+            raise ValueError(f"{path} has k-mers of {kept.k}, not {k}")
+        kept = kept.extend(listed)
+    else:
+        kept = universe.create(spark, path, listed, k)
+    return {"refs": kept.refs, "unique": kept.unique(), "counts": kept.counts(), "sketch": kept.sketch(c=c, threshold=entropy, seed=seed), "spectrum": kept.spectrum()}
+
+
+def sketch_of_candidates(spark: SparkSession, stat: str, *, c: int = 100, entropy: float = THRESHOLD, seed: str = "") -> DataFrame:
+    """The sketch from a stat table and the candidate files that it lists; no sequence is read."""
+    counts = files.read_counts(spark, stat)
+    refs = counts.select("ref_id", base_id("path").alias("ref_name"))
+    return _index.build_sketch(files.read_candidates(spark, counts), refs, c=c, threshold=entropy, seed=seed)
 
 
 def query(spark: SparkSession, reads: list[str], sketch: DataFrame, *, hit: int = 10, acutoff: float = 0.0, rcutoff: int = 2, solid: bool = False) -> dict[str, DataFrame]:
-    """The report and the log of reads (r1, or r1 and r2) against a sketch, and metrics; k is the length of its k-mers.
+    """The report and the log of reads (r1, or r1 and r2) against a sketch, and metrics; k is the length of its first k-mer.
 
-    metrics: k, references, sketch (signatures), f1, f0, repeats (solid k-mers) and weak of the reads.
+    metrics: k, references, sketch (signatures), f1, f0, repeats (solid k-mers) and weak of the reads. An
+    empty sketch has no hits, and the k of the tools' default.
     """
-    k = sketch.select(F.length("kmer").alias("k")).first()["k"]
+    ordered = "line_no" in sketch.columns
+    length = sketch.agg((F.min_by(F.length("kmer"), "line_no") if ordered else F.max(F.length("kmer"))).alias("k")).first()["k"]
+    k = K if length is None else length
     rows = files.read_reads(spark, reads)
-    hits = _query.match(rows, sketch, k, order_col="line_no" if "line_no" in sketch.columns else None)
+    hits = _query.match(rows, sketch, k, order_col="line_no" if ordered else None)
     size = sketch.agg(F.lit(k).alias("k"), F.count_distinct("ref_id").alias("references"), F.count_distinct("kmer").alias("sketch"))
     metrics = size.join(spectrum(kmers(rows, k, keep=[], packed=True)), F.lit(True))
     return {"hits": hits, "report": _query.report(hits, sketch, hit_cutoff=hit, read_cutoff=rcutoff, abundance_cutoff=acutoff, solid=solid), "log": _query.signature_log(hits, sketch, solid=solid), "metrics": metrics}
 
 
-def compare(spark: SparkSession, filters: list[str], probes: list[str], *, k: int = 81) -> DataFrame:
+def compare(spark: SparkSession, filters: list[str], probes: list[str], *, k: int = K) -> DataFrame:
     """Similarity of every probe file to every filter file."""
 
     def side(paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,12 +82,13 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="program", required=True)
     i = sub.add_parser("index")
     i.add_argument("paths", nargs="+")
-    i.add_argument("-k", "--kmer", type=int, default=81)
+    i.add_argument("-k", "--kmer", type=int, default=K)
     i.add_argument("-c", "--cov", type=int, default=100)
     i.add_argument("-e", "--entropy", type=float, default=THRESHOLD)
     i.add_argument("-o", "--out", default="sketch_uniq.tsv")
     i.add_argument("-f", "--outdir", default="outdir_index")
     i.add_argument("-r", "--stat", default="db_uniq_count.tsv")
+    i.add_argument("-u", "--universe", help="keep the counted k-mers here, or extend those that are there")
     q = sub.add_parser("query", conflict_handler="resolve")
     q.add_argument("-l", "--r1", required=True)
     q.add_argument("-r", "--r2")
@@ -84,7 +104,7 @@ def main(argv: list[str] | None = None) -> None:
     c = sub.add_parser("compare")
     c.add_argument("list1")
     c.add_argument("list2")
-    c.add_argument("-k", "--kmer", type=int, default=81)
+    c.add_argument("-k", "--kmer", type=int, default=K)
     c.add_argument("-o", "--out", default="reference_similarity.tsv")
     # Sizes of filters and threads: taken, so that old command lines run, and without effect on exact results in Spark.
     for one, flags in ((i, ("-b --bits", "-d --hash1", "-s --hash2", "-t --threads")), (q, ("-b --bit", "-t --threads")), (c, ("-b --bits", "-d --hash", "-g --gsize", "-t --threads"))):
@@ -93,9 +113,9 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.program == "index":
-        got = index(spark, a.paths, k=a.kmer, c=a.cov, entropy=a.entropy)
+        got = index(spark, a.paths, k=a.kmer, c=a.cov, entropy=a.entropy, store=a.universe)
         sinks.write_candidates(got["unique"], a.outdir)
-        sinks.write_counts(got["counts"].withColumn("path", F.format_string("%s/%s.tsv", F.lit(a.outdir), "ref_name")), a.stat)
+        sinks.write_counts(got["counts"].drop("path").join(sinks.name_candidates(got["refs"], a.outdir), "ref_id"), a.stat)
         sinks.write_sketch(got["sketch"], a.out)
         got["spectrum"].show()
     elif a.program == "query":

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sigweave import schemas
 from sigweave.functions.seq import base_id
+from sigweave.sources.shared import stored
 
 #: Rows of (file, number) up to which they are broadcast to the records; above, Spark joins as it sees fit.
 BROADCAST_FILES = 200_000
@@ -30,9 +31,17 @@ _FASTA = re.compile(r"\.(fa|fasta|fas|fna|ffn|frn|faa|mpfa)(\.\w+)?$", re.I)
 _WHOLE = re.compile(r"\.(xz|zip|bz)$", re.I)
 
 
+def _line() -> Column:
+    """What orders the lines of text files as reading the files one after the other by name does.
+
+    Spark hands out splits by size; within one, ids grow with the lines.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def path_list(spark: SparkSession, path: str) -> list[str]:
     """The lines of a list file, in order; blank lines are left out."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    lines = spark.read.text(path).select("value", _line().alias("at")).orderBy("at").collect()
     return [r["value"].strip() for r in lines if r["value"].strip()]
 
 
@@ -58,13 +67,16 @@ def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tupl
     files: rows with a path of a file, or of a folder with files. Sizes come from listing; contents are not read.
     """
     paths = sorted({r[column] for r in files.select(column).collect()})
+    if not paths:
+        return files.withColumn("_file", F.lit("")), paths, 0
     listed = spark.read.format("binaryFile").load(paths).select("path", "length")
     full = _plain("path")
     bare = F.regexp_replace(full, "^[A-Za-z0-9+.-]+://[^/]*", "")
     names = F.array_distinct(F.array(full, bare, *(F.regexp_replace(x, "/[^/]*$", "") for x in (full, bare))))
     known = listed.select(full.alias("_file"), "length", F.explode(names).alias("_key"))
     asked = files.withColumn("_key", F.regexp_replace(_plain(F.replace(F.col(column), F.lit("%"), F.lit("%25"))), "(?<=.)/+$", ""))
-    found = asked.join(known, "_key").drop("_key").dropDuplicates([*files.columns, "_file"]).persist()
+    found = asked.join(known, "_key").drop("_key").dropDuplicates([*files.columns, "_file"])
+    found = stored(found, "files")
     seen = found.agg(F.count("*").alias("n"), F.max("length").alias("most")).first()
     found = found.drop("length")
     return F.broadcast(found) if seen["n"] <= BROADCAST_FILES else found, paths, seen["most"] or 0
@@ -96,7 +108,7 @@ def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType])
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[-1])
+        size += len(row[-1] or "")
         if len(held) >= BATCH_ROWS or size > BATCH_LETTERS:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
             held, size = [], 0
@@ -104,14 +116,15 @@ def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
 
-def read_fasta(spark: SparkSession, refs: DataFrame) -> DataFrame:
+def read_fasta(spark: SparkSession, refs: DataFrame, *, sequences: bool = True) -> DataFrame:
     """(ref_id, ref_name, record_idx, contig, seq) of FASTA files.
 
     The first line of a file is a header whatever it begins with. A record ends at a line that
     begins with `>`; its lines are joined without trimming. A label is the header without its
     first character, spaces as underscores; an empty label is that of the record before.
     Files are split by records, so one large file is read by many tasks; such a file is read once
-    before, for what its splits hold. refs: ref_id, ref_name, path (a file or a folder).
+    before, for what its splits hold. refs: ref_id, ref_name, path (a file or a folder). sequences:
+    without them seq is null, for when labels are asked for.
     """
     placed, paths, largest = _placed(spark, refs.select("ref_id", "ref_name", "path"))
     pieces = _pieces(spark, paths, ">")
@@ -125,7 +138,7 @@ def read_fasta(spark: SparkSession, refs: DataFrame) -> DataFrame:
                 label = None
                 header = header if start else header[1:]
             label = header.replace(" ", "_") or label
-            yield file, start, start + at, label, body.replace("\n", "").upper()
+            yield file, start, start + at, label, body.replace("\n", "").upper() if sequences else None
 
     records = pieces.mapInArrow(lambda b: _batched(parsed(b), names, kinds), "_file string, _start long, record_idx long, contig string, seq string")
     if largest > _split_bytes(spark):  # records before a split give its first number, and the label if it begins without one
@@ -142,7 +155,8 @@ def read_fasta(spark: SparkSession, refs: DataFrame) -> DataFrame:
         fields, kinds_of = ["_file", "_start", "_n", "_label"], [pa.string(), pa.int64(), pa.int64(), pa.string()]
         splits = pieces.mapInArrow(lambda b: _batched(summed(b), fields, kinds_of), "_file string, _start long, _n long, _label string")
         earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
-        splits = splits.select("_file", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.last(F.nullif("_label", F.lit("")), ignorenulls=True).over(earlier).alias("_label")).persist()
+        splits = splits.select("_file", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.last(F.nullif("_label", F.lit("")), ignorenulls=True).over(earlier).alias("_label"))
+        splits = stored(splits, "splits")
         splits = F.broadcast(splits) if splits.count() <= BROADCAST_FILES else splits
         records = records.join(splits, ["_file", "_start"]).select("_file", (F.col("record_idx") - F.col("_start") + F.col("_before")).alias("record_idx"), F.coalesce("contig", "_label").alias("contig"), "seq")
     return records.join(placed, "_file").select("ref_id", "ref_name", "record_idx", F.coalesce("contig", F.lit("")).alias("contig"), "seq")
@@ -244,6 +258,28 @@ def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_sketch(spark: SparkSession, path: str) -> DataFrame:
-    """A sketch table with line_no; a malformed row is an error."""
+    """A sketch table with line_no, which orders its lines: by file name, then as they stand. A malformed row is an error.
+
+    Of lines with the same k-mer the first counts, of names with the same id the last (`query.signatures`, `query.reference_names`).
+    """
     rows = spark.read.csv(path, sep="\t", schema=schemas.SKETCH, mode="FAILFAST", quote="")
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    return rows.select("*", _line().alias("line_no"))
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, uniq_count, ref_id) of a stat table; a malformed row is an error."""
+    return spark.read.csv(path, sep="\t", schema=schemas.COUNTS, mode="FAILFAST", quote="")
+
+
+def read_candidates(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """(ref_id, ref_name, kmer, pos, contig) of the candidates that a stat table (path, uniq_count, ref_id) lists.
+
+    A path is a file or a folder of files; its base name is the reference's name. References
+    without candidates need no path. All files are one scan.
+    """
+    rows = counts.where("uniq_count > 0").select("ref_id", base_id("path").alias("ref_name"), "path")
+    placed, paths, _ = _placed(spark, rows)
+    if not paths:
+        return spark.createDataFrame([], "ref_id int, ref_name string, kmer string, pos long, contig string")
+    found = spark.read.csv(paths, sep="\t", schema=schemas.CANDIDATES, mode="FAILFAST", quote="").select("*", _plain(F.col("_metadata.file_path")).alias("_file"))
+    return found.join(placed, "_file").select("ref_id", "ref_name", "kmer", "pos", "contig")

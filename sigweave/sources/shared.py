@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
 
@@ -27,6 +27,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as a table in the shared folder: it survives lost executors, and goes with `clean`."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clean(spark: SparkSession) -> int:
     """Delete the tables and files that this application has made in the shared folder; their number.
 

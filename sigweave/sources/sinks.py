@@ -25,6 +25,26 @@ def write_candidates(unique: DataFrame, path: str) -> None:
     unique.select("ref_id", "kmer", "pos", "contig").write.mode("overwrite").partitionBy("ref_id").csv(path, sep="\t", quote="")
 
 
+def name_candidates(refs: DataFrame, path: str) -> DataFrame:
+    """Give the folders of `write_candidates` the names <ref_name>.tsv, and references without candidates an empty one; (ref_id, path).
+
+    Of equal names each after the first lies in a folder of its id. A rename or folder is one call to the file system for each reference, from the driver.
+    """
+    spark = refs.sparkSession
+    jvm, taken, placed = spark._jvm.org.apache.hadoop.fs, set(), []
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in refs.select("ref_id", "ref_name").orderBy("ref_id").collect():
+        to = f"{path}/{r['ref_name']}.tsv" if r["ref_name"] not in taken else f"{path}/{r['ref_id']}/{r['ref_name']}.tsv"
+        taken.add(r["ref_name"])
+        made, place = jvm.Path(f"{path}/ref_id={r['ref_id']}"), jvm.Path(to)
+        fs.mkdirs(place.getParent())
+        if not (fs.rename(made, place) if fs.exists(made) else fs.mkdirs(place)):
+            raise OSError(f"{to} cannot be made")
+        placed.append((r["ref_id"], to))
+    return spark.createDataFrame(placed, "ref_id int, path string")
+
+
 def write_counts(counts: DataFrame, path: str) -> None:
     _write(counts.orderBy("ref_id").select("path", "uniq_count", "ref_id"), path, False, True)
 
