@@ -104,7 +104,7 @@ class Alignment:
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text") -> DataFrame:
-    """docs with a_ids and b_ids, stored. A text without an alignment has empty lists."""
+    """docs without text, with a_ids and b_ids, stored: ids as little-endian numbers of two bytes, or four where ids need them; empty without an alignment."""
 
     def start() -> Callable[[pa.RecordBatch], list]:
         a_of, b_of = ByteLevel(a_path), Pieces(b_path)
@@ -117,18 +117,14 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text")
             same = all(b"".join(map(of.bytes.__getitem__, ids.tolist())) == want for of, ids in ((a_of, a), (b_of, b)))
             return (a, b) if same else (none, none)
 
-        def lists(rows: list[np.ndarray]) -> pa.Array:
-            ends = np.cumsum([0, *map(len, rows)])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *rows])))
-
         def run(batch: pa.RecordBatch) -> list:
             got = [both(t.as_py()) for t in batch.column(place)]
-            return [lists([x[0] for x in got]), lists([x[1] for x in got])]
+            return [[ids.astype("<u2" if len(of.bytes) <= 1 << 16 else "<u4").tobytes() for ids in some] for of, some in ((a_of, [x[0] for x in got]), (b_of, [x[1] for x in got]))]
 
         return run
 
     place = docs.columns.index(text_col)
-    made = storage.map_columns(docs, [("a_ids", _IDS), ("b_ids", _IDS)], start, keep=[c for c in docs.columns if c != text_col], rows=ROWS)
+    made = storage.map_columns(docs, [("a_ids", T.BinaryType()), ("b_ids", T.BinaryType())], start, keep=[c for c in docs.columns if c != text_col], rows=ROWS)
     return storage.written(made.withColumn("_sw_row", F.monotonically_increasing_id()), "tokens")
 
 
@@ -136,10 +132,12 @@ def _sizes(path: str, kind: Callable) -> np.ndarray:
     return np.array([len(b) for b in kind(path).bytes], np.int64)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all lists, and where each list begins (one more at the end)."""
-    ends = column.offsets.to_numpy()
-    return column.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
+def _flat(column: pa.Array, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and where each row begins (one more at the end)."""
+    width = 2 if n_ids <= 1 << 16 else 4
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], f"<u{width}", (ends[-1] - ends[0]) // width, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.uint16)
+    return raw.astype(np.int32), (ends - ends[0]) // width
 
 
 def pair_counts(made: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -157,7 +155,7 @@ def pair_counts(made: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFr
             return every, np.bincount(where, np.concatenate([total[1], n]), len(every)).astype(np.int64)
 
         for batch in storage.pieces(batches, ROWS):
-            a, b = (_flat(batch.column(k))[0] for k in (0, 1))
+            a, b = (_flat(batch.column(k), len(both[k]))[0] for k in (0, 1))
             found = Alignment(a, b, *both)
             some.append(a[found.link_a].astype(np.int64) * width + b[found.link_b])
             held += len(some[-1])
@@ -209,7 +207,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text",
         written = Written(len(both[0]), width)
 
         def run(batch: pa.RecordBatch) -> list:
-            (a, a_at), (b, b_at) = (_flat(batch.column(place[c])) for c in ("a_ids", "b_ids"))
+            (a, a_at), (b, b_at) = (_flat(batch.column(place[c]), len(x)) for c, x in zip(("a_ids", "b_ids"), both, strict=True))
             found = Alignment(a, b, *both)
             links, n = found.links_before[a_at], len(a_at) - 1
             mine = a[found.link_a].astype(np.int64) * width + b[found.link_b]
@@ -229,15 +227,19 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text",
             groups = np.searchsorted(found.group_a, a_at, "right")
             text = written(a, b, found)
             digests = [hashlib.sha256("".join(text[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(a_at[:-1] + b_at[:-1], a_at[1:] + b_at[1:], strict=True)]
-            ends = [pa.ListArray.from_arrays(pa.array(groups, pa.int32()), pa.array((x - np.repeat(at, np.diff(groups))).astype(np.int32))) for x, at in ((found.group_a, a_at[:-1]), (found.group_b, b_at[:-1]))] if keep_groups else []
-            return [np.diff(a_at), np.diff(b_at), np.diff(groups), np.diff(links), *sums, digests, *rare, *ends]
+            lists = []
+            if keep_groups:
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x, at in ((a, a_at), (b, b_at))]
+                ends = [(x - np.repeat(at[:-1], np.diff(groups))).astype(np.int32) for x, at in ((found.group_a, a_at), (found.group_b, b_at))]
+                lists += [pa.ListArray.from_arrays(pa.array(groups, pa.int32()), pa.array(x)) for x in ends]
+            return [np.diff(a_at), np.diff(b_at), np.diff(groups), np.diff(links), *sums, digests, *rare, *lists]
 
         return run
 
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     added = [*((c, T.LongType()) for c in numbers), ("groups_sha256", T.StringType()), *((c, T.ArrayType(T.LongType())) for c in ("_sw_rare", "_sw_times"))]
-    added += [("a_ends", _IDS), ("b_ends", _IDS)] if keep_groups else []
-    kept = [c for c in made.columns if keep_groups or c not in ("a_ids", "b_ids")]
+    added += [(c, _IDS) for c in ("a_ids", "b_ids", "a_ends", "b_ends")] if keep_groups else []
+    kept = [c for c in made.columns if c not in ("a_ids", "b_ids")]
     out = storage.map_columns(made, added, start, keep=kept, rows=ROWS)
     if least > 1:  # some pairs are counted but not sent
         out = storage.written(out, "aligned")
