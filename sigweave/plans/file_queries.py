@@ -13,7 +13,9 @@ from sigweave.plans import programs
 from sigweave.plans.queries import _DOCS, _HITS, _REFS, _SCORED, _TOPC, _UNIQUE, K, _counts, _seq, _unique
 from sigweave.functions.complexity import THRESHOLD
 from sigweave.operators.index import build_sketch
-from sigweave.sources import files, sinks
+from sigweave.operators.kmers import kmers
+from sigweave.operators.query import reference_names, signatures
+from sigweave.sources import files, sequences, sinks
 from sigweave.sources.shared import new_path
 from sigweave.sources.tables import benchmark_refs, document_reads, document_sources
 from sigweave.streaming import match as streaming
@@ -62,6 +64,28 @@ def fastq_source(spark: SparkSession, d: str) -> DataFrame:
     return files.read_reads(spark, [_read_file(spark, d)]).select("file_idx", "read_name", "seq")
 
 
+def long_contig_source(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as one record, a line each, in the files of one folder, cut by byte ranges: its k-mers by blocks of 10,000 places."""
+    path = new_path(spark, "contig")
+    rows = document_reads(spark, d).where("seq != ''").select("read_idx", F.col("seq").alias("value"))
+    head = spark.createDataFrame([(-1, ">all documents")], "read_idx long, value string")
+    rows.unionByName(head).orderBy("read_idx").select("value").write.text(path)
+    pieces = sequences.contigs(spark, path, k=K, range_bytes=1 << 20, joined=True)
+    found = kmers(pieces, K, keep=["record_idx", "contig", "start"]).withColumn("at", F.col("start") + F.col("pos"))
+    return found.groupBy("record_idx", "contig", F.floor(F.col("at") / 10_000).alias("block")).agg(
+        F.count("*").alias("kmers"), F.sum("at").alias("places"), F.min("kmer").alias("least"), F.max("kmer").alias("most"), F.count_distinct("kmer").alias("distinct")
+    )
+
+
+def read_source(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of the registered source: FASTQ whose sequences and qualities are wrapped, quality of nothing but marks, in byte ranges."""
+    path = new_path(spark, "ranges")
+    wrapped = lambda x: F.regexp_replace(x, "(.{60})", "$1\n")
+    quality = F.regexp_replace("seq", ".", "@")
+    document_reads(spark, d).select(F.concat(F.lit("@"), "read_name", F.lit(" document\n"), wrapped("seq"), F.lit("\n+\n"), wrapped(quality)).alias("value")).write.text(path)
+    return sequences.reads(spark, path, range_bytes=1 << 20).select("read_name", "seq")
+
+
 def path_list_source(spark: SparkSession, d: str) -> DataFrame:
     """Paths from a list file, numbered and named as references."""
     path = new_path(spark, "list")
@@ -82,6 +106,44 @@ def candidate_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="kmer string, pos long, contig string, ref_id int", quote="")
 
 
+def candidate_source(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates and stat table from files, under the paths that the stat table has; the sketch from them, without sequences."""
+    got = programs.index(spark, _reference_files(spark, d), k=K, c=20)
+    where, stat = new_path(spark, "candidates"), new_path(spark, "stat")
+    sinks.write_candidates(got["unique"], where)
+    sinks.write_counts(got["counts"].drop("path").join(sinks.name_candidates(got["refs"], where), "ref_id"), stat)
+    sketch = programs.sketch_of_candidates(spark, stat, c=20)
+    return sketch.select("kmer", _named("ref_name").alias("ref_name"), "num_refs", "contig", "pos")
+
+
+def index_program_extended(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the references counted and kept, the others added by a later run: counts a reference."""
+    paths, store = _reference_files(spark, d), new_path(spark, "universe")
+    programs.index(spark, paths[::2], k=K, store=store)
+    got = programs.index(spark, paths, k=K, store=store)
+    return got["counts"].select(_named("ref_name").alias("ref_name"), "uniq_count")
+
+
+def sketch_source_with_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """A sketch in several files with k-mers and names that come twice: the first line of a k-mer and the last name of an id count."""
+    path = new_path(spark, "sketch")
+    rows = _sketch_file(spark, d).drop("line_no")
+    other = rows.select("kmer", (F.col("ref_id") + 1).alias("ref_id"), F.concat(F.lit("new_"), "ref_name").alias("ref_name"), "num_refs", "contig", "pos")
+    sinks.write_sketch(rows.orderBy("kmer"), f"{path}/0")
+    sinks.write_sketch(other.unionByName(rows.limit(0)).orderBy("kmer"), f"{path}/1")
+    both = files.read_sketch(spark, f"{path}/*")
+    return signatures(both, "line_no").join(reference_names(both), "ref_id").select("kmer", "ref_id", "ref_name")
+
+
+def query_program_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """r1 and r2, plain FASTA and FASTQ packed by bzip2: the log of both."""
+    reads = document_reads(spark, d)
+    one, two = new_path(spark, "pairs"), new_path(spark, "pairs")
+    reads.where("read_idx % 2 = 0").select(F.concat(F.lit(">"), "read_name", F.lit("\n"), "seq").alias("value")).write.text(f"{one}.fa")
+    reads.where("read_idx % 2 = 1").select(F.concat(F.lit("@"), "read_name", F.lit("\n"), "seq", F.lit("\n+\n"), F.regexp_replace("seq", ".", "I")).alias("value")).write.option("compression", "bzip2").text(two)
+    return programs.query(spark, [f"{one}.fa", two], _sketch_file(spark, d))["log"]
+
+
 def index_program(spark: SparkSession, d: str) -> DataFrame:
     """FASTA files to the sketch."""
     got = programs.index(spark, _reference_files(spark, d), k=K, c=20)
@@ -141,7 +203,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         fasta_source, fasta_source_of_documents, fastq_source, path_list_source, sketch_sink, candidate_sink, index_program, index_program_counts, query_program, query_program_log,
-        query_program_metrics, compare_program, stream_hit_counts,
+        query_program_metrics, compare_program, stream_hit_counts, long_contig_source, read_source, candidate_source, index_program_extended,
+        sketch_source_with_duplicates, query_program_pairs,
     )
 }
 
@@ -167,5 +230,15 @@ ORACLES = {
 t AS (SELECT ref, sum(n)::BIGINT AS n FROM n GROUP BY ref), m AS (SELECT a.ref AS ref1, b.ref AS ref2, sum(a.n)::BIGINT AS n FROM n a JOIN n b ON a.kmer = b.kmer GROUP BY ALL)
 SELECT a.ref AS ref1, b.ref AS ref2, coalesce(t.n, 0) - coalesce(m.n, 0) AS uniq_ref1, coalesce(t.n, 0) AS all_ref1, CASE WHEN t.n > 0 THEN {_SIX.format('coalesce(m.n, 0) / t.n')} ELSE 'nan'::DOUBLE END AS similarity
 FROM x a CROSS JOIN x b LEFT JOIN t ON t.ref = a.ref LEFT JOIN m ON m.ref1 = a.ref AND m.ref2 = b.ref""",
+    "long_contig_source": f"""WITH a AS (SELECT string_agg({_seq('text')}, '' ORDER BY doc_id) AS s FROM documents),
+c AS (SELECT i * 1000 AS b, substr(s, i * 1000 + 1, {1000 + K - 1}) AS s FROM (SELECT s, unnest(range(0, length(s) // 1000 + 1)) AS i FROM a)),
+w AS (SELECT b + p AS place, substr(s, p::INT + 1, {K}) AS w FROM (SELECT b, s, unnest(range(0, length(s) - {K - 1})) AS p FROM c)),
+k AS (SELECT place AS "at", least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM w WHERE NOT regexp_matches(w, '[^ACGT]'))
+SELECT 0::BIGINT AS record_idx, 'all_documents' AS contig, "at" // 10000 AS block, count(*) AS kmers, sum("at")::BIGINT AS places, min(kmer) AS "least", max(kmer) AS most, count(DISTINCT kmer) AS "distinct" FROM k GROUP BY 3""",
+    "read_source": f"SELECT doc_id::VARCHAR AS read_name, {_seq('text')} AS seq FROM documents",
+    "candidate_source": f"WITH {_SCORED}, {_TOPC.format(threshold=THRESHOLD, c=20)} SELECT kmer, ref_name, (SELECT count(*) FROM benchmark)::INT AS num_refs, contig, pos FROM t",
+    "index_program_extended": f"WITH {_UNIQUE}, c AS (SELECT ref_id, count(*) AS n FROM u GROUP BY ref_id) SELECT 'item' || item_id AS ref_name, coalesce(n, 0) AS uniq_count FROM benchmark LEFT JOIN c ON c.ref_id = item_id",
+    "sketch_source_with_duplicates": f"WITH {_SKETCH}, n AS (SELECT ref_id + 1 AS ref_id, 'new_' || ref_name AS ref_name FROM t), o AS (SELECT DISTINCT ref_id, ref_name FROM t WHERE ref_id NOT IN (SELECT ref_id FROM n)) SELECT kmer, t.ref_id, x.ref_name FROM t JOIN (SELECT DISTINCT * FROM n UNION SELECT * FROM o) x ON x.ref_id = t.ref_id",
+    "query_program_pairs": f"WITH {_SKETCH_HITS}, {_counts('h', 0)} SELECT c.ref_name AS ref, reads AS total_reads, kmer AS signature, x.count FROM (SELECT ref_id, kmer, count(*) AS count FROM h GROUP BY ALL) x JOIN c ON c.ref_id = x.ref_id",
     "stream_hit_counts": f"WITH {_HITS}, {_counts('h', 0)} SELECT ref_id, count, reads FROM c",
 }
