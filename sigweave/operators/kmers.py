@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,10 +96,10 @@ def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Windows:
-    """Cuts the windows of string columns. among: a bitmap of hashes; windows outside it are left out."""
+    """Cuts the windows of string columns. among: a bitmap of hashes; windows outside it are left out. hashes: instead of windows."""
 
-    def __init__(self, k: int, canonicalise: bool, packed: bool, among: np.ndarray | None, piece: int):
-        self.k, self.canonicalise, self.packed, self.among, self.piece = k, canonicalise, packed, among, piece
+    def __init__(self, k: int, canonicalise: bool, packed: bool, among: np.ndarray | None, piece: int, hashes: bool = False):
+        self.k, self.canonicalise, self.packed, self.among, self.piece, self.hashes = k, canonicalise, packed, among, piece, hashes
 
     def cut(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
         """(rows, places in them, windows), some at a time."""
@@ -125,7 +125,9 @@ class Windows:
                 chosen = chosen[(self.among[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
                 if not len(chosen):
                     continue
-            if self.packed:
+            if self.hashes:
+                made = pa.array(hashed([x[chosen] for x in ahead]))
+            elif self.packed:
                 made = _packed([x[chosen] for x in ahead], k)
             else:
                 view = np.lib.stride_tricks.sliding_window_view
@@ -204,6 +206,54 @@ def spectrum(occurrences: DataFrame) -> DataFrame:
     return multiplicities(occurrences).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("f1"), F.count("*").alias("f0"), repeats.alias("repeats"), (F.count("*") - repeats).alias("weak"))
 
 
+def estimated_spectrum(seqs: DataFrame, k: int, *, seq_col: str = "seq", bits: int = 20) -> DataFrame:
+    """One row as `spectrum`'s: f1 exact; f0, repeats and weak estimated from counters, without a shuffle of k-mers.
+
+    Of the canonical k-mers those are sampled whose hash ends in so many zeros that there are fewer than counters even if all
+    k-mers differ; a task adds their occurrences up in 2^bits counters by the hash's next bits. Counters of all tasks are
+    summed, at most 2^bits rows a task. How often a counter is 0 or 1 tells how many sampled k-mers there are, and how many
+    that occur once, with collisions taken into account (a counter is a sum of Poisson numbers of k-mers
+    of each multiplicity): f0 = -ln p0 and weak = p1 / p0, times counters and sampling rate. The relative standard error of f0
+    is about sqrt(f1 / f0) / 2^(bits / 2): 0.1 % where most k-mers occur once, 1 % at hundredfold coverage.
+    """
+    letters = seqs.agg(F.coalesce(F.sum(F.length(seq_col)), F.lit(0))).first()[0]
+    zeros, slots = max(0, int(letters - 1).bit_length() - bits) if letters else 0, 1 << bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, held, all_of = Windows(k, True, True, None, PIECE, hashes=True), np.zeros(slots, np.int64), 0
+        for b in batches:
+            for _, _, made in cutter.cut(b.column(0)):
+                h = made.to_numpy()
+                all_of += len(h)
+                held += np.bincount(h[h & ((1 << zeros) - 1) == 0] >> zeros & (slots - 1), minlength=slots)
+        full = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(held[full], all_of))], names=["slot", "n"])
+
+    summed = seqs.select(seq_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    seen = F.count(F.when(F.col("slot") >= 0, 1))
+    once = F.count(F.when((F.col("slot") >= 0) & (F.col("n") == 1), 1))
+    counts = summed.agg(F.coalesce(F.sum(F.when(F.col("slot") < 0, F.col("n"))), F.lit(0)).alias("f1"), seen.alias("seen"), once.alias("once"))
+    empty = F.greatest(F.lit(slots) - F.col("seen"), F.lit(1))
+    scaled = counts.select("f1", F.round(-F.log(empty / slots) * slots * (1 << zeros)).cast("long").alias("f0"), F.round(F.col("once") / empty * slots * (1 << zeros)).cast("long").alias("weak"))
+    weak = F.least("weak", "f0")
+    return scaled.select("f1", "f0", (F.col("f0") - weak).alias("repeats"), weak.alias("weak"))
+
+
+def register(spark: SparkSession, name: str = "kmers") -> None:
+    """Make the k-mers a table function of SQL: `SELECT ... FROM reads, LATERAL kmers(seq, 21)` gives pos and kmer.
+
+    As `kmers`, but a sequence at a time: for ad-hoc SQL, where the DataFrame form cuts whole batches.
+    """
+
+    class Kmers:
+        def eval(self, seq: str, k: int) -> Iterator[tuple]:
+            if seq is not None and k is not None:
+                for _, pos, made in Windows(k, True, False, None, PIECE).cut(pa.array([seq], pa.string())):
+                    yield from zip(pos.tolist(), made.to_pylist(), strict=True)
+
+    spark.udtf.register(name, F.udtf(Kmers, returnType="pos long, kmer string", useArrow=True))
+
+
 def approx_spectrum(occurrences: DataFrame, rsd: float = 0.02) -> DataFrame:
     """One row: f1 and an estimate of f0 by HyperLogLog, in one pass and without a shuffle of k-mers."""
     return occurrences.agg(F.count("*").alias("f1"), F.approx_count_distinct("kmer", rsd).alias("f0"))

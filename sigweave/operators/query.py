@@ -58,6 +58,14 @@ def hit_counts(hits: DataFrame, *, solid: bool = False) -> DataFrame:
     return each.groupBy("ref_id").agg((F.sum("_hits") + (1 if solid else 0)).alias("count"), F.count("*").alias("reads"))
 
 
+def shares(counts: DataFrame, *, hit_cutoff: int, read_cutoff: int, abundance_cutoff: float) -> DataFrame:
+    """(ref_id, count, reads) that pass the cutoffs of `report`, with abundance."""
+    if read_cutoff < 0:
+        raise ValueError("read_cutoff must not be negative")
+    kept = counts.where((F.col("count") >= hit_cutoff) & (F.col("reads") > read_cutoff))
+    return kept.withColumn("abundance", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0)))).where(F.col("abundance") > abundance_cutoff)
+
+
 def report(hits: DataFrame, refs: DataFrame, *, hit_cutoff: int = 10, read_cutoff: int = 2, abundance_cutoff: float = 0.0, solid: bool = False) -> DataFrame:
     """(ref, abundance, count), the most hits first.
 
@@ -66,12 +74,8 @@ def report(hits: DataFrame, refs: DataFrame, *, hit_cutoff: int = 10, read_cutof
     abundance_cutoff are then left out, without a new total. Ties are in the order of ids. refs: ref_id, ref_name
     and, if there is one, line_no; an id with several names has the last, and one without a name has no row.
     """
-    if read_cutoff < 0:
-        raise ValueError("read_cutoff must not be negative")
-    kept = hit_counts(hits, solid=solid).where((F.col("count") >= hit_cutoff) & (F.col("reads") > read_cutoff))
-    shares = kept.withColumn("abundance", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))))
-    named = shares.where(F.col("abundance") > abundance_cutoff).join(reference_names(refs), "ref_id")
-    return named.orderBy(F.desc("count"), "ref_id").select(F.col("ref_name").alias("ref"), "abundance", "count")
+    kept = shares(hit_counts(hits, solid=solid), hit_cutoff=hit_cutoff, read_cutoff=read_cutoff, abundance_cutoff=abundance_cutoff)
+    return kept.join(reference_names(refs), "ref_id").orderBy(F.desc("count"), "ref_id").select(F.col("ref_name").alias("ref"), "abundance", "count")
 
 
 def signature_log(hits: DataFrame, refs: DataFrame, *, solid: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from sigweave.plans.queries import _DOCS, _HITS, _REFS, _SCORED, _TOPC, _UNIQUE,
 from sigweave.functions.complexity import THRESHOLD
 from sigweave.operators.index import build_sketch
 from sigweave.operators.kmers import kmers
-from sigweave.operators.query import reference_names, signatures
+from sigweave.operators.query import hit_counts, match, reference_names, signatures
 from sigweave.sources import files, sequences, sinks
 from sigweave.sources.shared import new_path
 from sigweave.sources.tables import benchmark_refs, document_reads, document_sources
@@ -189,21 +189,49 @@ def compare_program(spark: SparkSession, d: str) -> DataFrame:
     return got.select(_named("ref1").alias("ref1"), _named("ref2").alias("ref2"), "uniq_ref1", "all_ref1", "similarity")
 
 
+def _read_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a stream of reads, some files at a time."""
+    reads = new_path(spark, "stream")
+    document_reads(spark, d).write.parquet(reads)
+    return spark.readStream.schema("file_idx int, read_idx long, read_name string, seq string").option("maxFilesPerTrigger", 2).parquet(reads)
+
+
+def _all_of(stream: DataFrame) -> DataFrame:
+    out, at = new_path(stream.sparkSession, "hits"), new_path(stream.sparkSession, "checkpoint")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def _stream_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return _unique(spark, d).select("kmer", "ref_id", "ref_name")
+
+
 def stream_hit_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits of a stream of reads, all that there are, by reference."""
-    reads, out, at = (new_path(spark, x) for x in ("stream", "hits", "checkpoint"))
-    document_reads(spark, d).write.parquet(reads)
-    stream = spark.readStream.schema("file_idx int, read_idx long, read_name string, seq string").option("maxFilesPerTrigger", 2).parquet(reads)
-    hits = streaming.stream_hits(stream, _unique(spark, d).select("kmer", "ref_id", "ref_name"), K)
-    hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(hits.schema).parquet(out).groupBy("ref_id").agg(F.count("*").alias("count"), F.count_distinct("read_name").alias("reads"))
+    hits = _all_of(streaming.stream_hits(_read_stream(spark, d), _stream_signatures(spark, d), K))
+    return hits.groupBy("ref_id").agg(F.count("*").alias("count"), F.count_distinct("read_name").alias("reads"))
+
+
+def stream_solid_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Solid hits of a stream of reads that comes in several batches."""
+    return _all_of(streaming.stream_solid_hits(_read_stream(spark, d), _stream_signatures(spark, d), K)).select("ref_id", "kmer", "read_idx", "pos")
+
+
+def stream_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a stream from merged sketches of its batches: whether each estimate of distinct reads is within 4 % of the exact number."""
+    path, sigs = new_path(spark, "sums"), _stream_signatures(spark, d)
+    streaming.stream_report(streaming.stream_hits(_read_stream(spark, d), sigs, K), path, new_path(spark, "checkpoint"))
+    got = streaming.report_so_far(sigs, path, read_cutoff=0)
+    exact = hit_counts(match(document_reads(spark, d), sigs, K)).join(reference_names(sigs), "ref_id").select(F.col("ref_name").alias("ref"), "reads")
+    near = F.abs(F.col("approx_reads") - F.col("reads")) <= F.greatest(F.lit(1), 0.04 * F.col("reads"))
+    return got.join(exact, "ref").select("ref", "abundance", "count", near.alias("reads_within_4_percent"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         fasta_source, fasta_source_of_documents, fastq_source, path_list_source, sketch_sink, candidate_sink, index_program, index_program_counts, query_program, query_program_log,
-        query_program_metrics, compare_program, stream_hit_counts, long_contig_source, read_source, candidate_source, index_program_extended,
+        query_program_metrics, compare_program, stream_hit_counts, stream_solid_hits, stream_report, long_contig_source, read_source, candidate_source, index_program_extended,
         sketch_source_with_duplicates, query_program_pairs,
     )
 }
@@ -240,5 +268,7 @@ SELECT 0::BIGINT AS record_idx, 'all_documents' AS contig, "at" // 10000 AS bloc
     "index_program_extended": f"WITH {_UNIQUE}, c AS (SELECT ref_id, count(*) AS n FROM u GROUP BY ref_id) SELECT 'item' || item_id AS ref_name, coalesce(n, 0) AS uniq_count FROM benchmark LEFT JOIN c ON c.ref_id = item_id",
     "sketch_source_with_duplicates": f"WITH {_SKETCH}, n AS (SELECT ref_id + 1 AS ref_id, 'new_' || ref_name AS ref_name FROM t), o AS (SELECT DISTINCT ref_id, ref_name FROM t WHERE ref_id NOT IN (SELECT ref_id FROM n)) SELECT kmer, t.ref_id, x.ref_name FROM t JOIN (SELECT DISTINCT * FROM n UNION SELECT * FROM o) x ON x.ref_id = t.ref_id",
     "query_program_pairs": f"WITH {_SKETCH_HITS}, {_counts('h', 0)} SELECT c.ref_name AS ref, reads AS total_reads, kmer AS signature, x.count FROM (SELECT ref_id, kmer, count(*) AS count FROM h GROUP BY ALL) x JOIN c ON c.ref_id = x.ref_id",
+    "stream_solid_hits": f"WITH {_HITS} SELECT ref_id, kmer, read_idx, pos FROM s",
+    "stream_report": f"WITH {_HITS}, {_counts('h', 0)} SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count, true AS reads_within_4_percent FROM c WHERE count >= 10 AND reads > 0",
     "stream_hit_counts": f"WITH {_HITS}, {_counts('h', 0)} SELECT ref_id, count, reads FROM c",
 }

@@ -13,8 +13,9 @@ from sigweave.functions.complexity import THRESHOLD, entropy_score, is_low_compl
 from sigweave.functions.seq import base_id, complement, contig_label, reverse_complement
 from sigweave.operators.compare import similarity
 from sigweave.operators.index import build_sketch, unique_counts, unique_kmers
-from sigweave.operators.kmers import histogram, kmers, membership, multiplicities, spectrum
+from sigweave.operators.kmers import estimated_spectrum, histogram, kmers, membership, multiplicities, register, spectrum
 from sigweave.operators.query import drop_weak, hit_counts, match, report, signature_log
+from sigweave.sources.shared import stored
 from sigweave.sources.tables import benchmark_refs, document_reads, document_sources, table
 
 K = 21
@@ -31,7 +32,7 @@ def _unique(spark: SparkSession, d: str) -> DataFrame:
 
 def _numbered_sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The sources (ref_id, ref), and packed k-mers with ref_id: numbers take less of an exchange than names and ride in hash aggregates."""
-    names = table(spark, d, "documents").select(F.col("source").alias("ref")).distinct().withColumn("ref_id", F.row_number().over(Window.orderBy("ref"))).persist()
+    names = stored(table(spark, d, "documents").select(F.col("source").alias("ref")).distinct().withColumn("ref_id", F.row_number().over(Window.orderBy("ref"))), "names")
     return names, kmers(document_sources(spark, d).join(names, "ref").select("ref_id", "seq"), K, packed=True).drop("pos")
 
 
@@ -156,12 +157,27 @@ def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_multiplicity(spark: SparkSession, d: str) -> DataFrame:
     """Multiplicity of the references' k-mers in the documents and in the references."""
-    mine = multiplicities(_ref_kmers(spark, d)).withColumnRenamed("n", "in_refs").persist()
+    mine = stored(multiplicities(_ref_kmers(spark, d)).withColumnRenamed("n", "in_refs"), "multiplicities")
     seqs = document_sources(spark, d)
     docs = multiplicities(kmers(seqs, K, keep=[], among=membership(mine, K, mine.count()))).withColumnRenamed("n", "in_docs")
     return mine.join(docs, "kmer", "left").select("kmer", "in_refs", F.coalesce("in_docs", F.lit(0).cast("long")).alias("in_docs"))
 
 
+def spectrum_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of k-mers, and whether the estimates of distinct, repeated and single ones are within 1 % of f0 of the exact counts."""
+    seqs = document_sources(spark, d).select("seq")
+    near = lambda c: (F.abs(F.col(f"e.{c}") - F.col(f"x.{c}")) <= 0.01 * F.col("x.f0")).alias(f"{c}_within_1_percent")
+    both = estimated_spectrum(seqs, K).alias("e").join(spectrum(kmers(seqs, K, keep=[], packed=True)).alias("x"), F.lit(True))
+    return both.select(F.col("e.f1").alias("f1"), near("f0"), near("repeats"), near("weak"))
+
+
+def kmers_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The references' k-mers by a table function, in SQL."""
+    register(spark, "sigweave_kmers")
+    benchmark_refs(spark, d).createOrReplaceTempView("sigweave_refs")
+    return spark.sql(f"SELECT ref_id, pos, kmer FROM sigweave_refs, LATERAL sigweave_kmers(seq, {K})")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return abundance_report(spark, d)
 
@@ -171,7 +187,7 @@ QUERIES = {
     for f in (
         kmer_counts_per_doc, canonical_kmers, strand_functions, base_ids, kmer_spectrum, kmer_histogram, weak_kmers, kmer_multiplicity, unique_kmers_of_refs,
         unique_count_per_source, unique_count_per_ref, entropy_scores, low_complexity, sketch_topc, sketch_hits_per_ref, sketch_hits_solid, solid_hits,
-        reads_per_ref, abundance_report, abundance_report_cutoffs, signature_counts, similarity_matrix,
+        reads_per_ref, abundance_report, abundance_report_cutoffs, signature_counts, similarity_matrix, spectrum_estimate, kmers_in_sql,
     )
 }
 
@@ -227,6 +243,8 @@ ORACLES = {
     "abundance_report": f"WITH {_HITS}, {_counts('h', 0)} SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count FROM c WHERE count >= 10 AND reads > 0",
     "abundance_report_cutoffs": f"WITH {_HITS}, {_counts('s', 1)}, a AS (SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count FROM c WHERE count >= 100 AND reads > 0) SELECT * FROM a WHERE abundance > 0.25",
     "signature_counts": f"WITH {_HITS}, {_counts('h', 0)} SELECT c.ref_name AS ref, reads AS total_reads, kmer AS signature, x.count FROM (SELECT ref_id, kmer, count(*) AS count FROM h GROUP BY ALL) x JOIN c ON c.ref_id = x.ref_id",
+    "spectrum_estimate": f"WITH {_DOCS} SELECT count(*) AS f1, true AS f0_within_1_percent, true AS repeats_within_1_percent, true AS weak_within_1_percent FROM d",
+    "kmers_in_sql": f"WITH {_REFS} SELECT ref_id, pos, kmer FROM r",
     "similarity_matrix": f"""WITH {_DOCS}, n AS (SELECT ref, kmer, count(*) AS n FROM d GROUP BY ALL), x AS (SELECT DISTINCT source AS ref FROM documents),
 t AS (SELECT ref, sum(n)::BIGINT AS n FROM n GROUP BY ref), m AS (SELECT a.ref AS ref1, b.ref AS ref2, sum(a.n)::BIGINT AS n FROM n a JOIN n b ON a.kmer = b.kmer GROUP BY ALL)
 SELECT a.ref AS ref1, b.ref AS ref2, coalesce(t.n, 0) - coalesce(m.n, 0) AS uniq_ref1, coalesce(t.n, 0) AS all_ref1, coalesce(m.n, 0) / t.n AS similarity

@@ -15,6 +15,8 @@ from sigweave.functions import complexity, seq
 from sigweave.operators import compare, index, kmers, query
 from sigweave.plans import programs
 from sigweave.sources import files, shared, sinks
+from sigweave.sources import universe
+from sigweave.streaming import match as streaming
 from sigweave.streaming.match import stream_counts, stream_hits
 
 REFS = {0: [("0", "CAGGCTACAAA"), ("1", "GAGACTGAACT")], 1: [("3", "CTTAGCTGAGG"), ("4", "CAGGCTACAAC")]}
@@ -306,3 +308,126 @@ def test_repeats_and_uniques_add_up(spark):
     found = kmers.kmers(rows, 4)
     s = kmers.spectrum(found).first()
     assert s.f0 == index.unique_kmers(found, ["ref_id"]).count() + s.repeats and s.f1 == 40 * 57
+
+
+def test_solid_stream_in_any_order(spark, tmp_path):
+    """Batches that come out of order, a restart between them, and the same rows as all reads at once."""
+    r = random.Random(5)
+    rows = [(0, i, f"r{i}", "".join(r.choice(["AGACTGAACT", "AGTTCAGTCT", "CTCAGCTAAG", "GG"]) for _ in range(3))) for i in range(40)]
+    columns = ["ref_id", "kmer", "file_idx", "read_idx", "read_name", "pos"]
+    solid = lambda some: sorted(tuple(x) for x in query.drop_weak(query.match(reads(spark, some), sketch(spark), 10)).select(columns).collect())
+    source, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    order = list(range(40))
+    r.shuffle(order)
+    schema = "file_idx int, read_idx long, read_name string, seq string"
+    for part in range(0, 40, 10):  # each round is a stream of its own that goes on from the checkpoint
+        reads(spark, [rows[i] for i in order[part : part + 10]]).coalesce(1).write.mode("append").parquet(source)
+        stream = streaming.stream_solid_hits(spark.readStream.schema(schema).parquet(source), sketch(spark), 10)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(tuple(x) for x in spark.read.parquet(out).select(columns).collect()) == solid([rows[i] for i in order[: part + 10]])
+    assert solid(rows)
+
+
+def test_stream_report_merges_batches(spark, tmp_path):
+    rows = [(0, i, f"r{i % 900}", "AGACTGAACT" if i % 3 else "CTCAGCTAAG") for i in range(2000)]
+    for part in range(4):
+        reads(spark, rows[part::4]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("file_idx int, read_idx long, read_name string, seq string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streaming.stream_report(stream_hits(stream, sketch(spark), 10), f"{tmp_path}/sums", f"{tmp_path}/at")
+    got = {x.ref: (x.abundance, x["count"], x.approx_reads) for x in streaming.report_so_far(sketch(spark), f"{tmp_path}/sums").collect()}
+    exact = query.match(reads(spark, rows), sketch(spark), 10)
+    want = {x.ref: (x.abundance, x["count"]) for x in query.report(exact, sketch(spark)).collect()}
+    distinct = {f"ref{x.ref_id}": x.reads for x in query.hit_counts(exact).collect()}
+    assert {k: v[:2] for k, v in got.items()} == want and all(abs(v[2] - distinct[k]) <= 0.04 * distinct[k] for k, v in got.items())
+    assert {x.ref for x in streaming.report_so_far(sketch(spark), f"{tmp_path}/sums", hit_cutoff=1000).collect()} == {"ref0"}
+
+
+def test_sketch_lines_in_order(spark, tmp_path):
+    """The larger file comes later by name; k-mers and names of several lines; an empty sketch."""
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "part-0.tsv").write_text("AGACTGAACT\t5\told\t9\tc\t1\nAGACTGAACT\t2\tb\t9\tc\t1\n")
+    (tmp_path / "s" / "part-1.tsv").write_text("".join(f"AGACTGAAC{x}\t2\tb\t9\tc\t1\n" for x in "ACGT") * 50 + "CTCAGCTAAG\t5\tnew\t9\tc\t1\n")
+    table = files.read_sketch(spark, str(tmp_path / "s"))
+    assert {x.kmer: x.ref_id for x in query.signatures(table, "line_no").collect()}["AGACTGAACT"] == 5
+    assert {x.ref_id: x.ref_name for x in query.reference_names(table).collect()} == {5: "new", 2: "b"}
+    hits = query.match(reads(spark, READS), table, 10, order_col="line_no")
+    assert [tuple(x) for x in query.report(hits, table, hit_cutoff=1, read_cutoff=0).collect()] == [("new", 1.0, 3)]
+    assert [tuple(x) for x in query.signature_log(hits, table).collect()] == [("new", 3, "AGACTGAACT", 3)]
+    (tmp_path / "r.fq").write_text("@a\nAGACTGAACT\n+\nIIIIIIIIII\n")
+    out = programs.query(spark, [str(tmp_path / "r.fq")], sketch(spark, []))
+    assert out["report"].count() == 0 and out["log"].count() == 0 and out["metrics"].first().k == 81
+    (tmp_path / "list").mkdir()
+    (tmp_path / "list" / "part-0").write_text("a\n\n")
+    (tmp_path / "list" / "part-1").write_text("".join(f"b{i}\n" for i in range(500)))
+    assert files.path_list(spark, str(tmp_path / "list")) == ["a", *(f"b{i}" for i in range(500))]
+
+
+def test_universe(spark, tmp_path):
+    """Extension counts only what is new, equals a count of all, and leaves older generations readable."""
+    paths = [fasta(tmp_path / f"ref_{r}.fa", "".join(f">{c}\n{s}\n" for c, s in cs)) for r, cs in REFS.items()]
+    store = str(tmp_path / "universe")
+    one = universe.create(spark, store, paths[:1], 10, buckets=3)
+    assert (one.spectrum().first().f1, one.unique().count()) == (4, 4)
+    (tmp_path / "ref_0.fa").rename(tmp_path / "gone.fa")  # what is kept is not read again
+    two = universe.opened(spark, store).extend(paths)
+    assert two.generation == 1 and {(x.ref_id, x.kmer, x.pos, x.contig) for x in two.unique().collect()} == UNIQUE
+    s = universe.opened(spark, store).spectrum().first()
+    assert (s.f1, s.f0, s.repeats, s.weak) == (8, 7, 1, 6) and [(x.ref_id, x.ref_name, x.uniq_count) for x in two.counts().orderBy("ref_id").collect()] == [(0, "ref_0", 3), (1, "ref_1", 3)]
+    assert universe.opened(spark, store).extend(paths).generation == 1 and one.unique().count() == 4
+    plan = one.kmers.join(spark.range(3).selectExpr("string(id) AS kmer", "id AS x").hint("merge"), "kmer", "full")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the kept side is bucketed
+    with pytest.raises(ValueError):
+        programs.index(spark, paths, k=9, store=store)
+    assert not universe.exists(spark, str(tmp_path / "none"))
+
+
+def test_sketch_of_candidates(spark, tmp_path):
+    """Equal base names, a reference without candidates, and a sketch from files that equals the direct one."""
+    (tmp_path / "x").mkdir()
+    paths = [fasta(d / "same.fa", "".join(f">{c}\n{s}\n" for c, s in cs)) for d, cs in zip((tmp_path, tmp_path / "x"), REFS.values())] + [fasta(tmp_path / "none.fa", ">short\nACG\n")]
+    out = {n: str(tmp_path / n) for n in ("sketch", "dir", "stat")}
+    programs.main(["index", *paths, "-k", "10", "-c", "2", "-o", out["sketch"], "-f", out["dir"], "-r", out["stat"]])
+    counts = files.read_counts(spark, out["stat"])
+    assert {(x.ref_id, x.uniq_count) for x in counts.collect()} == {(0, 3), (1, 3), (2, 0)} and all((tmp_path / x.path).is_dir() for x in counts.collect())
+    assert {(x.ref_id, x.kmer, x.pos, x.contig) for x in files.read_candidates(spark, counts).collect()} == UNIQUE
+    direct = {tuple(x)[:6] for x in files.read_sketch(spark, out["sketch"]).collect()}
+    assert {tuple(x) for x in programs.sketch_of_candidates(spark, out["stat"], c=2).collect()} == direct and len(direct) == 4
+
+
+@pytest.mark.parametrize("bits", [12, 20])
+def test_estimated_spectrum(spark, bits):
+    r = random.Random(bits)
+    pool = ["".join(r.choice("ACGT") for _ in range(120)) for _ in range(300)]
+    rows = spark.createDataFrame([(pool[i % 300] if i < 420 else "".join(r.choice("ACGTN") for _ in range(200)),) for i in range(700)] + [(None,), ("",)], "seq string")
+    exact = kmers.spectrum(kmers.kmers(rows, 13, keep=[])).first()
+    got = kmers.estimated_spectrum(rows, 13, bits=bits).first()
+    slack = 0.15 if bits == 12 else 0.01
+    assert got.f1 == exact.f1 and all(abs(got[c] - exact[c]) <= slack * exact.f0 for c in ("f0", "repeats", "weak"))
+    assert tuple(kmers.estimated_spectrum(rows.where("seq = ''"), 13).first()) == (0, 0, 0, 0)
+    wide = kmers.estimated_spectrum(rows, 40).first()
+    assert abs(wide.f0 - kmers.spectrum(kmers.kmers(rows, 40, keep=[])).first().f0) <= 0.01 * wide.f0
+
+
+def test_similarity_of_many_references(spark):
+    """K-mers that all hold, that few hold, and names that are text; with blocks of a few rows."""
+    r = random.Random(8)
+    common = "".join(r.choice("ACGT") for _ in range(40))
+    rows = [(f"r{i:03}", common + "".join(r.choice("ACGT") for _ in range(r.randrange(0, 60)))) for i in range(60)]
+    mine, other = (spark.createDataFrame(rows[a:b], "ref string, seq string") for a, b in ((0, 40), (20, 60)))
+    for f, p in ((mine, mine), (other, mine)):
+        fo, po = kmers.kmers(f, 7), kmers.kmers(p, 7)
+        fo = po if f is p else fo
+        got = {(x.ref1, x.ref2): (x.uniq_ref1, x.all_ref1) for x in compare.similarity(fo, po, f.select("ref"), p.select("ref"), block=50).collect()}
+        held = {n: [k for _, k in brute_kmers(s, 7)] for n, s in rows}
+        names = [[x.ref for x in d.collect()] for d in (p, f)]
+        assert got == {(a, b): (sum(k not in set(held[b]) for k in held[a]), len(held[a])) for a in names[0] for b in names[1]}
+    empty = spark.createDataFrame([], "ref string, kmer string")
+    assert [tuple(x)[:4] for x in compare.similarity(empty, empty, mine.limit(1).select("ref"), mine.limit(1).select("ref")).collect()] == [("r000", "r000", 0, 0)]
+
+
+def test_table_function(spark):
+    kmers.register(spark)
+    rows = [(i, s) for i, s in enumerate(["ACGTTGCA", "acgtn", None, "", "ACG", "TTTTTTTT"])]
+    spark.createDataFrame(rows, "id int, seq string").createOrReplaceTempView("some_reads")
+    got = spark.sql("SELECT id, pos, kmer FROM some_reads, LATERAL kmers(seq, 5)").collect()
+    assert sorted(tuple(x) for x in got) == sorted((i, *x) for i, s in rows for x in brute_kmers(s or "", 5))
