@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigweave import schemas
 from sigweave.functions.seq import base_id
@@ -27,6 +28,7 @@ BROADCAST_FILES = 200_000
 #: Rows and letters of an Arrow batch, about.
 BATCH_ROWS, BATCH_LETTERS = 10_000, 1 << 23
 
+_OPEN_COST = "spark.sql.files.openCostInBytes"
 _FASTA = re.compile(r"\.(fa|fasta|fas|fna|ffn|frn|faa|mpfa)(\.\w+)?$", re.I)
 _WHOLE = re.compile(r"\.(xz|zip|bz)$", re.I)
 
@@ -64,22 +66,29 @@ def _plain(path: Column | str) -> Column:
 def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tuple[DataFrame, list[str], int]:
     """files with _file, the path that Spark gives each file; all paths; and the size of the largest file.
 
-    files: rows with a path of a file, or of a folder with files. Sizes come from listing; contents are not read.
+    files: rows with a path of a file, or of a folder with files. Sizes come from listing; contents are not read. The
+    driver holds a row for each file, as it does for any listing.
     """
-    paths = sorted({r[column] for r in files.select(column).collect()})
+    rows = files.collect()
+    paths = sorted({r[column] for r in rows})
     if not paths:
         return files.withColumn("_file", F.lit("")), paths, 0
-    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
-    full = _plain("path")
-    bare = F.regexp_replace(full, "^[A-Za-z0-9+.-]+://[^/]*", "")
-    names = F.array_distinct(F.array(full, bare, *(F.regexp_replace(x, "/[^/]*$", "") for x in (full, bare))))
-    known = listed.select(full.alias("_file"), "length", F.explode(names).alias("_key"))
-    asked = files.withColumn("_key", F.regexp_replace(_plain(F.replace(F.col(column), F.lit("%"), F.lit("%25"))), "(?<=.)/+$", ""))
-    found = asked.join(known, "_key").drop("_key").dropDuplicates([*files.columns, "_file"])
-    found = stored(found, "files")
-    seen = found.agg(F.count("*").alias("n"), F.max("length").alias("most")).first()
-    found = found.drop("length")
-    return F.broadcast(found) if seen["n"] <= BROADCAST_FILES else found, paths, seen["most"] or 0
+    cost = spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, "0")  # only sizes are read: many small files need not be a task each
+    try:
+        listed = spark.read.format("binaryFile").load(paths).select(_plain("path").alias("file"), "length").collect()
+    finally:
+        spark.conf.set(_OPEN_COST, cost)
+    by_name: dict[str, set[str]] = {}
+    for r in listed:
+        for full in {r["file"], re.sub(r"^[A-Za-z0-9+.-]+://[^/]*", "", r["file"])}:
+            for name in (full, full.rpartition("/")[0]):
+                by_name.setdefault(name, set()).add(r["file"])
+    asked = lambda path: re.sub(r"^file:/+", "/", path).rstrip("/") or "/"
+    found = [(*r, f) for r in rows for f in sorted(by_name.get(asked(r[column]), ()))]
+    schema = T.StructType([*files.schema.fields, T.StructField("_file", T.StringType())])
+    placed = spark.createDataFrame(found, schema)
+    return F.broadcast(placed) if len(found) <= BROADCAST_FILES else placed, paths, max((r["length"] for r in listed), default=0)
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -116,17 +125,25 @@ def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
 
-def read_fasta(spark: SparkSession, refs: DataFrame, *, sequences: bool = True) -> DataFrame:
+class Listed:
+    """References whose files are listed, once for several reads of them."""
+
+    def __init__(self, spark: SparkSession, refs: DataFrame):
+        self.placed, self.paths, self.largest = _placed(spark, refs.select("ref_id", "ref_name", "path"))
+
+
+def read_fasta(spark: SparkSession, refs: DataFrame | Listed, *, sequences: bool = True) -> DataFrame:
     """(ref_id, ref_name, record_idx, contig, seq) of FASTA files.
 
     The first line of a file is a header whatever it begins with. A record ends at a line that
     begins with `>`; its lines are joined without trimming. A label is the header without its
     first character, spaces as underscores; an empty label is that of the record before.
     Files are split by records, so one large file is read by many tasks; such a file is read once
-    before, for what its splits hold. refs: ref_id, ref_name, path (a file or a folder). sequences:
+    before, for what its splits hold. refs: ref_id, ref_name, path (a file or a folder), or these listed. sequences:
     without them seq is null, for when labels are asked for.
     """
-    placed, paths, largest = _placed(spark, refs.select("ref_id", "ref_name", "path"))
+    refs = refs if isinstance(refs, Listed) else Listed(spark, refs)
+    placed, paths, largest = refs.placed, refs.paths, refs.largest
     pieces = _pieces(spark, paths, ">")
     names, kinds = ["_file", "_start", "record_idx", "contig", "seq"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 

@@ -79,8 +79,9 @@ def _added(old: Universe | None, spark: SparkSession, path: str, paths: list[str
     at = f"{path}/{data}"
     base = old.refs.agg(F.coalesce(F.max("ref_id") + 1, F.lit(0))).first()[0] if old else 0
     refs = files.references(spark, paths).withColumn("ref_id", (F.col("ref_id") + base).cast("int"))
-    labels = files.read_fasta(spark, refs, sequences=False).select("ref_id", "record_idx", "contig")
-    found = kmers(files.read_fasta(spark, refs), k, keep=["ref_id", "record_idx"])
+    listed = files.Listed(spark, refs)
+    labels = files.read_fasta(spark, listed, sequences=False).select("ref_id", "record_idx", "contig")
+    found = kmers(files.read_fasta(spark, listed), k, keep=["ref_id", "record_idx"])
     # Numbers ride in a hash aggregate; of a k-mer that occurs once the smallest place is the only one.
     new = found.groupBy("kmer").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("ref_id", "record_idx", "pos")))
     if old:
