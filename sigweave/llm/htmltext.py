@@ -5,8 +5,8 @@ vectors (hashed tag-path and class words, hashed words of the text, a few number
 bidirectional LSTM in numpy reads the page's blocks as one sequence, so that every block is
 labelled with the whole page as context. Main blocks are joined in page order.
 
-The labeller is trained here, from pages that a seeded generator lays out in many ways and
-whose blocks are known to be main text or not. Character references are decoded, white
+The labeller is trained by this module's script, from pages that a seeded generator lays out in many ways and
+whose blocks are known to be main text or not; its weights are stored beside it. Character references are decoded, white
 space becomes one space. Null, empty and markup-only pages give an empty text. Markup that
 is cut off or badly nested is read as far as it goes. Pages that repeat are read each.
 """
@@ -16,7 +16,10 @@ from __future__ import annotations
 import collections
 import functools
 import html
+import io
+import os
 import pickle
+import pkgutil
 import re
 import zlib
 from collections.abc import Iterator
@@ -394,6 +397,29 @@ def _laid_out(r: np.random.Generator) -> str:
             return f"<pre>{main(1, 30)}</pre>"
         return boiler(pick([_ADVERT, _SIDE, _NOTICE])) if k < 0.97 else form() if k < 0.985 else hidden()
 
+    def bare() -> str:
+        """A page of little but its text, some paragraphs in one element or in none."""
+        text = (f"<h1>{main(1, 14)}</h1>" if r.random() < 0.4 else "") + "".join(pick(["<p>%s</p>", "<p>%s</p>", "<div>%s</div>"]) % main() for _ in range(int(r.integers(1, 7))))
+        before = _element(pick(_NAV), links() if r.random() < 0.5 else " ".join(link() for _ in range(int(r.integers(2, 6))))) if r.random() < 0.3 else ""
+        after = _element(pick(_FOOTER), f"{_OTHER_MARK}© {words(1, 12)}") if r.random() < 0.3 else ""
+        return before + (_element(pick(_CONTENT), text) if r.random() < 0.85 else text) + after
+
+    def cells() -> str:
+        """A page laid out by a table: a column of links, one of text, and rows above and below."""
+        between = pick([" ", "<br>", " | ", "<br><br>", ""])
+        menu = links() if r.random() < 0.25 else "".join(f"<p>{link()}</p>" for _ in range(int(r.integers(2, 8)))) if r.random() < 0.25 else between.join(link() for _ in range(int(r.integers(2, 8))))
+        text = (f"<h1>{main(1, 14)}</h1>" if r.random() < 0.7 else "") + ("".join(inside() for _ in range(int(r.integers(1, 12)))) if r.random() < 0.8 else "<br><br>".join([main(5, 120)] + [words(5, 120) for _ in range(int(r.integers(0, 4)))]))
+        columns = [f"<td>{menu}</td>", f"<td>{text}</td>"] + ([f"<td>{boiler(pick([_ADVERT, _SIDE]))}</td>"] if r.random() < 0.3 else [])
+        if r.random() < 0.2:
+            columns[0], columns[1] = columns[1], columns[0]
+        above = f"<tr><td colspan=2>{other(1, 6)}</td></tr>" if r.random() < 0.5 else f"<tr><td>{between.join(link() for _ in range(int(r.integers(2, 6))))}</td></tr>" if r.random() < 0.3 else ""
+        below = f"<tr><td colspan=2>{_OTHER_MARK}© {words(1, 12)}</td></tr>" if r.random() < 0.5 else ""
+        return f"<table width=100%>{above}<tr>{''.join(columns)}</tr>{below}</table>"
+
+    shape = r.random()
+    if shape < 0.32:
+        title = f"<title>{other(1, 14)}</title>" if r.random() < 0.6 else ""
+        return f"<html><head>{title}</head><body>{bare() if shape < 0.22 else cells()}</body></html>"
     body = []
     if r.random() < 0.4:
         body.append(_element(pick(_HEADER), (f"<h1>{other(1, 5)}</h1>" if r.random() < 0.4 else some([other(1, 8)])) + (links() if r.random() < 0.4 else "")))
@@ -438,12 +464,24 @@ def fitted(pages: int, epochs: int, seed: int) -> list[np.ndarray]:
     return m.w
 
 
+#: The parameters of the stored weights: generated pages, epochs, seed.
+STORED = (3400, 10, 11)
+_FILE = "labeller.npz"
 _trained: dict[tuple[int, int, int], list[np.ndarray]] = {}
 
 
-def train(spark: SparkSession, pages: int = 2400, epochs: int = 9, seed: int = 11) -> Labeller:
-    """A labeller trained by one task on an executor; kept for the life of the driver."""
+def stored() -> list[np.ndarray]:
+    """The weights that `python -m sigweave.llm.htmltext` has made: `fitted(*STORED)`."""
+    with np.load(io.BytesIO(pkgutil.get_data("sigweave.llm", _FILE))) as f:
+        return [f[f"w{i}"] for i in range(len(f.files))]
+
+
+def train(spark: SparkSession, pages: int = STORED[0], epochs: int = STORED[1], seed: int = STORED[2]) -> Labeller:
+    """A labeller: with the stored weights if the parameters are theirs, else trained by one task on an executor; kept for the life of the driver."""
     key, m = (pages, epochs, seed), Labeller(seed)
+    if key == STORED:
+        m.w = stored()
+        return m
     if key not in _trained:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,3 +523,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text",
         return run
 
     return storage.map_columns(pages, [(text_col, T.StringType()), (chars_col, T.LongType())], start)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(os.path.join(os.path.dirname(os.path.abspath(__file__)), _FILE), **{f"w{i}": w for i, w in enumerate(fitted(*STORED))})

@@ -808,13 +808,14 @@ def test_html_labeller(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
-def test_html_truth(spark):
-    """The text of every page of the driver's smallest table is that of its article."""
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_html_truth(spark, size):
+    """The text of every page of the driver's tables is that of its article."""
     import os
 
-    if not os.path.isdir("/root/testdata/sf0.001"):
+    if not os.path.isdir(f"/root/testdata/{size}"):
         pytest.skip("no test tables here")
-    pages = storage.table(spark, "/root/testdata/sf0.001", "pages")
+    pages = storage.table(spark, f"/root/testdata/{size}", "pages")
     got = {x.page_id: x.text for x in htmltext.extract(pages).collect()}
     for x in pages.collect():
         inside = re.search(r"<article>(.*?)</article>", x.html, re.S)[1]
@@ -822,6 +823,32 @@ def test_html_truth(spark):
         assert got[x.page_id].split() == want.split()
 
 
+_ONE = "The committee met on Tuesday to discuss the new proposals and agreed that more work was needed before the vote."
+_TWO = "Several members asked for a second reading, which the chair promised to arrange within the month for all parties."
+_LINKS = ["<a href='/'>Home</a>", "<a href='/p'>Products</a>", "<a href='/c'>Contact</a>"]
+LAYOUTS = {
+    "nameless": (f"<div class='x9 q7'><p>{_ONE}</p><p>{_TWO}</p></div>", f"{_ONE} {_TWO}"),
+    "nameless with a menu": (f"<div class='a1'>{' '.join(_LINKS)}</div><div class='x9 q7'><h1>A title</h1><p>{_ONE}</p><p>{_TWO}</p></div><div class='zz'>&copy; 2020 Site</div>", f"A title {_ONE} {_TWO}"),
+    "no element": (f"<p>{_ONE}</p><p>{_TWO}</p>", f"{_ONE} {_TWO}"),
+    "link column": (f"<table><tr><td>{' '.join(_LINKS)}</td><td><h1>Title</h1><p>{_ONE}</p><p>{_TWO}</p></td></tr></table>", f"Title {_ONE} {_TWO}"),
+    "link column by lines": (f"<table><tr><td>{'<br>'.join(_LINKS)}</td><td>{_ONE}<br><br>{_TWO}</td></tr></table>", f"{_ONE} {_TWO}"),
+    "rows above and below": (f"<table width=100%><tr><td colspan=2>My Site</td></tr><tr><td><ul><li>{'<li>'.join(_LINKS)}</ul></td><td><p>{_ONE}</p><p>{_TWO}</p></td></tr><tr><td colspan=2>&copy; 2003 Me</td></tr></table>", f"{_ONE} {_TWO}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_html_of_old_pages(spark, name):
+    page, want = LAYOUTS[name]
+    assert htmltext.main_text(htmltext.train(spark), [f"<html><body>{page}</body></html>"]) == [want]
+
+
+def test_html_weights_are_those_of_the_script():
+    """The stored weights have the shapes of the module's parameters, and a small training gives the same twice."""
+    assert [w.shape for w in htmltext.stored()] == [w.shape for w in htmltext.Labeller(0).w]
+    one, two = (htmltext.fitted(20, 1, 3) for _ in range(2))
+    assert all((a == b).all() for a, b in zip(one, two))
+
+
 def test_html_without_known_names(spark):
     m, r = htmltext.train(spark), random.Random(3)
     right = total = 0
