@@ -477,7 +477,9 @@ def brute_search(rows, asked, k):
     return out
 
 
-def test_search(spark, monkeypatch):
+@pytest.mark.parametrize("at_once", [1, 20_000, 1 << 30])
+def test_search(spark, monkeypatch, at_once):
+    monkeypatch.setattr(bm25, "ROUND_BYTES", at_once)  # a round for each block, for some, for all
     monkeypatch.setattr(bm25, "SHARD_BYTES", 6000)
     monkeypatch.setattr(bm25, "QUERY_BYTES", 4000)
     r = random.Random(12)
