@@ -27,18 +27,49 @@ def all_kmers(df, k, start):
     return sorted((x.record_idx, x.contig, x.at, x.kmer) for x in kmers.kmers(df, k, keep=["record_idx", "contig", *start]).select("record_idx", "contig", (F.col("pos") + (F.col("start") if start else F.lit(0))).alias("at"), "kmer").collect())
 
 
-@pytest.mark.parametrize("text", [ODD_FASTA, "no mark\nACGTACGTAC", ">one line\n" + "ACGGT" * 3000, ">a\nACGTA\n>b", "", "\n\n>a\nACGTACGT\n"])
-@pytest.mark.parametrize("most", [7, 64, 1 << 20])
-def test_contigs_in_ranges(spark, tmp_path, text, most, monkeypatch):
+TEXTS = [ODD_FASTA, "no mark\nACGTACGTAC", ">one line\n" + "ACGGT" * 40, ">a\nACGTA\n>b", "", "\n\n>a\nACGTACGT\n", ">a\n\n\n>\nACG\n\nT\n>b"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_stretches_of_all_ranges(tmp_path, text):
+    """Headers and letters of the ranges, put together, are those of the file, whatever the ranges' size."""
+    (tmp_path / "a.fa").write_bytes(text.encode())
+    size, want = len(text.encode()), []
+    for i, line in enumerate(text.encode().split(b"\n")[: None if text[-1:] != "\n" else -1] if text else []):
+        want.append((True, line) if not i or line[:1] == b">" else (False, line))
+    def merged(found):
+        out = []
+        for header, x in found:
+            if header or not out or out[-1][0]:
+                out.append((header, x))
+            else:
+                out[-1] = (False, out[-1][1] + x)
+        return [o for o in out if o[0] or o[1]]
+
+    with open(tmp_path / "a.fa", "rb") as f:
+        for most in range(1, 45):
+            got = [(h, x) for at in range(0, size, most) for h, _, x in sequences._stretches(f, sequences.Range(0, "", at, min(size, at + most), size))]
+            assert merged(got) == merged(want), most
+
+
+@pytest.mark.parametrize("text,most", [(ODD_FASTA, 40), (">one line\n" + "ACGGT" * 3000, 997), ("no mark\nACGTACGTAC", 7), ("", 10)])
+def test_contigs_in_ranges(spark, tmp_path, text, most):
     (tmp_path / "a.fa").write_text(text, newline="")
-    if most == 7 and len(text) > 1000:
-        most = 997
     want = all_kmers(files.read_fasta(spark, files.references(spark, [str(tmp_path / "a.fa")])), 5, [])
     got = sequences.contigs(spark, str(tmp_path / "a.fa"), k=5, range_bytes=most)
     assert all_kmers(got, 5, ["start"]) == want
 
 
-@pytest.mark.parametrize("most,k", [(501, 11), (3000, 31), (64, 70)])
+def test_joined_files(spark, tmp_path):
+    """A record that fills several files of a folder, of which one is empty and one ends within a line."""
+    seq = dna(random.Random(2), 900)
+    for name, text in (("part-0", ">all of it\n" + seq[:100] + "\n"), ("part-1", ""), ("part-2", seq[100:333]), ("part-3", seq[333:] + "\n>b\nACGTACGTA\n"), ("_SUCCESS", "no")):
+        (tmp_path / name).write_text(text)
+    got = all_kmers(sequences.contigs(spark, str(tmp_path), k=11, range_bytes=150, joined=True), 11, ["start"])
+    assert [x[2] for x in got] == list(range(890)) and {x[1] for x in got} == {"all_of_it"}
+
+
+@pytest.mark.parametrize("most,k", [(3000, 31), (2000, 70)])
 def test_random_contigs(spark, tmp_path, most, k):
     r = random.Random(most)
     for name in ("b.fa", "a.fa"):
@@ -76,10 +107,9 @@ def fastq(r, n, wrap):
     return "".join(out), want
 
 
-@pytest.mark.parametrize("wrap", [False, True])
-@pytest.mark.parametrize("most", [53, 500, 4000])
+@pytest.mark.parametrize("wrap,most", [(False, 4000), (True, 500), (True, 4000)])
 def test_reads_in_ranges(spark, tmp_path, wrap, most):
-    text, want = fastq(random.Random(most), 60 if most < 100 else 250, wrap)
+    text, want = fastq(random.Random(most), 60 if most < 1000 else 250, wrap)
     (tmp_path / "a.fq").write_text(text)
     got = sequences.reads(spark, str(tmp_path / "a.fq"), range_bytes=most).orderBy("read_idx").collect()
     assert [(x.read_name, x.seq) for x in got] == want and all(text[x.read_idx] == "@" for x in got)
@@ -87,12 +117,12 @@ def test_reads_in_ranges(spark, tmp_path, wrap, most):
 
 def test_wrong_guesses_are_put_right(spark, tmp_path):
     """Quality that reads as records of its own, over many ranges."""
-    fake = "@f\nAC\n+\nII\n" * 60
+    fake = "@f\nAC\n+\nII\n" * 30
     seq = "\n".join("A" * len(x) for x in fake.splitlines())
     text = f"@one\n{seq}\n+\n{fake}@two\nACGT\n+\n@@@@\n" * 3
     (tmp_path / "a.fq").write_text(text)
     want = [tuple(x)[1:] for x in files.read_reads(spark, [str(tmp_path / "a.fq")]).orderBy("read_idx").select("file_idx", "read_name", "seq").collect()]
-    got = sequences.reads(spark, str(tmp_path / "a.fq"), range_bytes=100).orderBy("read_idx").collect()
+    got = sequences.reads(spark, str(tmp_path / "a.fq"), range_bytes=150).orderBy("read_idx").collect()
     assert [x.read_name for x in got] == ["one", "two"] * 3 and [(x.read_name, x.seq) for x in got] == want
 
 
