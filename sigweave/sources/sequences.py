@@ -35,8 +35,8 @@ from pyspark.sql.types import StructType
 RANGE_BYTES, PIECE_LETTERS = 32 << 20, 1 << 20
 #: Bytes that are looked back for a header's beginning: headers are shorter.
 MOST_HEADER = 1 << 16
-#: Records that must read as such for a guess of where one begins.
-GUESSED = 4
+#: Records that must read as such for a guess of where one begins, and bytes read for it at a time.
+GUESSED, GUESS_BLOCK = 4, 1 << 14
 _BLOCK = 1 << 20
 _OTHER = bytes(range(128)) + b"N" * 128  # letters beyond ASCII are one base that is none
 
@@ -129,17 +129,12 @@ def ranges(path: str, most: int, joined: bool = False) -> list[Range]:
 
 
 class Text:
-    """A file's bytes from a place on, a block at a time."""
+    """A file's lines from a place on, read a block at a time."""
 
-    def __init__(self, f, at: int):
-        self.f, self.at, self.held = f, at, b""
+    def __init__(self, f, at: int, block: int = _BLOCK):
+        self.f, self.at, self.block, self.held, self.pos = f, at, block, b"", 0
         f.seek(at)
 
-    def more(self, n: int = _BLOCK) -> bool:
-        block = self.f.read(n)
-        self.held += block
-        return bool(block)
-
     def placed(self) -> tuple[int, bytes] | None:
         """The next line and its place."""
         at = self.at
@@ -148,14 +143,16 @@ class Text:
 
     def line(self) -> bytes | None:
         """The next line with its end; None at the file's end."""
-        seen = 0
-        while (stop := self.held.find(b"\n", seen)) < 0:
-            seen = len(self.held)
-            if not self.more():
-                out, self.held = self.held, b""
+        parts = []
+        while (stop := self.held.find(b"\n", self.pos)) < 0:
+            parts.append(self.held[self.pos :])
+            self.held, self.pos = self.f.read(self.block), 0
+            if not self.held:
+                out = b"".join(parts)
                 self.at += len(out)
                 return out or None
-        out, self.held = self.held[: stop + 1], self.held[stop + 1 :]
+        out = b"".join([*parts, self.held[self.pos : stop + 1]])
+        self.pos = stop + 1
         self.at += len(out)
         return out
 
@@ -362,15 +359,14 @@ def _guess(f, r: Range) -> int | None:
     """Where the first record of a range probably begins; None if none seems to."""
     if not r.start:
         return 0
-    text = Text(f, r.start - 1)
+    text = Text(f, r.start - 1, GUESS_BLOCK)
     text.line()  # the rest of the line before
-    at = text.at
-    while at < r.end:
-        line = Text(f, at).line()
+    while text.at < r.end:
+        at, line = text.at, text.line()
         if line is None:
             return None
         if line[:1] in (b">", b"@"):
-            tried = Text(f, at)
+            tried = Text(f, at, GUESS_BLOCK)
             after, good = tried.placed(), True
             for _ in range(GUESSED):
                 got = _next_record(tried, after)
@@ -382,7 +378,7 @@ def _guess(f, r: Range) -> int | None:
                     break
             if good:
                 return at
-        at += len(line)
+            f.seek(text.at - text.pos + len(text.held))  # where the lines go on
     return None
 
 

@@ -62,8 +62,8 @@ class Universe:
 
 def _table(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     """The k-mers of a generation, with their buckets known to Spark in any session."""
-    name = f"universe_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {name} ({_KMERS}) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS LOCATION '{path}'")
+    name, place = f"universe_{uuid.uuid4().hex}", path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({_KMERS}) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS LOCATION '{place}'")
     return spark.table(name)
 
 
