@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Window starts that are cut at a time.
 PIECE = 1 << 16
@@ -95,11 +96,37 @@ def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[offs[0] : offs[-1]], offs - offs[0]
 
 
+class Sample:
+    """How often each k-mer occurs whose hash ends in `level` zeros; the level rises so that at most `most` k-mers are held."""
+
+    def __init__(self, most: int):
+        self.most, self.level, self.all = most, 0, 0
+        self.hashes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._new: list[np.ndarray] = []
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.all += len(hashes)
+        self._new.append(hashes[hashes & ((1 << self.level) - 1) == 0])
+        if sum(map(len, self._new)) >= self.most or len(self._new) >= 1000:
+            self.merge()
+
+    def merge(self) -> None:
+        """Count what was added since the last time."""
+        new = np.concatenate([np.zeros(0, np.int64), *self._new])
+        self._new = []
+        self.hashes, at = np.unique(np.concatenate([self.hashes, new]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, np.ones(len(new), np.int64)]), minlength=len(self.hashes)).astype(np.int64)
+        while len(self.hashes) > self.most:
+            self.level += 1
+            kept = self.hashes & ((1 << self.level) - 1) == 0
+            self.hashes, self.counts = self.hashes[kept], self.counts[kept]
+
+
 class Windows:
-    """Cuts the windows of string columns. among: a bitmap of hashes; windows outside it are left out. hashes: instead of windows."""
+    """Cuts the windows of string columns. among: a bitmap of hashes; windows outside it are left out, but told to the sample. hashes: instead of windows."""
 
-    def __init__(self, k: int, canonicalise: bool, packed: bool, among: np.ndarray | None, piece: int, hashes: bool = False):
-        self.k, self.canonicalise, self.packed, self.among, self.piece, self.hashes = k, canonicalise, packed, among, piece, hashes
+    def __init__(self, k: int, canonicalise: bool, packed: bool, among: np.ndarray | None, piece: int, hashes: bool = False, sample: Sample | None = None):
+        self.k, self.canonicalise, self.packed, self.among, self.piece, self.hashes, self.sample = k, canonicalise, packed, among, piece, hashes, sample
 
     def cut(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
         """(rows, places in them, windows), some at a time."""
@@ -121,7 +148,10 @@ class Windows:
                 other = _smaller(back, ahead)
                 ahead = [np.where(other, y, x) for x, y in zip(ahead, back, strict=True)]
             if self.among is not None:
-                bit = hashed([x[chosen] for x in ahead]) & (8 * len(self.among) - 1)
+                h = hashed([x[chosen] for x in ahead])
+                if self.sample is not None:
+                    self.sample.add(h)
+                bit = h & (8 * len(self.among) - 1)
                 chosen = chosen[(self.among[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
                 if not len(chosen):
                     continue
@@ -239,6 +269,50 @@ def estimated_spectrum(seqs: DataFrame, k: int, *, seq_col: str = "seq", bits: i
     return scaled.select("f1", "f0", (F.col("f0") - weak).alias("repeats"), weak.alias("weak"))
 
 
+#: K-mers of a task's sample at most: 24 bytes each in the table that `kmers_and_sample` gives, 3 MB a task.
+SAMPLE = 1 << 17
+
+
+def kmers_and_sample(seqs: DataFrame, k: int, *, keep: list[str], among, seq_col: str = "seq", most: int = SAMPLE) -> DataFrame:
+    """The rows of `kmers(among=...)`, and in the same pass a sample of all k-mers for `sampled_spectrum`.
+
+    Columns: keep, pos, kmer, hash, n, level. Rows with a kmer are k-mers; in those without one a task gives its sample, n
+    occurrences of the k-mer with this hash, and in one with hash -1 the number of all its k-mers. Those have no kept columns.
+    """
+    rows = seqs.select(*keep, F.col(seq_col).alias("_seq"))
+    told = [T.StructField("hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("level", T.IntegerType())]
+    fields = [*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]), T.StructField("pos", T.LongType()), T.StructField("kmer", T.StringType())]
+    schema = T.StructType([*fields, *told])
+    kinds, width = to_arrow_schema(schema), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sample(most)
+        cutter = Windows(k, True, False, np.frombuffer(among.value, np.uint8), PIECE, sample=sample)
+        for b in batches:
+            for row, pos, made in cutter.cut(b.column(width)):
+                at = pa.array(row)
+                kept = [b.column(i).take(at).cast(kinds.field(i).type) for i in range(width)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos), made, *(pa.nulls(len(row), f.type) for f in list(kinds)[width + 2 :])], schema=kinds)
+        sample.merge()
+        held = [np.append(sample.hashes, -1), np.append(sample.counts, sample.all), np.full(len(sample.hashes) + 1, sample.level, np.int32)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(held[0]), f.type) for f in list(kinds)[: width + 2]), *map(pa.array, held)], schema=kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
+def sampled_spectrum(sample: DataFrame) -> DataFrame:
+    """One row as `spectrum`'s from tasks' samples (hash, n, level): f1 exact; f0, repeats and weak estimated.
+
+    The highest level of any task is the sample's: the k-mers whose hash ends in so many zeros are known with all their occurrences, and stand for
+    2^level times as many. The relative standard error of f0 is about 1 / sqrt(sampled k-mers): at most 0.4 % with 2^17 a task, exact at level 0.
+    """
+    head = sample.agg(F.coalesce(F.max("level"), F.lit(0)).alias("_level"), F.coalesce(F.sum(F.when(F.col("hash") < 0, F.col("n"))), F.lit(0)).alias("f1"))
+    each = sample.where("hash >= 0").select("hash", "n").join(F.broadcast(head), F.expr("hash & (shiftleft(1L, _level) - 1) = 0")).groupBy("hash").agg(F.sum("n").alias("n"))
+    seen = each.agg(F.count("*").alias("_f0"), F.count(F.when(F.col("n") == 1, 1)).alias("_weak"))
+    rate = F.expr("shiftleft(1L, _level)")
+    return head.join(seen, F.lit(True)).select("f1", (F.col("_f0") * rate).alias("f0"), ((F.col("_f0") - F.col("_weak")) * rate).alias("repeats"), (F.col("_weak") * rate).alias("weak"))
+
+
 def register(spark: SparkSession, name: str = "kmers") -> None:
     """Make the k-mers a table function of SQL: `SELECT ... FROM reads, LATERAL kmers(seq, 21)` gives pos and kmer.
 

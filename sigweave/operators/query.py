@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigweave.operators.kmers import kmers, membership
+from sigweave.operators.kmers import kmers, kmers_and_sample, membership, sampled_spectrum
 from sigweave.sources.shared import stored
 
 #: Bytes of signatures up to which they are broadcast to the hits; above, candidates and signatures are shuffled.
@@ -24,6 +24,16 @@ def reference_names(refs: DataFrame) -> DataFrame:
     return refs.groupBy("ref_id").agg(last.alias("ref_name"))
 
 
+_READ = ["file_idx", "read_idx", "read_name"]
+
+
+def _measured(sketch: DataFrame, order_col: str | None, broadcast_bytes: int) -> tuple[DataFrame, int, DataFrame]:
+    """The signatures, computed once, their number, and how to join them."""
+    sig = stored(signatures(sketch, order_col), "signatures")
+    seen = sig.agg(F.count("*").alias("n"), F.sum(F.octet_length("kmer") + 40).alias("size")).first()
+    return sig, seen["n"], F.broadcast(sig) if (seen["size"] or 0) <= broadcast_bytes else sig
+
+
 def match(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row a hit: ref_id, kmer, file_idx, read_idx, read_name, pos.
 
@@ -31,10 +41,19 @@ def match(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None
     A bitmap of their hashes, of bounded size, goes to the reads, where nearly all other
     k-mers end before they become rows; what is left joins the signatures themselves.
     """
-    sig = stored(signatures(sketch, order_col), "signatures")
-    seen = sig.agg(F.count("*").alias("n"), F.sum(F.octet_length("kmer") + 40).alias("size")).first()
-    found = kmers(reads, k, keep=["file_idx", "read_idx", "read_name"], among=membership(sig, k, seen["n"])).join(F.broadcast(sig) if (seen["size"] or 0) <= broadcast_bytes else sig, "kmer")
-    return found.select("ref_id", "kmer", "file_idx", "read_idx", "read_name", "pos")
+    sig, n, joined = _measured(sketch, order_col, broadcast_bytes)
+    return kmers(reads, k, keep=_READ, among=membership(sig, k, n)).join(joined, "kmer").select("ref_id", "kmer", *_READ, "pos")
+
+
+def match_and_spectrum(reads: DataFrame, sketch: DataFrame, k: int, *, order_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The hits of `match`, and an estimate of the reads' spectrum (`kmers.sampled_spectrum`), from one scan of the reads.
+
+    The scan's few k-mers that pass the bitmap and its tasks' samples are one table in the shared folder, which both results read.
+    """
+    sig, n, joined = _measured(sketch, order_col, broadcast_bytes)
+    scanned = stored(kmers_and_sample(reads, k, keep=_READ, among=membership(sig, k, n)), "scan")
+    hits = scanned.where("kmer IS NOT NULL").join(joined, "kmer").select("ref_id", "kmer", *_READ, "pos")
+    return hits, sampled_spectrum(scanned.where("hash IS NOT NULL").select("hash", "n", "level"))
 
 
 def drop_weak(hits: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from sigweave.plans import programs
 from sigweave.plans.queries import _DOCS, _HITS, _REFS, _SCORED, _TOPC, _UNIQUE, K, _counts, _seq, _unique
 from sigweave.functions.complexity import THRESHOLD
 from sigweave.operators.index import build_sketch
-from sigweave.operators.kmers import kmers
+from sigweave.operators.kmers import kmers, spectrum
 from sigweave.operators.query import hit_counts, match, reference_names, signatures
 from sigweave.sources import files, sequences, sinks
 from sigweave.sources.shared import new_path
@@ -181,6 +181,16 @@ def query_program_metrics(spark: SparkSession, d: str) -> DataFrame:
     return programs.query(spark, [_read_file(spark, d)], _sketch_file(spark, d))["metrics"]
 
 
+def query_program_one_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and metrics of one scan of the reads: the numbers of all k-mers and hits, and whether the sampled numbers are within 2 % of f0 of the exact ones."""
+    path = _read_file(spark, d)
+    got = programs.query(spark, [path], _sketch_file(spark, d), estimate=True)
+    exact = spectrum(kmers(files.read_reads(spark, [path]), K, keep=[], packed=True))
+    near = lambda c: (F.abs(F.col(f"m.{c}") - F.col(f"x.{c}")) <= 0.02 * F.col("x.f0")).alias(f"{c}_within_2_percent")
+    both = got["metrics"].alias("m").join(exact.alias("x"), F.lit(True)).join(got["hits"].agg(F.count("*").alias("hits")), F.lit(True))
+    return both.select("k", "references", "sketch", "hits", F.col("m.f1").alias("f1"), near("f0"), near("repeats"), near("weak"))
+
+
 def compare_program(spark: SparkSession, d: str) -> DataFrame:
     """References against each other, from files to the similarity table, written with six digits and read again."""
     path, paths = new_path(spark, "similarity"), _reference_files(spark, d)
@@ -232,7 +242,7 @@ QUERIES = {
     for f in (
         fasta_source, fasta_source_of_documents, fastq_source, path_list_source, sketch_sink, candidate_sink, index_program, index_program_counts, query_program, query_program_log,
         query_program_metrics, compare_program, stream_hit_counts, stream_solid_hits, stream_report, long_contig_source, read_source, candidate_source, index_program_extended,
-        sketch_source_with_duplicates, query_program_pairs,
+        sketch_source_with_duplicates, query_program_pairs, query_program_one_scan,
     )
 }
 
@@ -254,6 +264,7 @@ ORACLES = {
     "query_program": f"WITH {_SKETCH_HITS}, {_counts('h', 0)}, a AS (SELECT ref_name AS ref, count / sum(count) OVER () AS abundance, count FROM c WHERE count >= 3 AND reads > 1) SELECT ref, {_SIX.format('abundance')} AS abundance, count FROM a WHERE abundance > 0.01",
     "query_program_log": f"WITH {_SKETCH_HITS}, {_counts('s', 0)} SELECT c.ref_name AS ref, reads AS total_reads, kmer AS signature, x.count FROM (SELECT ref_id, kmer, count(*) AS count FROM s GROUP BY ALL) x JOIN c ON c.ref_id = x.ref_id",
     "query_program_metrics": f'WITH {_SKETCH}, {_DOCS}, n AS (SELECT count(*) AS n FROM d GROUP BY kmer) SELECT {K}::INT AS k, (SELECT count(DISTINCT ref_id) FROM t) AS "references", (SELECT count(*) FROM t) AS sketch, sum(n)::BIGINT AS f1, count(*) AS f0, count(*) FILTER (n > 1) AS repeats, count(*) FILTER (n = 1) AS weak FROM n',
+    "query_program_one_scan": f'WITH {_SKETCH_HITS} SELECT {K}::INT AS k, (SELECT count(DISTINCT ref_id) FROM t) AS "references", (SELECT count(*) FROM t) AS sketch, (SELECT count(*) FROM h) AS hits, (SELECT count(*) FROM d) AS f1, true AS f0_within_2_percent, true AS repeats_within_2_percent, true AS weak_within_2_percent',
     "compare_program": f"""WITH {_REFS}, n AS (SELECT ref_name AS ref, kmer, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT 'item' || item_id AS ref FROM benchmark),
 t AS (SELECT ref, sum(n)::BIGINT AS n FROM n GROUP BY ref), m AS (SELECT a.ref AS ref1, b.ref AS ref2, sum(a.n)::BIGINT AS n FROM n a JOIN n b ON a.kmer = b.kmer GROUP BY ALL)
 SELECT a.ref AS ref1, b.ref AS ref2, coalesce(t.n, 0) - coalesce(m.n, 0) AS uniq_ref1, coalesce(t.n, 0) AS all_ref1, CASE WHEN t.n > 0 THEN {_SIX.format('coalesce(m.n, 0) / t.n')} ELSE 'nan'::DOUBLE END AS similarity

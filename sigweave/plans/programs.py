@@ -12,9 +12,9 @@ from sigweave.operators import compare as _compare
 from sigweave.operators import index as _index
 from sigweave.operators import query as _query
 from sigweave.functions.seq import base_id
-from sigweave.operators.kmers import estimated_spectrum, kmers, spectrum
+from sigweave.operators.kmers import kmers, spectrum
 from sigweave.sources import files, sinks, universe
-from sigweave.sources.shared import new_path
+from sigweave.sources.shared import new_path, stored
 
 #: Presets of the tools' options. The defaults in `main` are fixed values as well.
 INDEX_PRESETS = {"sensitive": 100, "very-sensitive": 1000}
@@ -46,20 +46,27 @@ def sketch_of_candidates(spark: SparkSession, stat: str, *, c: int = 100, entrop
     return _index.build_sketch(files.read_candidates(spark, counts), refs, c=c, threshold=entropy, seed=seed)
 
 
-def query(spark: SparkSession, reads: list[str], sketch: DataFrame, *, hit: int = 10, acutoff: float = 0.0, rcutoff: int = 2, solid: bool = False, estimate: bool = False) -> dict[str, DataFrame]:
+def query(spark: SparkSession, reads: list[str], sketch: DataFrame, *, hit: int = 10, acutoff: float = 0.0, rcutoff: int = 2, solid: bool = False, estimate: bool = False, keep: bool = False) -> dict[str, DataFrame]:
     """The report and the log of reads (r1, or r1 and r2) against a sketch, and metrics; k is the length of its first k-mer.
 
     metrics: k, references, sketch (signatures), f1, f0, repeats (solid k-mers) and weak of the reads; estimate:
-    the last three by `estimated_spectrum`, without a shuffle of all k-mers. An empty sketch has no hits, and the k of the
+    the last three from samples that the scan for hits takes along, so the reads are read once and their k-mers not shuffled.
+    keep: hits are stored first, for when several results are asked for; with estimate they always are. An empty sketch has no hits, and the k of the
     tools' default.
     """
     ordered = "line_no" in sketch.columns
     length = sketch.agg((F.min_by(F.length("kmer"), "line_no") if ordered else F.max(F.length("kmer"))).alias("k")).first()["k"]
     k = K if length is None else length
     rows = files.read_reads(spark, reads)
-    hits = _query.match(rows, sketch, k, order_col="line_no" if ordered else None)
+    order_col = "line_no" if ordered else None
+    if estimate:
+        hits, seen = _query.match_and_spectrum(rows, sketch, k, order_col=order_col)
+    else:
+        hits, seen = _query.match(rows, sketch, k, order_col=order_col), spectrum(kmers(rows, k, keep=[], packed=True))
+    if keep:
+        hits = stored(hits, "hits")
     size = sketch.agg(F.lit(k).alias("k"), F.count_distinct("ref_id").alias("references"), F.count_distinct("kmer").alias("sketch"))
-    metrics = size.join(estimated_spectrum(rows, k) if estimate else spectrum(kmers(rows, k, keep=[], packed=True)), F.lit(True))
+    metrics = size.join(seen, F.lit(True))
     return {"hits": hits, "report": _query.report(hits, sketch, hit_cutoff=hit, read_cutoff=rcutoff, abundance_cutoff=acutoff, solid=solid), "log": _query.signature_log(hits, sketch, solid=solid), "metrics": metrics}
 
 
@@ -121,8 +128,7 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_sketch(got["sketch"], a.out)
         got["spectrum"].show()
     elif a.program == "query":
-        got = query(spark, [x for x in (a.r1, a.r2) if x], files.read_sketch(spark, a.ref), hit=a.hit, acutoff=a.acutoff, rcutoff=a.rcutoff, solid=a.solid, estimate=a.estimate)
-        got["hits"].cache()
+        got = query(spark, [x for x in (a.r1, a.r2) if x], files.read_sketch(spark, a.ref), hit=a.hit, acutoff=a.acutoff, rcutoff=a.rcutoff, solid=a.solid, estimate=a.estimate, keep=True)
         head, _, name = a.out.rpartition("/")
         got["metrics"].show()
         sinks.write_report(got["report"], a.out)

@@ -83,9 +83,11 @@ def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
 def weak_kmers(spark: SparkSession, d: str) -> DataFrame:
     """Of each source, the k-mers that occur once in the universe, and those that occur again."""
     names, found = _numbered_sources(spark, d)
-    each = found.groupBy("kmer", "ref_id").agg(F.count("*").alias("c"))
+    each = found.where("ref_id IS NOT NULL").groupBy("kmer", "ref_id").agg(F.count("*").alias("c"))
     once = each.groupBy("kmer").agg(F.sum("c").alias("n"), F.min("ref_id").alias("ref_id")).where("n = 1").groupBy("ref_id").agg(F.count("*").alias("weak"))
-    held = each.groupBy("ref_id").agg(F.count("*").alias("distinct"))
+    # The count is asked for here too, though it is always positive, and nulls are left out above, as the join does: both sums
+    # then read one exchange, and k-mers are cut once.
+    held = each.groupBy("ref_id").agg(F.count("*").alias("distinct"), F.max("c").alias("most")).where("most > 0")
     weak = F.coalesce("weak", F.lit(0))
     return names.join(held, "ref_id").join(once, "ref_id", "left").select("ref", weak.alias("weak"), (F.col("distinct") - weak).alias("repeated"))
 

@@ -2,7 +2,7 @@
 
 All files are opened by Spark, so any file system that Spark reads will do. Text is cut into
 records by Spark's reader (before `>` or `@`), and a task numbers the records of its splits in
-order; sequences are never shuffled or gathered by file.
+order; sequences are never gathered by file, and shuffled only to spread a few packed files over all tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BATCH_ROWS, BATCH_LETTERS = 10_000, 1 << 23
 _OPEN_COST = "spark.sql.files.openCostInBytes"
 _FASTA = re.compile(r"\.(fa|fasta|fas|fna|ffn|frn|faa|mpfa)(\.\w+)?$", re.I)
 _WHOLE = re.compile(r"\.(xz|zip|bz)$", re.I)
+#: Names of files that are not split.
+_ONE_TASK = re.compile(r"\.(gz|xz|zip|bz)$", re.I)
 
 
 def _line() -> Column:
@@ -63,8 +65,8 @@ def _plain(path: Column | str) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
-def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tuple[DataFrame, list[str], int]:
-    """files with _file, the path that Spark gives each file; all paths; and the size of the largest file.
+def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tuple[DataFrame, list[str], dict[str, int]]:
+    """files with _file, the path that Spark gives each file; all paths; and the size of each file.
 
     files: rows with a path of a file, or of a folder with files. Sizes come from listing; contents are not read. The
     driver holds a row for each file, as it does for any listing.
@@ -72,7 +74,7 @@ def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tupl
     rows = files.collect()
     paths = sorted({r[column] for r in rows})
     if not paths:
-        return files.withColumn("_file", F.lit("")), paths, 0
+        return files.withColumn("_file", F.lit("")), paths, {}
     cost = spark.conf.get(_OPEN_COST)
     spark.conf.set(_OPEN_COST, "0")  # only sizes are read: many small files need not be a task each
     try:
@@ -88,7 +90,7 @@ def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tupl
     found = [(*r, f) for r in rows for f in sorted(by_name.get(asked(r[column]), ()))]
     schema = T.StructType([*files.schema.fields, T.StructField("_file", T.StringType())])
     placed = spark.createDataFrame(found, schema)
-    return F.broadcast(placed) if len(found) <= BROADCAST_FILES else placed, paths, max((r["length"] for r in listed), default=0)
+    return F.broadcast(placed) if len(found) <= BROADCAST_FILES else placed, paths, {r["file"]: r["length"] for r in listed}
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -129,7 +131,8 @@ class Listed:
     """References whose files are listed, once for several reads of them."""
 
     def __init__(self, spark: SparkSession, refs: DataFrame):
-        self.placed, self.paths, self.largest = _placed(spark, refs.select("ref_id", "ref_name", "path"))
+        self.placed, self.paths, sizes = _placed(spark, refs.select("ref_id", "ref_name", "path"))
+        self.largest = max(sizes.values(), default=0)
 
 
 def read_fasta(spark: SparkSession, refs: DataFrame | Listed, *, sequences: bool = True) -> DataFrame:
@@ -260,10 +263,11 @@ def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     Plain and bz2 files are split among tasks; gz files are not. A name that ends in .fa, .fasta or the like,
     packed or not, means FASTA, all others FASTQ. Quality may begin with `@`; where it is also
     wrapped into lines within a file of several splits, a split must not begin inside it.
-    xz and zip files (all their entries) are read as a whole. read_idx grows within a file.
+    xz and zip files (all their entries) are read as a whole. read_idx grows within a file. Where there are fewer files than
+    cores and some are packed so that one task reads one, reads are dealt to all tasks, as k-mers take many times the work of reading.
     """
     files = spark.createDataFrame(list(enumerate(paths)), "file_idx int, path string")
-    placed, _, _ = _placed(spark, files)
+    placed, _, sizes = _placed(spark, files)
     kinds: dict[str, set[str]] = {}
     for p in paths:
         kinds.setdefault("whole" if _WHOLE.search(p) else ">" if _FASTA.search(p) else "@", set()).add(p)
@@ -271,7 +275,9 @@ def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(placed, "_file").select("file_idx", "read_idx", "read_name", "seq")
+    out = out.join(placed, "_file").select("file_idx", "read_idx", "read_name", "seq")
+    tasks = spark.sparkContext.defaultParallelism
+    return out.repartition(tasks, "file_idx", "read_idx") if len(sizes) < tasks and any(map(_ONE_TASK.search, sizes)) else out
 
 
 def read_sketch(spark: SparkSession, path: str) -> DataFrame:

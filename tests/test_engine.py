@@ -431,3 +431,32 @@ def test_table_function(spark):
     spark.createDataFrame(rows, "id int, seq string").createOrReplaceTempView("some_reads")
     got = spark.sql("SELECT id, pos, kmer FROM some_reads, LATERAL kmers(seq, 5)").collect()
     assert sorted(tuple(x) for x in got) == sorted((i, *x) for i, s in rows for x in brute_kmers(s or "", 5))
+
+
+@pytest.mark.parametrize("most", [100, 4000, 1 << 17])
+def test_hits_and_spectrum_of_one_scan(spark, most):
+    r = random.Random(most)
+    pool = ["".join(r.choice("ACGT") for _ in range(120)) for _ in range(300)]
+    rows = [(0, i, f"r{i}", pool[i % 300] if i < 420 else "".join(r.choice("ACGTN") for _ in range(200))) for i in range(700)] + [(0, 700, "null", None), (0, 701, "none", "")]
+    reads = spark.createDataFrame(rows, "file_idx int, read_idx long, read_name string, seq string")
+    own = spark.createDataFrame([(i, f"ref{i}", s) for i, s in enumerate(pool[:3])], "ref_id int, ref_name string, seq string")
+    sigs = kmers.kmers(own, 13).groupBy("kmer").agg({"ref_id": "min"}).withColumnRenamed("min(ref_id)", "ref_id")
+    hits, seen = query.match_and_spectrum(reads, sigs, 13)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, query.match(reads, sigs, 13).collect()))
+    exact = kmers.spectrum(kmers.kmers(reads, 13, keep=[])).first()
+    assert tuple(seen.first()) == tuple(exact)  # fewer k-mers than a task's sample holds
+    told = kmers.kmers_and_sample(reads, 13, keep=["read_name"], among=kmers.membership(sigs, 13, sigs.count()), most=most)
+    got = kmers.sampled_spectrum(told.where("hash IS NOT NULL")).first()
+    assert told.where("kmer IS NULL").count() <= (most + 1) * reads.rdd.getNumPartitions() and got.repeats + got.weak == got.f0
+    slack = {100: 0.4, 4000: 0.06}.get(most, 0)
+    assert got.f1 == exact.f1 and all(abs(got[c] - exact[c]) <= slack * exact.f0 for c in ("f0", "repeats", "weak"))
+    assert tuple(kmers.sampled_spectrum(told.where("hash IS NOT NULL AND n < 0")).first()) == (0, 0, 0, 0)
+
+
+def test_one_packed_file_for_all_tasks(spark, tmp_path):
+    rows = [(f"r{i}", "ACGT" * (i % 7)) for i in range(200)]
+    with gzip.open(tmp_path / "a.fq.gz", "wt") as f:
+        f.write("".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in rows))
+    got = files.read_reads(spark, [str(tmp_path / "a.fq.gz")])
+    assert got.rdd.getNumPartitions() > 1
+    assert [(x.read_name, x.seq) for x in got.orderBy("read_idx").collect()] == rows
