@@ -5,11 +5,13 @@ equal sets form one class; classes are then joined:
 
 1. Let p(n) = n - ceil(t * n) + 1. Two sets of similarity t or more share p(m) of their
    2 * p - 1 smallest hashes each, m being the smaller size. Only these are exchanged, by
-   hash, one copy of a class from each task. Hashes that one class alone holds are dropped,
-   and with them the classes that keep too few to have a partner. Of the others' hashes the
-   rarest go on, so many that partners still share one (the prefix filter). Each of them
-   ties its classes to the smallest of them: linear in the classes, no pairs.
-2. The components of the ties are clusters; classes that link are in one cluster.
+   hash, one copy of a class from each task. A hash's classes, by size, are cut where the next
+   is too large to link, and the smallest number in each run leads it. Runs of one class are
+   dropped, and with them the classes that keep too few to have a partner. Of the others' runs the
+   rarest count, so many that partners still share one (the prefix filter). They tie a
+   class to their leaders, each once: linear in the classes, no pairs.
+2. The components of the ties are clusters, without leaders that cannot have a partner
+   themselves; classes that link are in one cluster.
 3. Clusters go to tasks, small ones many to a task, large ones cut into blocks, whose components
    meet by representatives first and block by block only where several are left. A task builds inverted lists over its sets and searches them once for every set:
    the short lists are merged and counted, the long ones are probed by binary search for
@@ -211,7 +213,7 @@ def _unpack(t: pa.Table, six: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _ties(rows: DataFrame, size: int, percent: int, buckets: int, part: int) -> DataFrame:
-    """(a, b): numbers of classes that may link or stand between classes that may, each with the smallest of its hash."""
+    """(a, b): the leaders a of each class b that may have a partner, every pair once. Classes that link share a leader; a leader may be its own, or no b at all."""
 
     def deal(batches):
         seen, parts, kids, ns = set(), [], [], []
@@ -239,45 +241,37 @@ def _ties(rows: DataFrame, size: int, percent: int, buckets: int, part: int) ->
             yield from message().to_batches()
 
     def shared(t: pa.Table) -> pa.Table:
-        """The hashes that several classes hold, by class."""
+        """By class, the leader of each hash that several classes of sizes that may link hold: the smallest of those classes."""
         kid, n, h, _ = _unpack(t, True)
-        by = np.lexsort((kid, h))
+        n = n.astype(np.int64)
+        by = np.lexsort((kid, n, h))
         kid, n, h = kid[by], n[by], h[by]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (kid[1:] != kid[:-1])])
         kid, n, h = kid[new], n[new], h[new]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        # A hash's classes by size: where the next is too large for a link, another run begins.
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])]))
         df = np.diff(np.append(first, len(h)))
-        df = np.repeat(df, df)
+        leader, df = np.repeat(np.minimum.reduceat(kid, first), df), np.repeat(df, df)
         some = df > 1
-        # Six bytes of a hash leave room for its bucket, which makes it whole again.
-        h = h[some] + U64(t.column("bucket")[0].as_py() & 0xFFFF)
-        return _pack(np.mod(kid[some], buckets), kid[some], n[some], h, df[some], False)
+        return _pack(np.mod(kid[some], buckets), kid[some], n[some], leader[some], df[some], False)
 
     def choose(t: pa.Table) -> pa.Table:
-        """Of each class that can have a partner, the rarest hashes, by hash."""
-        kid, n, h, df = _unpack(t, False)
-        by = np.lexsort((h, df, kid))
-        kid, n, h, df = kid[by], n[by].astype(np.int64), h[by], df[by]
+        """Of each class that can have a partner, the leaders of its rarest hashes, each once."""
+        kid, n, leader, df = _unpack(t, False)
+        leader = leader.view("<i8")
+        by = np.lexsort((leader, df, kid))
+        kid, n, leader = kid[by], n[by].astype(np.int64), leader[by]
         first = np.flatnonzero(np.concatenate([[True], kid[1:] != kid[:-1]])) if len(kid) else np.zeros(0, np.int64)
         held = np.diff(np.append(first, len(kid)))
         least = least_overlap(n[first], percent)  # of a partner's size
         must = least - least_overlap(least, percent) + 1
         keep = textscan.ranges(first, np.where(held >= must, held - must + 1, 0))
-        return _pack((textscan.mix(h[keep]) % U64(buckets)).astype(np.int64), kid[keep], n[keep], h[keep], df[keep], False)
-
-    def tie(t: pa.Table) -> pa.Table:
-        kid, _, h, _ = _unpack(t, False)
-        by = np.lexsort((kid, h))
-        h, kid = h[by], kid[by]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        leader = np.repeat(kid[new], np.diff(np.append(new, len(h))))
-        pairs = np.unique(np.column_stack([leader, kid])[leader != kid], axis=0)
+        pairs = np.unique(np.column_stack([leader[keep], kid[keep]]), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     out = rows.mapInArrow(storage.lean_batches(deal), _PACKED)
-    for step in (shared, choose):
-        out = out.groupBy("bucket").applyInArrow(storage.lean(step), _PACKED)
-    return out.groupBy("bucket").applyInArrow(storage.lean(tie), "a long, b long")
+    out = out.groupBy("bucket").applyInArrow(storage.lean(shared), _PACKED)
+    return out.groupBy("bucket").applyInArrow(storage.lean(choose), "a long, b long")
 
 
 def _numbered(scan: DataFrame) -> tuple[DataFrame, int]:
@@ -334,10 +328,12 @@ def _linked(rows: DataFrame, scan: DataFrame, words: int, percent: int) -> DataF
     shuffles = storage.n_partitions(spark)
     hashes = (classes.agg(F.sum("n")).first()[0] or 0) // 2
     buckets = max(shuffles, hashes // BUCKET)
-    clusters = storage.written(components(_ties(rows.where("_id is not null"), words, percent, buckets, part), "a", "b"), "clusters")
+    ties = storage.written(_ties(rows.where("_id is not null"), words, percent, buckets, part), "ties")
+    may_link = ties.select(F.col("b").alias("node")).distinct()
+    clusters = storage.written(components(ties, "a", "b").join(may_link, "node", "left_semi"), "clusters")
 
     known = clusters.join(classes.select(F.col("kid").alias("node"), "rep", "_key", "n"), "node")
-    sizes = known.groupBy("component").agg(F.sum("n").alias("total"))
+    sizes = known.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("c")).where("c > 1")
     cut = storage.written(sizes.select("component", F.ceil(F.col("total") / TASK).alias("parts"), "total"), "sizes")
     seen = clusters.count()
     total = cut.agg(F.sum("total")).first()[0] or 0

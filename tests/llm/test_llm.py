@@ -296,6 +296,29 @@ def test_jaccard(spark, seed, monkeypatch):
     assert len({c for _, c in got.values()}) < 110
 
 
+def test_ties_leave_once(spark):
+    """As many ties for any number of buckets, one for a class and leader; classes that link share a leader, and sizes that cannot link tie nothing."""
+    r = random.Random(5)
+    rows = near_copies(3) + [(1000 + i, " ".join([*w[:60], f"edit{i}", *w[61:]])) for w in [prose(r, 120, 5000).split()] for i in range(40)]
+    long = prose(r, 400, 5000).split()
+    parts = [" ".join(long[i : i + 12]) for i in range(0, 300, 15)]
+    rows += [(2000, " ".join(long)), *((2001 + i, t) for i, t in enumerate(parts))]
+    sets = {}
+    for i, t in rows:
+        ((_, _, buf, offs),) = textscan.slices(pa.array([t]))
+        (s,) = jaccard.shingle_sets(buf, offs, 5)
+        sets[jaccard._class_number(jaccard.key_of(s), 0)] = (i, set(s.tolist()))
+    docs = spark.createDataFrame(rows, "_id long, _text string")
+    few, many = ([(x.a, x.b) for x in jaccard._ties(docs, 5, 75, buckets, 0).collect()] for buckets in (3, 40))
+    assert len(many) == len(set(many)) and sorted(few) == sorted(many)
+    leaders = collections.defaultdict(set)
+    for a, b in many:
+        leaders[b].add(a)
+    for (x, (_, s)), (y, (_, t)) in itertools.combinations(sets.items(), 2):
+        assert 100 * len(s & t) < 75 * len(s | t) or leaders[x] & leaders[y]
+    assert not any(leaders[x] for x, (i, _) in sets.items() if i >= 2000)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 10**6), st.booleans())
 def test_divide_skip(seed, sided):
