@@ -33,8 +33,8 @@ from .packing import Encoder
 
 #: Pairs of ids that are sent to all tasks, at most: 17 bytes each.
 MOST_PAIRS = 2_000_000
-#: Pairs that a task gathers before it sums them, and rows that it aligns at a time.
-GATHERED, ROWS = 1 << 20, 500
+#: Pairs, and sums of pairs, that a task gathers before it adds them up; rows that it aligns at a time; tokens whose bytes are compared at a time.
+GATHERED, ROWS, STRETCH = 1 << 20, 500, 1 << 16
 _IDS = T.ArrayType(T.IntegerType())
 
 
@@ -69,6 +69,28 @@ class Pieces:
         return np.array(self.model.encode(text, num_threads=1), np.int32)
 
 
+class Spelling:
+    """The bytes of all ids in one array, to compare a text with its tokens."""
+
+    def __init__(self, of: list[bytes]):
+        self.flat = np.frombuffer(b"".join(of), np.uint8)
+        self.sizes = np.array([len(x) for x in of], np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+
+    def makes(self, ids: np.ndarray, want: bytes) -> bool:
+        """Whether the bytes of ids, joined, are want."""
+        at = 0
+        for k in range(0, len(ids), STRETCH):
+            some = ids[k : k + STRETCH]
+            n = self.sizes[some]
+            place = np.repeat(self.starts[some] + n - np.cumsum(n, dtype=np.int32), n)
+            place += np.arange(len(place), dtype=np.int32)
+            if self.flat[place].tobytes() != want[at : at + len(place)]:
+                return False
+            at += len(place)
+        return at == len(want)
+
+
 class Intervals:
     """A static index of intervals that lie one after the other: sorted beginnings and ends."""
 
@@ -80,10 +102,6 @@ class Intervals:
         """The first interval that each [start, end) overlaps, and the one after the last."""
         return np.searchsorted(self.ends, starts, "right"), np.searchsorted(self.starts, ends, "left")
 
-    def spanned(self, at: np.ndarray) -> np.ndarray:
-        """Whether an interval begins before and ends after each place."""
-        return np.searchsorted(self.starts, at, "left") > np.searchsorted(self.ends, at, "right")
-
 
 class Alignment:
     """Tokens a and b of texts, one after the other: pairs of overlapping places, and the tokens up to the end of each group.
@@ -94,13 +112,54 @@ class Alignment:
     def __init__(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray):
         own, index = Intervals(sizes_a[a]), Intervals(sizes_b[b])
         first, after = index.stab(own.starts, own.ends)
+        # Each token of a ends where the next begins, so what that one overlaps first tells whether a token of b spans the end.
+        ended = np.append(first[1:], len(b)) if len(a) else first
         many = after - first
         self.links_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])  # those of earlier tokens of a
         self.link_a = np.repeat(np.arange(len(a)), many)
         self.link_b = np.arange(len(self.link_a)) + np.repeat(first - self.links_before[:-1], many)
-        closed = np.flatnonzero(~index.spanned(own.ends))
+        closed = np.flatnonzero(after <= ended)
         self.group_a = closed + 1
-        self.group_b = np.searchsorted(index.ends, own.ends[closed], "right")
+        self.group_b = ended[closed]
+
+
+class Tally:
+    """How often each key came. Keys are counted whenever so many are gathered, and counts merged whenever so many wait."""
+
+    def __init__(self, gathered: int):
+        self.gathered = gathered
+        self.keys: list[np.ndarray] = []
+        self.sums = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    @property
+    def n_merged(self) -> int:
+        return len(self.sums[0][0])
+
+    def add(self, keys: np.ndarray) -> None:
+        self.keys.append(keys)
+        if sum(map(len, self.keys)) >= self.gathered:
+            self._count()
+            if sum(len(keys) for keys, _ in self.sums[1:]) >= self.gathered:
+                self._merge()
+
+    def _count(self) -> None:
+        self.sums.append(np.unique(np.concatenate(self.keys), return_counts=True))
+        self.keys = []
+
+    def _merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip(*self.sums, strict=True))
+        by = np.argsort(keys, kind="stable")  # runs are sorted already, and only merged
+        keys, n = keys[by], n[by]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))  # no key is negative
+        self.sums = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys so far, sorted, and their counts; the tally is empty then."""
+        if self.keys:
+            self._count()
+        self._merge()
+        got, self.sums = self.sums[0], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        return got
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text") -> DataFrame:
@@ -108,14 +167,14 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text")
 
     def start() -> Callable[[pa.RecordBatch], list]:
         a_of, b_of = ByteLevel(a_path), Pieces(b_path)
+        a_spells, b_spells = Spelling(a_of.bytes), Spelling(b_of.bytes)
         none = np.zeros(0, np.int32)
 
         def both(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             if not text:
                 return none, none
             want, a, b = (" " + text).encode(), a_of(text), b_of(text)
-            same = all(b"".join(map(of.bytes.__getitem__, ids.tolist())) == want for of, ids in ((a_of, a), (b_of, b)))
-            return (a, b) if same else (none, none)
+            return (a, b) if a_spells.makes(a, want) and b_spells.makes(b, want) else (none, none)
 
         def run(batch: pa.RecordBatch) -> list:
             got = [both(t.as_py()) for t in batch.column(place)]
@@ -146,27 +205,14 @@ def pair_counts(made: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFr
     width = len(sizes[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, some, held = storage.taken(sent), [], 0
-        total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            keys, at, n = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
-            every, where = np.unique(np.concatenate([total[0], keys]), return_inverse=True)
-            return every, np.bincount(where, np.concatenate([total[1], n]), len(every)).astype(np.int64)
-
+        both, tally = storage.taken(sent), Tally(GATHERED)
         for batch in storage.pieces(batches, ROWS):
             a, b = (_flat(batch.column(k), len(both[k]))[0] for k in (0, 1))
             found = Alignment(a, b, *both)
-            some.append(a[found.link_a].astype(np.int64) * width + b[found.link_b])
-            held += len(some[-1])
-            if held >= GATHERED:
-                total, some, held = added(), [], 0
-            if len(total[0]) >= 4 * GATHERED:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["pair", "n"])
-                total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if some:
-            total = added()
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["pair", "n"])
+            tally.add(a[found.link_a].astype(np.int64) * width + b[found.link_b])
+            if tally.n_merged >= 4 * GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.taken()], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.taken()], names=["pair", "n"])
 
     each = made.select("a_ids", "b_ids").mapInArrow(storage.lean_batches(run), "pair long, n long")
     counts = storage.written(each.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
@@ -226,7 +272,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text",
             rare = [pa.ListArray.from_arrays(rare_at, pa.array(x)) for x in (keys % (len(both[0]) * width), n_rare)]
             groups = np.searchsorted(found.group_a, a_at, "right")
             text = written(a, b, found)
-            digests = [hashlib.sha256("".join(text[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(a_at[:-1] + b_at[:-1], a_at[1:] + b_at[1:], strict=True)]
+            digests = [hashlib.sha256(text[i:j].tobytes().translate(None, b"\0")[:-1]).hexdigest() if j > i else "" for i, j in zip(a_at[:-1] + b_at[:-1], a_at[1:] + b_at[1:], strict=True)]
             lists = []
             if keep_groups:
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x, at in ((a, a_at), (b, b_at))]
@@ -250,19 +296,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "text",
 
 
 class Written:
-    """Groups as text: `a1,a2|b1;a3|b2,b3`."""
+    """Groups as text: `a1,a2|b1;a3|b2,b3`; a token and the mark that follows it are eight bytes, filled up by zeros."""
 
     def __init__(self, ids_a: int, ids_b: int):
-        table = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], object)
-        self.a, self.a_last, self.b, self.b_last = table(ids_a, ","), table(ids_a, "|"), table(ids_b, ","), table(ids_b, ";")
+        # Ids below 10 million; those of tokens that end their side of a group come after the others.
+        table = lambda n, marks: np.array([f"{i}{mark}" for mark in marks for i in range(n)], "S8").view(np.uint64)
+        self.a, self.b = table(ids_a, ",|"), table(ids_b, ",;")
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> list[str]:
-        """The tokens of all texts in this order, each with the mark that follows it."""
-        out = np.empty(len(a) + len(b), object)
+    def __call__(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> np.ndarray:
+        """The tokens of all texts in this order."""
+        out = np.empty(len(a) + len(b), np.uint64)
         last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         last_a[found.group_a - 1] = last_b[found.group_b - 1] = True
         # A token stands after the other list's tokens of the groups before, and one of B also after A's of its own.
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        out[np.arange(len(a)) + np.concatenate([[0], found.group_b])[group_a]] = np.where(last_a, self.a_last[a], self.a[a])
-        out[np.arange(len(b)) + found.group_a[group_b]] = np.where(last_b, self.b_last[b], self.b[b])
-        return out.tolist()
+        out[np.arange(len(a)) + np.concatenate([[0], found.group_b])[group_a]] = self.a[a + last_a * (len(self.a) // 2)]
+        out[np.arange(len(b)) + found.group_a[group_b]] = self.b[b + last_b * (len(self.b) // 2)]
+        return out

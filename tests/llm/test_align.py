@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,53 @@ def test_query(spark, plain):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert dict(got.dtypes) == {"doc_id": "bigint"} | dict.fromkeys(NAMES, "bigint") | {"groups_sha256": "string"}
     assert {r.doc_id: tuple(r[c] for c in NAMES) for r in got.collect()} == wanted(plain, rows)
+
+
+def test_two_bisections_a_token(monkeypatch):
+    """An alignment bisects twice for each token of A, not five times, and finds what a walk over all pairs of tokens finds."""
+    r, calls, search = np.random.default_rng(1), [], np.searchsorted
+
+    def counted(at, values, side="left"):
+        calls.append(len(values))
+        return search(at, values, side)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    sizes = np.arange(1, 6)
+    for _ in range(30):
+        total = int(r.integers(0, 40))
+        lists = []
+        for _ in range(2):
+            ids, left = [], total
+            while left:
+                ids.append(int(r.integers(0, min(5, left))))
+                left -= ids[-1] + 1
+            lists.append(np.array(ids, np.int32))
+        a, b = lists
+        calls.clear()
+        found = align.Alignment(a, b, sizes, sizes)
+        assert sum(calls) <= 2 * len(a)
+        ends = [np.cumsum(sizes[x]) for x in lists]
+        pairs = [(i, j) for i in range(len(a)) for j in range(len(b)) if ends[0][i] - sizes[a[i]] < ends[1][j] and ends[1][j] - sizes[b[j]] < ends[0][i]]
+        assert list(zip(found.link_a.tolist(), found.link_b.tolist(), strict=True)) == pairs
+        both = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+        assert [ends[0][i - 1] for i in found.group_a] == both == [ends[1][j - 1] for j in found.group_b]
+
+
+def test_spelling_in_stretches(monkeypatch):
+    monkeypatch.setattr(align, "STRETCH", 3)
+    of = align.Spelling([b"\0", b"ab", b"c" * 20, "é".encode(), b" "])
+    ids = np.array([4, 1, 2, 3, 0, 0, 1], np.int32)
+    want = b" ab" + b"c" * 20 + "é".encode() + b"\0\0ab"
+    assert of.makes(ids, want) and of.makes(ids[:0], b"")
+    assert not any(of.makes(i, w) for i, w in [(ids, want + b" "), (ids, want[:-1]), (ids[:-1], want), (ids[1:], want), (ids[:0], b" "), (ids, b"")])
+
+
+def test_tally():
+    r, tally = np.random.default_rng(2), align.Tally(50)
+    assert [len(x) for x in tally.taken()] == [0, 0]
+    for _ in range(2):
+        parts = [r.integers(0, 90, n) for n in (0, 7, 120, 3, 49, 1, 60, 60, 5)]
+        for x in parts:
+            tally.add(x)
+        keys, n = tally.taken()
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == collections.Counter(np.concatenate(parts).tolist()) and (np.diff(keys) > 0).all()
