@@ -22,6 +22,13 @@ def canonical(kmer: Column | str) -> Column:
     return F.least(kmer, F.reverse(F.translate(kmer, "ACGT", "TGCA")))
 
 
+def letters_of(word: Column | str, k: int) -> Column:
+    """The k letters of a k-mer that is packed into a long, two bits a base."""
+    word = F.col(word) if isinstance(word, str) else word
+    digit = lambda i: F.call_function("shiftright", word, F.lit(2 * (k - 1)) - 2 * i).bitwiseAND(3)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(F.lit("ACGT"), (digit(i) + 1).cast("int"), F.lit(1))), "")
+
+
 def base_id(path: Column | str) -> Column:
     """What follows the last slash, without its last extension; a name that is all extension raises an error."""
     path = F.col(path) if isinstance(path, str) else path

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sigweave.plans import programs
 from sigweave.plans.queries import _DOCS, _HITS, _REFS, _SCORED, _TOPC, _UNIQUE, K, _counts, _seq, _unique
 from sigweave.functions.complexity import THRESHOLD
+from sigweave.operators.blocks import block_sums
 from sigweave.operators.index import build_sketch
 from sigweave.operators.kmers import kmers, spectrum
 from sigweave.operators.query import hit_counts, match, reference_names, signatures
@@ -71,10 +72,7 @@ def long_contig_source(spark: SparkSession, d: str) -> DataFrame:
     head = spark.createDataFrame([(-1, ">all documents")], "read_idx long, value string")
     rows.unionByName(head).orderBy("read_idx").select("value").write.text(path)
     pieces = sequences.contigs(spark, path, k=K, range_bytes=1 << 20, joined=True)
-    found = kmers(pieces, K, keep=["record_idx", "contig", "start"]).withColumn("at", F.col("start") + F.col("pos"))
-    return found.groupBy("record_idx", "contig", F.floor(F.col("at") / 10_000).alias("block")).agg(
-        F.count("*").alias("kmers"), F.sum("at").alias("places"), F.min("kmer").alias("least"), F.max("kmer").alias("most"), F.count_distinct("kmer").alias("distinct")
-    )
+    return block_sums(pieces, K, 10_000, keep=["record_idx", "contig"])
 
 
 def read_source(spark: SparkSession, d: str) -> DataFrame:
