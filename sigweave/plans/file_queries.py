@@ -36,9 +36,11 @@ def _reference_files(spark: SparkSession, d: str) -> list[str]:
 
 
 def _read_file(spark: SparkSession, d: str) -> str:
+    """The documents as reads in one folder of gz files, in the order of ids by the files' names: each file is one task's work to pack and to read."""
     path = new_path(spark, "reads")
-    reads = document_reads(spark, d).orderBy("read_idx").select(F.concat(F.lit("@"), "read_name", F.lit(" document\n"), "seq", F.lit("\n+\n"), F.regexp_replace("seq", ".", "@")).alias("value"))
-    reads.coalesce(1).write.option("compression", "gzip").text(path)
+    quality = F.repeat(F.lit("@"), F.length("seq"))
+    reads = document_reads(spark, d, ordered=True).select(F.concat(F.lit("@"), "read_name", F.lit(" document\n"), "seq", F.lit("\n+\n"), quality).alias("value"))
+    reads.write.option("compression", "gzip").text(path)
     return path
 
 

@@ -28,6 +28,9 @@ BROADCAST_FILES = 200_000
 #: Rows and letters of an Arrow batch, about.
 BATCH_ROWS, BATCH_LETTERS = 10_000, 1 << 23
 
+#: Bits of a read's number within its file; those above number the files of a folder.
+NUMBER_BITS = 40
+
 _OPEN_COST = "spark.sql.files.openCostInBytes"
 _FASTA = re.compile(r"\.(fa|fasta|fas|fna|ffn|frn|faa|mpfa)(\.\w+)?$", re.I)
 _WHOLE = re.compile(r"\.(xz|zip|bz)$", re.I)
@@ -66,7 +69,7 @@ def _plain(path: Column | str) -> Column:
 
 
 def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tuple[DataFrame, list[str], dict[str, int]]:
-    """files with _file, the path that Spark gives each file; all paths; and the size of each file.
+    """files with _file, the path that Spark gives each file, and _nth, its place among those of its row by name; all paths; and the size of each file.
 
     files: rows with a path of a file, or of a folder with files. Sizes come from listing; contents are not read. The
     driver holds a row for each file, as it does for any listing.
@@ -74,7 +77,7 @@ def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tupl
     rows = files.collect()
     paths = sorted({r[column] for r in rows})
     if not paths:
-        return files.withColumn("_file", F.lit("")), paths, {}
+        return files.withColumns({"_file": F.lit(""), "_nth": F.lit(0).cast("long")}), paths, {}
     cost = spark.conf.get(_OPEN_COST)
     spark.conf.set(_OPEN_COST, "0")  # only sizes are read: many small files need not be a task each
     try:
@@ -87,8 +90,8 @@ def _placed(spark: SparkSession, files: DataFrame, column: str = "path") -> tupl
             for name in (full, full.rpartition("/")[0]):
                 by_name.setdefault(name, set()).add(r["file"])
     asked = lambda path: re.sub(r"^file:/+", "/", path).rstrip("/") or "/"
-    found = [(*r, f) for r in rows for f in sorted(by_name.get(asked(r[column]), ()))]
-    schema = T.StructType([*files.schema.fields, T.StructField("_file", T.StringType())])
+    found = [(*r, f, i) for r in rows for i, f in enumerate(sorted(by_name.get(asked(r[column]), ())))]
+    schema = T.StructType([*files.schema.fields, T.StructField("_file", T.StringType()), T.StructField("_nth", T.LongType())])
     placed = spark.createDataFrame(found, schema)
     return F.broadcast(placed) if len(found) <= BROADCAST_FILES else placed, paths, {r["file"]: r["length"] for r in listed}
 
@@ -263,7 +266,7 @@ def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     Plain and bz2 files are split among tasks; gz files are not. A name that ends in .fa, .fasta or the like,
     packed or not, means FASTA, all others FASTQ. Quality may begin with `@`; where it is also
     wrapped into lines within a file of several splits, a split must not begin inside it.
-    xz and zip files (all their entries) are read as a whole. read_idx grows within a file. Where there are fewer files than
+    xz and zip files (all their entries) are read as a whole. read_idx grows within a file, and from file to file of a folder by name. Where there are fewer files than
     cores and some are packed so that one task reads one, reads are dealt to all tasks, as k-mers take many times the work of reading.
     """
     files = spark.createDataFrame(list(enumerate(paths)), "file_idx int, path string")
@@ -275,7 +278,7 @@ def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.join(placed, "_file").select("file_idx", "read_idx", "read_name", "seq")
+    out = out.join(placed, "_file").select("file_idx", (F.shiftleft("_nth", NUMBER_BITS) + F.col("read_idx")).alias("read_idx"), "read_name", "seq")
     tasks = spark.sparkContext.defaultParallelism
     return out.repartition(tasks, "file_idx", "read_idx") if len(sizes) < tasks and any(map(_ONE_TASK.search, sizes)) else out
 

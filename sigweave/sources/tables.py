@@ -23,9 +23,11 @@ def benchmark_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("ref_id"), F.concat(F.lit("item"), F.col("item_id")).alias("ref_name"), F.lit("0").alias("contig"), text_to_bases("text").alias("seq"))
 
 
-def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reads of one file: file_idx, read_idx, read_name, seq."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.lit(0).alias("file_idx"), F.col("doc_id").alias("read_idx"), F.col("doc_id").cast("string").alias("read_name"), text_to_bases("text").alias("seq"))
+def document_reads(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """Documents as reads of one file: file_idx, read_idx, read_name, seq. ordered: sorted by read_idx, as texts, which are turned into bases once after that."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = rows.orderBy("doc_id") if ordered else spread(rows)
+    return rows.select(F.lit(0).alias("file_idx"), F.col("doc_id").alias("read_idx"), F.col("doc_id").cast("string").alias("read_name"), text_to_bases("text").alias("seq"))
 
 
 def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

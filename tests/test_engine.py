@@ -460,3 +460,34 @@ def test_one_packed_file_for_all_tasks(spark, tmp_path):
     got = files.read_reads(spark, [str(tmp_path / "a.fq.gz")])
     assert got.rdd.getNumPartitions() > 1
     assert [(x.read_name, x.seq) for x in got.orderBy("read_idx").collect()] == rows
+
+
+def test_folder_of_packed_files_is_read_in_order(spark, tmp_path):
+    """Solid hits of reads in the gz files of one folder are those of one file: the files' reads follow each other by name."""
+    r = random.Random(5)
+    seqs = ["".join(r.choices("ACGT", k=30)) for _ in range(40)]
+    rows = [(f"r{i}", r.choice(seqs)) for i in range(300)]
+    (tmp_path / "many").mkdir()
+    for i in range(0, 300, 25):
+        with gzip.open(tmp_path / "many" / f"part-{i:05}.gz", "wt") as f:
+            f.write("".join(f"@{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in rows[i : i + 25]))
+    with gzip.open(tmp_path / "one.fq.gz", "wt") as f:
+        f.write("".join(f"@{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in rows))
+    sketch = spark.createDataFrame([(min(s[:21], rc(s[:21])), i % 3, f"ref{i % 3}") for i, s in enumerate(seqs)], "kmer string, ref_id int, ref_name string")
+    both = [files.read_reads(spark, [str(tmp_path / x)]) for x in ("many", "one.fq.gz")]
+    assert [(x.file_idx, x.read_name, x.seq) for x in both[0].orderBy("read_idx").collect()] == [(0, *x) for x in rows]
+    many, one = (sorted(tuple(x) for x in query.drop_weak(query.match(x, sketch, 21)).select("kmer", "read_name", "pos").collect()) for x in both)
+    assert many == one and len(one) == 300 - len({s for _, s in rows})
+
+
+def test_reads_are_packed_by_many_tasks(spark):
+    """The query programs' reads are not one gz file, which one task would write and read."""
+    from sigweave.plans import file_queries
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = file_queries._read_file(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = spark.read.format("binaryFile").load(path).select("path").collect()
+    assert len(found) > 1 and all(x.path.endswith(".gz") for x in found)
