@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigweave.functions.complexity import THRESHOLD, entropy_score, is_low_complexity
 from sigweave.functions.seq import base_id, complement, contig_label, reverse_complement
+from sigweave.operators import packs
 from sigweave.operators.compare import similarity
 from sigweave.operators.index import build_sketch, unique_counts, unique_kmers
 from sigweave.operators.kmers import estimated_spectrum, histogram, kmers, membership, multiplicities, register, spectrum
@@ -36,6 +37,11 @@ def _numbered_sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     return names, kmers(document_sources(spark, d).join(names, "ref").select("ref_id", "seq"), K, packed=True).drop("pos")
 
 
+def _bits(spark: SparkSession, d: str) -> int:
+    """Bits of a bucket's number for the documents' k-mers, of which there are at most as many as bytes."""
+    return packs.bucket_bits(table(spark, d, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0, K)
+
+
 def _source_kmers(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
     """Packed: two bits a base, as nobody asks for the letters."""
     return kmers(document_sources(spark, d), K, keep=keep or [], packed=True)
@@ -83,13 +89,8 @@ def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
 def weak_kmers(spark: SparkSession, d: str) -> DataFrame:
     """Of each source, the k-mers that occur once in the universe, and those that occur again."""
     names, found = _numbered_sources(spark, d)
-    each = found.where("ref_id IS NOT NULL").groupBy("kmer", "ref_id").agg(F.count("*").alias("c"))
-    once = each.groupBy("kmer").agg(F.sum("c").alias("n"), F.min("ref_id").alias("ref_id")).where("n = 1").groupBy("ref_id").agg(F.count("*").alias("weak"))
-    # The count is asked for here too, though it is always positive, and nulls are left out above, as the join does: both sums
-    # then read one exchange, and k-mers are cut once.
-    held = each.groupBy("ref_id").agg(F.count("*").alias("distinct"), F.max("c").alias("most")).where("most > 0")
-    weak = F.coalesce("weak", F.lit(0))
-    return names.join(held, "ref_id").join(once, "ref_id", "left").select("ref", weak.alias("weak"), (F.col("distinct") - weak).alias("repeated"))
+    each = packs.weak_by_ref(found.withColumnRenamed("ref_id", "ref"), K, _bits(spark, d)).withColumnRenamed("ref", "ref_id")
+    return names.join(each, "ref_id").select("ref", "weak", (F.col("distinct") - F.col("weak")).alias("repeated"))
 
 
 def unique_kmers_of_refs(spark: SparkSession, d: str) -> DataFrame:
