@@ -3,7 +3,8 @@
 Occurrences are summed by reference and k-mer, and dealt out and sorted by k-mer. A task then multiplies
 blocks of the sparse matrices (probe x k-mer, counts) and (k-mer x filter, 0 or 1): k-mers that few
 references hold as lists of pairs of entries, those that many hold as dense matrices. The sums are one
-matrix of probes x filters a task, of which the cells that are not zero leave the task.
+matrix of probes x filters a task, of which the cells that are not zero leave the task. Packed k-mers of numbered references are dealt out
+as sorted lists instead of rows (`packs`).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigweave.functions.seq import similarity_of
+from sigweave.operators import packs
+from sigweave.sources.shared import stored
 
 #: Rows (k-mer, reference) that a task multiplies at a time; entries of a dense block and cells of sums, at most.
 BLOCK, DENSE, CELLS = 1 << 17, 1 << 22, 1 << 22
@@ -111,7 +114,43 @@ def _matched(each: DataFrame, probes: list, filters: list, block: int) -> DataFr
     return sorted_.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("matched"))
 
 
-def similarity(filters: DataFrame, probes: DataFrame, filter_refs: DataFrame, probe_refs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def _packed_cells(filters: DataFrame, probes: DataFrame, listed: list[list[int]], k: int, bits: int, block: int) -> DataFrame:
+    """(cell, n) of packed k-mers and numbered references, once for each cell; cells beyond probes * filters are the probes' numbers of k-mers."""
+    same = filters is probes
+    sent = probes.sparkSession.sparkContext.broadcast([np.array(x, np.int64) for x in listed])
+
+    def place(names: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(names, ref)
+        return np.where(np.append(names, -1)[at] == ref, at, -1) if len(names) else np.full(len(ref), -1)
+
+    def summed(buckets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        sums, totals = Products(len(known[0]), len(known[1])), np.zeros(len(known[0]), np.int64)
+        for h, ref, n in buckets:
+            name = ref if same else ref >> 1
+            probe, other = place(known[0], name), place(known[1], name)
+            if not same:  # a number's lowest bit tells the side
+                probe, other = np.where(ref & 1, probe, -1), np.where(ref & 1, -1, other)
+            mine = probe >= 0
+            totals += np.bincount(probe[mine], n[mine], len(totals)).astype(np.int64)
+            first = packs.firsts(h)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            at = 0
+            while at < len(h):
+                stop = int(first[group[at + block]]) if at + block < len(h) else len(h)
+                stop = stop if stop > at else int(np.append(first, len(h))[group[at] + 1])
+                sums.add(group[at:stop] - group[at], probe[at:stop], other[at:stop], n[at:stop])
+                at = stop
+        for cell, n in sums.taken():
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(totals)) + len(known[0]) * len(known[1])), pa.array(totals)], names=["cell", "n"])
+
+    sided = lambda df, side: df.select("kmer", (F.col("ref").cast("long") * 2 + side).alias("ref"))
+    occurrences = probes.select("kmer", "ref") if same else sided(probes, 1).unionByName(sided(filters, 0))
+    return stored(packs.by_bucket(occurrences, k, bits, summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("matched")), "cells")
+
+
+def similarity(filters: DataFrame, probes: DataFrame, filter_refs: DataFrame, probe_refs: DataFrame, *, block: int = BLOCK, packed: tuple[int, int] | None = None) -> DataFrame:
     """(ref1, ref2, uniq_ref1, all_ref1, similarity) for every pair of a probe (ref1) and a filter (ref2).
 
     filters, probes: occurrences (ref, kmer); filter_refs, probe_refs: all names (ref), so that
@@ -119,8 +158,11 @@ def similarity(filters: DataFrame, probes: DataFrame, filter_refs: DataFrame, pr
     probe's occurrences: all, and those absent from the filter. An empty probe gives NaN.
     K-mers may be packed and names be numbers, which is faster. The result has a row for each pair of names by
     definition; the names, and nothing else, pass the driver. Null names have no rows.
+    packed: k and `packs.bucket_bits`, where k-mers are packed longs and names whole numbers from 0: k-mers are then dealt out once, as sorted lists.
     """
-    if filters is probes:
+    if packed:
+        each = None
+    elif filters is probes:
         each = probes.groupBy("kmer", "ref").agg(F.count("*").alias("n")).select("kmer", F.col("ref").alias("ref1"), F.col("ref").alias("ref2"), "n")
     else:
         none = F.lit(None)
@@ -130,7 +172,13 @@ def similarity(filters: DataFrame, probes: DataFrame, filter_refs: DataFrame, pr
     lists = [[r["ref"] for r in refs.select("ref").distinct().where("ref IS NOT NULL").orderBy("ref").collect()] for refs in (probe_refs, filter_refs)]
     spark = probes.sparkSession
     one, two = (spark.createDataFrame([(i, x) for i, x in enumerate(names)], refs.select(F.lit(0).cast("long").alias(at), F.col("ref").alias(to)).schema) for names, refs, at, to in zip(lists, (probe_refs, filter_refs), ("_i", "_j"), ("ref1", "ref2"), strict=True))
-    totals = probes.groupBy(F.col("ref").alias("ref1")).agg(F.count("*").alias("all"))
+    if packed:
+        cells = _packed_cells(filters, probes, lists, *packed, block)
+        size = len(lists[0]) * len(lists[1])
+        totals = one.join(cells.where(F.col("cell") >= size).withColumn("_i", F.col("cell") - size), "_i").select("ref1", F.col("matched").alias("all"))
+    else:
+        cells = _matched(each, *lists, block)
+        totals = probes.groupBy(F.col("ref").alias("ref1")).agg(F.count("*").alias("all"))
     pairs = one.join(totals, "ref1", "left").crossJoin(two).withColumn("cell", F.col("_i") * len(lists[1]) + F.col("_j"))
-    full = pairs.join(_matched(each, *lists, block), "cell", "left").na.fill(0, ["all", "matched"])
+    full = pairs.join(cells, "cell", "left").na.fill(0, ["all", "matched"])
     return full.select("ref1", "ref2", (F.col("all") - F.col("matched")).alias("uniq_ref1"), F.col("all").alias("all_ref1"), similarity_of(F.col("matched"), F.col("all")).alias("similarity"))

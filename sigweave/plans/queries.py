@@ -155,7 +155,7 @@ def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     names, found = _numbered_sources(spark, d)
     occ, refs = found.withColumnRenamed("ref_id", "ref"), names.select(F.col("ref_id").alias("ref"))
     one, two = (names.select(F.col("ref_id").alias(f"ref{i}"), F.col("ref").alias(f"name{i}")) for i in (1, 2))
-    return similarity(occ, occ, refs, refs).join(one, "ref1").join(two, "ref2").select(F.col("name1").alias("ref1"), F.col("name2").alias("ref2"), "uniq_ref1", "all_ref1", "similarity")
+    return similarity(occ, occ, refs, refs, packed=(K, _bits(spark, d))).join(one, "ref1").join(two, "ref2").select(F.col("name1").alias("ref1"), F.col("name2").alias("ref2"), "uniq_ref1", "all_ref1", "similarity")
 
 
 def kmer_multiplicity(spark: SparkSession, d: str) -> DataFrame:

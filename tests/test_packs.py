@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from sigweave.operators import kmers, packs
+from sigweave.operators import compare, kmers, packs
 
 
 @pytest.mark.parametrize("k,b", [(1, 0), (1, 1), (5, 3), (21, 0), (21, 12), (31, 20)])
@@ -68,7 +68,17 @@ def test_slices_and_buckets_are_added_up(spark):
     assert got == collections.Counter(x for _, x in rows)
 
 
-@pytest.mark.parametrize("name", ["weak_kmers"])
+@pytest.mark.parametrize("same,block", [(True, 1), (True, 1 << 17), (False, 4), (False, 1 << 17)])
+def test_similarity_of_packed(spark, same, block):
+    a = frame(spark, rows_of(spark, 3, 300, 6, 10))
+    b = a if same else frame(spark, rows_of(spark, 3, 200, 4, 10))
+    refs, others = (spark.createDataFrame([(i,) for i in range(n)], "ref int") for n in (7, 7 if same else 5))
+    refs, others = (refs, refs) if same else (refs, others)
+    want, got = (compare.similarity(a, b, refs, others, packed=p, block=block).fillna(-1.0) for p in (None, (10, 2)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 7 * (7 if same else 5)
+
+
+@pytest.mark.parametrize("name", ["weak_kmers", "similarity_matrix"])
 def test_kmers_are_dealt_out_once_and_packed(spark, name):
     """The exchanges of the queries have lists of k-mers, not rows of them."""
     from sigweave.plans import queries
