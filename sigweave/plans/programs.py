@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sigweave.functions.complexity import THRESHOLD
 from sigweave.operators import compare as _compare
 from sigweave.operators import index as _index
+from sigweave.operators import packs
 from sigweave.operators import query as _query
 from sigweave.functions.seq import base_id
-from sigweave.operators.kmers import kmers, spectrum
+from sigweave.operators.kmers import LONGEST_LONG, kmers, spectrum
 from sigweave.sources import files, sinks, universe
 from sigweave.sources.shared import new_path, stored
 
@@ -46,6 +47,12 @@ def sketch_of_candidates(spark: SparkSession, stat: str, *, c: int = 100, entrop
     return _index.build_sketch(files.read_candidates(spark, counts), refs, c=c, threshold=entropy, seed=seed)
 
 
+def reads_spectrum(rows: DataFrame, k: int, size: int) -> DataFrame:
+    """The exact spectrum of reads from files of so many bytes; k-mers that fit a long are dealt out as packed lists."""
+    found = kmers(rows, k, keep=[], packed=True)
+    return packs.spectrum(found, k, packs.bucket_bits(size, k)) if k <= LONGEST_LONG else spectrum(found)
+
+
 def query(spark: SparkSession, reads: list[str], sketch: DataFrame, *, hit: int = 10, acutoff: float = 0.0, rcutoff: int = 2, solid: bool = False, estimate: bool = False, keep: bool = False) -> dict[str, DataFrame]:
     """The report and the log of reads (r1, or r1 and r2) against a sketch, and metrics; k is the length of its first k-mer.
 
@@ -62,7 +69,7 @@ def query(spark: SparkSession, reads: list[str], sketch: DataFrame, *, hit: int
     if estimate:
         hits, seen = _query.match_and_spectrum(rows, sketch, k, order_col=order_col)
     else:
-        hits, seen = _query.match(rows, sketch, k, order_col=order_col), spectrum(kmers(rows, k, keep=[], packed=True))
+        hits, seen = _query.match(rows, sketch, k, order_col=order_col), reads_spectrum(rows, k, files.total_bytes(spark, reads))
     if keep:
         hits = stored(hits, "hits")
     size = sketch.agg(F.lit(k).alias("k"), F.count_distinct("ref_id").alias("references"), F.count_distinct("kmer").alias("sketch"))

@@ -87,5 +87,20 @@ def test_kmers_are_dealt_out_once_and_packed(spark, name):
     assert "hashpartitioning(kmer" not in plan
 
 
+@pytest.mark.parametrize("estimate", [False, True])
+def test_metrics_of_programs_are_packed(spark, tmp_path, estimate):
+    """The query program's exact spectrum deals out lists; with an estimate no k-mers are dealt out."""
+    from sigweave.plans import programs
+
+    r = random.Random(2)
+    seqs = ["".join(r.choices("ACGTN", [9, 9, 9, 9, 1], k=60)) for _ in range(30)] * 2
+    (tmp_path / "r.fq").write_text("".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(seqs)))
+    count = collections.Counter(min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for s in seqs for w in (s[i : i + 21] for i in range(40)) if "N" not in w)
+    sketch = spark.createDataFrame([(next(iter(count)), 0, "a", 1, "0", 0)], "kmer string, ref_id int, ref_name string, num_refs int, contig string, pos long")
+    got = programs.query(spark, [str(tmp_path / "r.fq")], sketch, estimate=estimate)["metrics"]
+    assert got.select("f1", "f0", "repeats", "weak").first() == (sum(count.values()), len(count), sum(n > 1 for n in count.values()), sum(n == 1 for n in count.values()))
+    assert ("packed#" in got._jdf.queryExecution().executedPlan().toString()) is not estimate
+
+
 def test_expected_numbers():
     assert packs.bucket_bits(0, 21) == 0 and packs.bucket_bits(8 * packs.BUCKET, 21) == 4 and packs.bucket_bits(1 << 60, 3) == 5
