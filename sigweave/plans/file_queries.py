@@ -14,7 +14,6 @@ from sigweave.plans.queries import _DOCS, _HITS, _REFS, _SCORED, _TOPC, _UNIQUE,
 from sigweave.functions.complexity import THRESHOLD
 from sigweave.operators.blocks import block_sums
 from sigweave.operators.index import build_sketch
-from sigweave.operators.kmers import kmers, spectrum
 from sigweave.operators.query import hit_counts, match, reference_names, signatures
 from sigweave.sources import files, sequences, sinks
 from sigweave.sources.shared import new_path
@@ -185,7 +184,7 @@ def query_program_one_scan(spark: SparkSession, d: str) -> DataFrame:
     """Hits and metrics of one scan of the reads: the numbers of all k-mers and hits, and whether the sampled numbers are within 2 % of f0 of the exact ones."""
     path = _read_file(spark, d)
     got = programs.query(spark, [path], _sketch_file(spark, d), estimate=True)
-    exact = spectrum(kmers(files.read_reads(spark, [path]), K, keep=[], packed=True))
+    exact = programs.reads_spectrum(files.read_reads(spark, [path]), K, files.total_bytes(spark, [path]))
     near = lambda c: (F.abs(F.col(f"m.{c}") - F.col(f"x.{c}")) <= 0.02 * F.col("x.f0")).alias(f"{c}_within_2_percent")
     both = got["metrics"].alias("m").join(exact.alias("x"), F.lit(True)).join(got["hits"].agg(F.count("*").alias("hits")), F.lit(True))
     return both.select("k", "references", "sketch", "hits", F.col("m.f1").alias("f1"), near("f0"), near("repeats"), near("weak"))
